@@ -98,7 +98,8 @@ def _signatures(docs: DataFrame, depth: int, doc_id: str, text: str) -> DataFram
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
     """tid and shingle set (sorted 64-bit integers) of the wanted texts: (doc_id, text_hash) of one document of each."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    pick = wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
+    # What is wanted grows with the table, so it is never broadcast.
+    pick = wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).hint("merge")
     source = source.join(pick, source.doc_id.eqNullSafe(F.col("__id")) & (source.text_hash == F.col("__h")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
