@@ -80,6 +80,29 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(arrays), *[a.nbytes for a in arrays]], "<i8").tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
 
 
+def small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bytes, 255 standing for the next of the larger ones, which follow."""
+    big = counts >= 255
+    return np.where(big, 255, counts).astype(np.uint8), counts[big].astype("<i8")
+
+
+def large(low: np.ndarray, big: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64)
+    out[low == 255] = big
+    return out
+
+
+def six(keys: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of keys, as six bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+
+
+def from_six(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
     n = int(np.frombuffer(body, "<i8", 1)[0])
     sizes = np.frombuffer(body, "<i8", n, 8)

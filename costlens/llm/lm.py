@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens.llm.common import ASCII_LOWER, GRAM, SPACE, U64, as_bytes, held_out, joined, mix, per_document, prefix_sums, slices, spans_hash, tokens
-from costlens.llm.exchange import Plan, bucket_edges, pack, unpack
+from costlens.llm.exchange import Plan, bucket_edges, from_six, large, pack, six, small, unpack
 
 #: The end token: no word's hash but by chance of 2**-64.
 END = U64(0x5DEECE66D5DEECE6)
@@ -39,8 +39,8 @@ def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bigram_keys(h: np.ndarray) -> np.ndarray:
-    """Key of (token before, token) for every token but the first."""
-    return mix(h[:-1] * GRAM + h[1:])
+    """48-bit key (the upper bits) of (token before, token) for every token but the first; two bigrams of one hash range, some millions, share a key by chance of some 2**-26."""
+    return mix(h[:-1] * GRAM + h[1:]) & U64(0xFFFFFFFFFFFF0000)
 
 
 class _Batch:
@@ -75,12 +75,13 @@ def _question(docs: pa.Table, n: int) -> list[bytes]:
     edge = bucket_edges(x.words, n)
     pair_edge = np.searchsorted(x.pair_history, edge)
     fan = np.bincount(x.pair_history, minlength=len(x.words))
-    return [pack(x.words[a:z], x.word_n[a:z].astype("<u4"), fan[a:z].astype("<u4"), x.pairs[c:d], x.pair_n[c:d].astype("<u4")) for a, z, c, d in zip(edge[:-1], edge[1:], pair_edge[:-1], pair_edge[1:], strict=True)]
+    return [pack(x.words[a:z], *small(x.word_n[a:z]), *small(fan[a:z]), six(x.pairs[c:d]), *small(x.pair_n[c:d])) for a, z, c, d in zip(edge[:-1], edge[1:], pair_edge[:-1], pair_edge[1:], strict=True)]
 
 
 def _answer(bodies: list[bytes]) -> list[bytes]:
     """To each batch: counts of its words, their numbers of distinct followers, counts of its bigrams; and the bucket's totals: tokens, distinct tokens, bigrams seen once and twice."""
-    asked = [unpack(b, "<u8", "<u4", "<u4", "<u8", "<u4") for b in bodies]
+    raw = [unpack(b, "<u8", "u1", "<i8", "u1", "<i8", "u1", "u1", "<i8") for b in bodies]
+    asked = [(r[0], large(r[1], r[2]), large(r[3], r[4]), from_six(r[5]), large(r[6], r[7])) for r in raw]
     words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     count = np.bincount(at, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
     pairs, pair_at = np.unique(np.concatenate([a[3] for a in asked]), return_inverse=True)
@@ -93,7 +94,7 @@ def _answer(bodies: list[bytes]) -> list[bytes]:
     for a in asked:
         i, j = at[w : w + len(a[0])], pair_at[p : p + len(a[3])]
         w, p = w + len(a[0]), p + len(a[3])
-        out.append(pack(count[i].astype("<i8"), followers[i].astype("<i8"), pair_count[j].astype("<i8"), totals))
+        out.append(pack(*small(count[i]), *small(followers[i]), *small(pair_count[j]), totals))
     return out
 
 
@@ -102,7 +103,8 @@ def _walk(docs: pa.Table, answers: dict) -> pa.Table:
     if not docs.num_rows:
         return pa.table([pa.array([], t) for t in (docs.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
     x = _Batch(docs)
-    got = [unpack(answers[k], "<i8", "<i8", "<i8", "<i8") for k in sorted(answers)]
+    raw = [unpack(answers[k], "u1", "<i8", "u1", "<i8", "u1", "<i8", "<i8") for k in sorted(answers)]
+    got = [(large(r[0], r[1]), large(r[2], r[3]), large(r[4], r[5]), r[6]) for r in raw]
     count, followers, pair_count = (np.concatenate([g[k] for g in got]) for k in range(3))
     n, v, once, twice = np.sum([g[3] for g in got], axis=0).tolist()
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else HALF
