@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from costlens.llm.common import U64, text_bytes
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES, LEAST_BYTES = 12 << 20, 1 << 20
 BUCKET_BYTES = 24 << 20
 
 
@@ -29,7 +29,8 @@ class Plan:
     def __init__(self, docs: DataFrame, columns: dict[str, object], text: str = "text", bytes_per_text_byte: float = 1.0):
         total = text_bytes(docs, text)
         conf = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.n_batches = max(1, -(-total // BATCH_BYTES))
+        # Few large batches would leave cores idle: a batch may be as small as LEAST_BYTES until there is one for each task.
+        self.n_batches = max(1, -(-total // BATCH_BYTES), min(conf, total // LEAST_BYTES))
         self.n_buckets = max(1, -(-int(total * bytes_per_text_byte) // BUCKET_BYTES))
         self.parts = min(self.n_batches, max(conf, 1))
         named = docs.select(*[c.alias(n) for n, c in columns.items()])
