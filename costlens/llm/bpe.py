@@ -14,6 +14,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ class _Words(dict):
 class Bpe:
     """A tokenizer file (byte-level BPE with word ends) as tables."""
 
-    def __init__(self, path: str, cache_size: int = 200_000):
+    def __init__(self, path: str, cache_size: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -86,7 +87,15 @@ class Bpe:
                 self.tokens[body + "\n" * t.endswith(END)] = i
         #: The sufficient lookahead, in symbols.
         self.lookahead = max(len(t.rstrip("\n")) for t in self.tokens)
-        self._known: dict[tuple[int, int], bool] = {}
+        self._known: dict[int, bool] = {}
+        self._prefixes: dict[str, tuple[int, int]] = {}
+        # Tokens by their symbols from the last to the first, those of a word's end apart; "" leads to the id.
+        self._ends: tuple[dict, dict] = ({}, {})
+        for t, i in self.tokens.items():
+            node = self._ends[t[-1] == "\n"]
+            for c in reversed(t.rstrip("\n")):
+                node = node.setdefault(c, {})
+            node[""] = i
         self.words = _Words(self._word, cache_size)
         names = {i: t for t, i in (vocab | self.special).items()}
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
@@ -111,27 +120,60 @@ class Bpe:
                 bound, b = (rb, 1), self.parts[b][0]
 
     def apart(self, a: int, b: int) -> bool:
-        if (known := self._known.get((a, b))) is None:
-            if len(self._known) >= 500_000:
+        """_apart, remembered."""
+        if (known := self._known.get(a << 20 | b)) is None:
+            if len(self._known) >= 1_000_000:
                 self._known.clear()
-            known = self._known[a, b] = self._apart(a, b)
+            known = self._known[a << 20 | b] = self._apart(a, b)
         return known
 
+    def _last(self, text: str, end: bool, last: list[int]) -> tuple[int, int]:
+        """Size and id of the last token of the prefix that text ends; end: at the piece's end; last: the last tokens of all shorter prefixes."""
+        node, at, found = self._ends[end], len(text), []
+        while at:
+            at -= 1
+            node = node.get(text[at])
+            if node is None:
+                break
+            if (t := node.get("")) is not None:
+                found.append((at, t))
+        width, n, known = len(text), len(last), self._known
+        for at, t in reversed(found):
+            k = width - at
+            if k > n:
+                continue
+            p = last[n - k]
+            if p < 0 or ((ok := known.get(p << 20 | t)) is None and self.apart(p, t)) or ok:
+                return k, t
+        raise ValueError("each symbol is a token")
+
+    def _short(self, symbols: str) -> list[int]:
+        """Ids of a piece not longer than the lookahead, for which nothing is final before its end. Prefixes are remembered."""
+        memo, last, size = self._prefixes, [-1], [0]
+        for n in range(1, len(symbols)):
+            head = symbols[:n]
+            if (v := memo.get(head)) is None:
+                if len(memo) >= 500_000:
+                    memo.clear()
+                v = memo[head] = self._last(head, False, last)
+            size.append(v[0])
+            last.append(v[1])
+        k, t = self._last(symbols, True, last)
+        size.append(k)
+        last.append(t)
+        return self._back(size, last, len(symbols))
+
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
         """Ids of one piece, given symbol by symbol (the last with its word end), each as soon as it is final."""
-        look, tokens, apart = self.lookahead, self.tokens, self.apart
+        look = self.lookahead
         text = ""  # the last symbols
         size, last = [0], [-1]  # of each prefix from the last final border on: its last token's length, and that token
         for s in symbols:
-            text = (text + s)[-look - 1 :] if len(text) > look else text + s
-            width = len(text) - (len(s) - 1)
+            text = (text + s[0])[-look:]
             n = len(size)
-            for k in range(min(width, look, n), 0, -1):
-                t = tokens.get(text[width - k :])
-                if t is not None and ((p := last[n - k]) < 0 or apart(p, t)):
-                    size.append(k)
-                    last.append(t)
-                    break
+            k, t = self._last(text, len(s) > 1, last)
+            size.append(k)
+            last.append(t)
             if n > 4 * look:
                 live = set(range(n + 1 - look, n + 1))
                 while len(live) > 1:
@@ -155,11 +197,10 @@ class Bpe:
     def _word(self, word: str) -> bytes:
         """Ids of a normalised text without white space, as little-endian 32-bit integers."""
         ids: list[int] = []
-        for piece in self.piece.findall(word):
-            s = [self.symbols[b] for b in piece.encode()]
-            s[-1] += "\n"
-            ids += self.stream(s)
-        return np.array(ids, "<u4").tobytes()
+        for piece in (word,) if word.isalpha() else self.piece.findall(word):
+            s = piece if piece.isascii() and piece.isprintable() else "".join([self.symbols[b] for b in piece.encode()])
+            ids += self._short(s) if len(s) <= self.lookahead else self.stream([*s[:-1], s[-1] + "\n"])
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian 32-bit integers; special tokens in the text become theirs."""
