@@ -24,7 +24,8 @@ def read_line_items(spark: SparkSession, path: str, sep: str = ",", multi_line:
     # Pruned columns would hide malformed rows.
     df = spark.read.options(header=True, enforceSchema=True, sep=sep, escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, columnPruning=False).schema(schema).csv(path)
     blank = F.col(BAD).isNotNull() & (F.trim(F.col(BAD)) == "")
-    return df.where(~blank).withColumn("line_no", F.monotonically_increasing_id() + 1)
+    # A query that reads only the malformed column is refused: the first cell is always read too.
+    return df.where(~blank & (F.coalesce(F.length("c0"), F.lit(0)) >= 0)).withColumn("line_no", F.monotonically_increasing_id() + 1)
 
 
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
