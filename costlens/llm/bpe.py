@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from costlens.llm.common import as_bytes
 
@@ -256,7 +257,7 @@ def encode_column(docs: DataFrame, path: str | None = None, text: str = "text",
             flat = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*b.schema.names, ids])
 
-    return source.mapInArrow(run, source.schema.add(ids, "array<int>"))
+    return source.mapInArrow(run, StructType([*source.schema, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode_column(docs: DataFrame, path: str | None = None, ids: str = "token_ids", text: str = "text") -> DataFrame:
@@ -271,7 +272,7 @@ def decode_column(docs: DataFrame, path: str | None = None, ids: str = "token_id
             out = ["".join(bpe.decode(np.array(x or [], np.int64))) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
 
-    return source.mapInArrow(run, source.schema.add(text, "string"))
+    return source.mapInArrow(run, StructType([*source.schema, StructField(text, StringType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
