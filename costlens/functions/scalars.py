@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from costlens.functions.policy import NULL_TOKENS, RESOURCE_LABELS, SPEND_LABELS, UNTAGGABLE
 
-BLANK = r"[\s\x0B   -     　﻿]+"
+#: White space that is stripped: ASCII's, then Unicode's blanks, line marks and the byte-order mark.
+BLANK = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 MONEY = "decimal(38,12)"
 
 
 def stripped(c: Column) -> Column:
     """c without white space at both ends, Unicode's too; null is ''."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), f"^{BLANK}|{BLANK}$", "")
+    return F.trim(F.coalesce(c, F.lit("")), F.lit(BLANK))
 
 
 def normalize_header(c: Column) -> Column:
@@ -70,7 +71,8 @@ def parse_cost(c: Column) -> Column:
         n = let(F.regexp_replace(t, "[^0-9.,]", ""), number)
         return F.when(minus, -n).otherwise(n)
 
-    return let(stripped(c), signed)
+    # Most cells are plain numbers: one pattern tells, and the rules for all others need not run.
+    return F.when(c.rlike(r"^-?[0-9]+(?:\.[0-9]+)?\z"), c.try_cast(MONEY)).otherwise(let(stripped(c), signed))
 
 
 def parse_tag_object(c: Column) -> Column:
