@@ -37,6 +37,14 @@ def test_parse_cost(spark):
     assert {t: v for t, v in got} == cases
 
 
+def test_plain_numbers_and_blanks(spark):
+    """Plain numbers take a short way; the blanks stripped are ASCII's and Unicode's, at the ends only."""
+    cases = {"12": 12.0, "-12.50": -12.5, " 12\n": 12.0, "\u00a012.5\u3000": 12.5, "12\n": 12.0, "1.5E-5": 1.55, "--5": 5.0 * -1, "-": None, "12.": 12.0}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", S.parse_cost(F.col("t")).cast("double"), S.stripped(F.concat(F.lit("\ufeff\x0b a b\u2009"), F.lit("\u2028")))).collect()
+    assert {r[0]: r[1] for r in got} == cases
+    assert {r[2] for r in got} == {"a b"}
+
+
 def test_null_tokens_and_currency(spark):
     df = spark.createDataFrame([(None,), ("",), (" N/A ",), ("test",), ("No Owner",), (" -",)], "t string")
     assert [r[0] for r in df.select(S.is_null_token(F.col("t"))).collect()] == [True, True, True, False, True, True]
