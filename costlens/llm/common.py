@@ -25,6 +25,8 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Rows of the right side of join_hot that are broadcast.
+HOT = 1000
 _pow: dict[str, np.ndarray] = {}
 
 
@@ -44,6 +46,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: list[str]) -> DataFrame:
+    """left with the columns of right (null where right has no row of the keys); right has one row for each keys, none null.
+
+    weight: column of right (not returned) that says how many rows of left a row of right may meet. The HOT heaviest
+    rows are broadcast; rows of left that meet them go on by a hash of spread, whatever their key, so no task of the
+    merge join gets a key with more than one in HOT of all rows. Both sides are read once, but for right's heaviest.
+    """
+    values = [c for c in right.columns if c not in (*keys, weight)]
+    as_key = lambda prefix: [F.col(k).alias(f"{prefix}{k}") for k in keys]
+    heavy = right.orderBy(F.col(weight).desc(), *keys).limit(HOT).select(*as_key("__hot_"), F.struct(*values).alias("__hot"))
+    same = lambda a, b: [F.col(f"{a}{k}") == F.col(f"{b}{k}") for k in keys]
+    met = left.join(F.broadcast(heavy), same("", "__hot_"), "left")
+    cold = F.col("__hot").isNull()
+    met = met.select(*left.columns, "__hot", F.when(cold, F.xxhash64(*keys)).otherwise(F.xxhash64(*spread)).alias("__at"), *[F.when(cold, F.col(k)).alias(f"__own_{k}") for k in keys])
+    rest = right.select(*as_key("__cold_"), F.struct(*values).alias("__cold"), F.xxhash64(*keys).alias("__cold_at"))
+    both = met.join(rest, [F.col("__at") == F.col("__cold_at"), *same("__own_", "__cold_")], "left")
+    return both.select(*left.columns, *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in values])
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     """Column: crc32 of the id's decimal text falls on the remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

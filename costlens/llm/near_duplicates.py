@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm.common import ASCII_LOWER, SPACE, U64, as_bytes, grams, inside_documents, joined, prefix_sums, slices, spans_hash, tokens, written
+from costlens.llm.common import ASCII_LOWER, SPACE, U64, as_bytes, grams, inside_documents, join_hot, joined, prefix_sums, slices, spans_hash, tokens, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 12, 8, 0.998
@@ -235,9 +235,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     found = written(_links(rows.repartition("label", "tree", "p", "q").sortWithinPartitions("label", "tree", "p", "q"), threshold))
     links = found.groupBy("tid").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("tid").alias("a"), F.col("other").alias("b")))
-    known = sig.select("doc_id", "text_hash", "tid").join(links, "tid", "left").join(roots.withColumnRenamed("v", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    least = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return known.join(least, "root").select("doc_id", "text_hash", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # Classes are settled among texts, so copies of one text count once; a class of very many texts is met by join_hot, as is a text of very many copies.
+    copies = written(sig.groupBy("tid").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies")))
+    linked = copies.join(roots.withColumnRenamed("v", "tid"), "tid").join(links, "tid")
+    linked = written(linked.select("tid", "least_id", "root", "n_links"))
+    classes = written(linked.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n_texts")))
+    of_text = join_hot(linked.select("tid", "root", "n_links"), classes, ["root"], "n_texts", ["tid"]).drop("root")
+    # Texts of one copy and no link need no partner: their documents are classes of their own.
+    known = copies.join(of_text, "tid", "left").where((F.col("n_copies") > 1) | F.col("n_links").isNotNull())
+    known = written(known.select("tid", "n_copies", F.when(F.col("n_links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    out = join_hot(sig.select("doc_id", "text_hash", "tid"), known, ["tid"], "n_copies", ["doc_id", "text_hash"])
+    return out.select("doc_id", "text_hash", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
