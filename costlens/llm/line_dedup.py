@@ -1,7 +1,8 @@
 """Line dedup, in DataFrame functions only.
 
 Line hashes, pre-aggregated by document salt, are range-partitioned with documents in order inside each hash; one
-streaming pass keeps the first (largest id) of each hash. Back go 64-line bitmaps per document, never text.
+streaming pass keeps the first (largest id) of each hash. Back go 64-line bitmaps per document, never text. Lines meet
+the repeated hashes by a merge join, but for the most frequent hashes, a fixed number, which are broadcast.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from costlens.llm.common import join_hot, written
+
 #: What is stripped at both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,11 +42,12 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id
         salted.repartitionByRange("h1", "h2")
         .select("h1", "h2", "largest", F.row_number().over(ordered).alias("nth"), F.sum("n").over(whole).alias("n_docs"))
         .where((F.col("nth") == 1) & (F.col("n_docs") >= min_docs))
-        .select("h1", "h2", "largest")
+        .select("h1", "h2", "largest", "n_docs", F.lit(True).alias("repeated"))
     )
     lines = base.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(keys).alias("pos", "key")).where(F.char_length("key") >= min_chars)
     lines = lines.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
-    lost = lines.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("largest")))
+    found = join_hot(lines, written(repeated), ["h1", "h2"], "n_docs", ["doc_id", "text_hash", "pos"])
+    lost = found.where(F.col("repeated") & ~F.col("doc_id").eqNullSafe(F.col("largest")))
     words = lost.groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
 
