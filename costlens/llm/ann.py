@@ -20,7 +20,7 @@ PIVOTS = 256
 ORDER = 64
 #: Share of a block's vectors that is reranked, best footrule first, and the least number.
 RERANK, RERANK_LEAST = 0.2, 600
-#: Vectors of a block: each block meets all queries in portions, so that a task holds no more than this.
+#: Vectors of a block and queries of a portion: each block meets each portion in a group of its own, so no task holds more of either.
 BLOCK = 16_384
 QUERIES_AT_ONCE = 64
 
@@ -75,8 +75,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int =
 
     Every valid row is indexed (see valid_vectors); vectors of another length than most pivots' take no part either.
     Ties go to the smaller vec_id. A row is never its own neighbour; ids must be unique (of repeated rows of one id each
-    is a candidate of the others' queries, and the id is returned once). Queries are split among all blocks; no order,
-    list or vector passes the driver but the pivots.
+    is a candidate of the others' queries, and the id is returned once). A group is one block and one portion of the
+    queries, both of about ``block`` rows however many there are; only the pivots pass the driver.
     """
     spark = vectors.sparkSession
     rows, asked = valid_vectors(vectors, vec_id, embedding), valid_vectors(queries, vec_id, embedding)
@@ -89,9 +89,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int =
     pivots = np.array([r["v"] for r in got if len(r["v"]) == dim])
     sent = spark.sparkContext.broadcast(pivots / np.linalg.norm(pivots, axis=1, keepdims=True))
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    blocks = max(1, -(-rows.count() // block))
-    posted = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int"))
-    dealt = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    blocks, portions = (max(1, -(-t.count() // block)) for t in (rows, asked))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int")
+    posted = rows.withColumn("block", place(blocks)).withColumn("portion", numbers(portions))
+    dealt = asked.withColumn("portion", place(portions)).withColumn("block", numbers(blocks))
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         v = t.column("v").combine_chunks()
@@ -106,7 +108,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int =
                 out += [(np.full(len(ids), qid), ids, s) for qid, ids, s in index.search(q_ids[lo : lo + QUERIES_AT_ONCE], q[lo : lo + QUERIES_AT_ONCE], k, rerank, rerank_least)]
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = posted.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(meet, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = posted.groupBy("block", "portion").cogroup(dealt.groupBy("block", "portion")).applyInArrow(meet, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
