@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from costlens.llm import ann, bpe, decontaminate, langid, line_dedup, lm, near_duplicates, quality, sharding, suffix_dedup
+from costlens.llm import ann, bpe, common, decontaminate, langid, line_dedup, lm, near_duplicates, quality, sharding, suffix_dedup
 from costlens.llm.common import held_out
 
 DOCS = "doc_id long, text string, tid string, links int"
@@ -86,6 +86,20 @@ def test_large_nodes_are_split(spark, monkeypatch):
     assert whole == [(k, 0, 39) for k in range(40)]
 
 
+def test_hot_keys_are_met_by_broadcast(spark, docs, monkeypatch):
+    left = spark.createDataFrame([(k, k % 7 if k % 3 else 100, "x") for k in range(300)] + [(300, None, "x")], "id long, k long, v string")
+    right = spark.createDataFrame([(100, 100, "hot"), (1, 40, "one"), (2, 40, None), (50, 0, "unmet")], "k long, w long, name string")
+    want = sorted(map(tuple, left.join(right.drop("w"), "k", "left").select("id", "k", "v", "name").collect()))
+    near = sorted(map(tuple, near_duplicates.near_duplicates(docs).select("doc_id", "class_id", "n_links").collect()), key=str)
+    lines = sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "n_dropped", "text").collect()), key=str)
+    for size in (1, 2, 3, 10):
+        monkeypatch.setattr(common, "HOT", size)
+        assert sorted(map(tuple, common.join_hot(left, right, ["k"], "w", ["id"]).collect())) == want
+    monkeypatch.setattr(common, "HOT", 1)
+    assert sorted(map(tuple, near_duplicates.near_duplicates(docs).select("doc_id", "class_id", "n_links").collect()), key=str) == near
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "n_dropped", "text").collect()), key=str) == lines
+
+
 def test_depth_reaches_recall():
     d = near_duplicates.depth_for(0.8, 0.998)
     assert 1 - (1 - 0.8**d) ** near_duplicates.TREES >= 0.998 > 1 - (1 - 0.8 ** (d + 1)) ** near_duplicates.TREES
@@ -169,6 +183,10 @@ def test_language(spark, empty):
     filters = langid.fit(real)
     got = langid.predict(real, filters).join(real.select("doc_id", "lang"), "doc_id").where(held_out("doc_id", 5, 0)).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert got >= 0.95
+    # The ids fitted on are the first by hash, however their ranking is split.
+    kept = real.where("lang is not null and text is not null").where(~held_out("doc_id", 5, 0)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["lang", "h"]).groupby("lang").head(5)
+    few, own = langid.fit(real, max_docs=5), langid.fit(real.where(F.col("doc_id").isin(kept.doc_id.tolist())))
+    assert few.languages == own.languages and (few.table == own.table).all()
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (4, "é"), (None, "the of and")], "doc_id long, text string")
     pred = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(odd, filters).collect()}
     assert [pred[k][0] for k in (1, 2, 3)] == ["und"] * 3 and pred[4][0] in filters.languages and 0 <= pred[4][1] <= 1
@@ -197,6 +215,10 @@ def test_quality(spark, empty):
     trees = quality.fit(real, labels)
     got = quality.score(real, trees).join(labels, "doc_id").where(held_out("doc_id", 5, 0)).select("quality", "score").collect()
     assert sum((r["score"] >= 0.3) == (r["quality"] == 1) for r in got) >= 0.9 * len(got)
+    # The ids fitted on are the first by hash, however their ranking is split.
+    kept = real.where("lang is not null and text is not null").where(~held_out("doc_id", 5, 0)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["lang", "h"]).groupby("lang").head(5)
+    few, own = langid.fit(real, max_docs=5), langid.fit(real.where(F.col("doc_id").isin(kept.doc_id.tolist())))
+    assert few.languages == own.languages and (few.table == own.table).all()
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "\n\n"), (None, "x" * 100_000)], "doc_id long, text string")
     assert all(0 <= r["score"] <= 1 for r in quality.score(odd, trees).collect())
     flat = quality.fit(empty, labels)
@@ -314,6 +336,8 @@ def test_ann(spark):
         order = [k for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
         assert got[q] == [(int(ids[k]), round(float(s[k]), 9)) for k in order]  # all reranked on so few
     assert 400 not in got and ann.search(df.limit(0), df, 5).count() == 0
+    small = ann.search(df, df.where("vec_id % 20 = 0"), 20, block=9)  # 45 blocks, 3 portions of queries
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in small.collect()} == {(q, k + 1, v) for q, own in got.items() for k, (v, _) in enumerate(own)}
     few = spark.createDataFrame(rows[:4], df.schema)
     assert ann.search(few, few, 20).count() == 12
 
