@@ -21,6 +21,8 @@ from costlens.llm.common import ASCII_LOWER, SPACE, U64, as_bytes, held_out, joi
 N = 4
 #: Documents of each language to fit on, in the order of a hash of their id.
 MAX_DOCS = 3_000
+#: Parts in which a language's ids are ranked before the best of all parts are.
+SALTS = 256
 #: Commonest n-grams of each language that go into its filter, of those seen MIN_COUNT times at least.
 MAX_GRAMS, MIN_COUNT = 30_000, 3
 BITS, HASHES = 20, 2
@@ -82,8 +84,10 @@ class Filters:
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Filters of every language of the rows that are not held out and have text and language. At most max_docs ids a language are fitted on; whole texts."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = source.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= max_docs).select("doc_id", "lang").distinct()
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # A language may hold most documents: each part of its ids keeps its first, so that few are left to rank together.
+    parts = source.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SALTS)).alias("salt")).withColumn("nth", nth("lang", "salt")).where(F.col("nth") <= max_docs)
+    chosen = parts.withColumn("nth", nth("lang")).where(F.col("nth") <= max_docs).select("doc_id", "lang").distinct()
     train = source.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
