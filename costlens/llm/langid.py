@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from costlens.llm.common import ASCII_LOWER, SPACE, U64, as_bytes, held_out, joined, mix, per_document, slices
+from costlens.llm.common import ASCII_LOWER, SPACE, U64, as_bytes, held_out, joined, mix, per_document, slices, written
 
 N = 4
 #: Documents of each language to fit on, in the order of a hash of their id.
 MAX_DOCS = 3_000
 #: Parts in which a language's ids are ranked before the best of all parts are.
 SALTS = 256
+#: Chosen ids up to this number are broadcast to find their texts; more meet the texts by a merge join.
+BROADCAST_IDS = 500_000
 #: Commonest n-grams of each language that go into its filter, of those seen MIN_COUNT times at least.
 MAX_GRAMS, MIN_COUNT = 30_000, 3
 BITS, HASHES = 20, 2
@@ -88,7 +90,9 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text:
     # A language may hold most documents: each part of its ids keeps its first, so that few are left to rank together.
     parts = source.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SALTS)).alias("salt")).withColumn("nth", nth("lang", "salt")).where(F.col("nth") <= max_docs)
     chosen = parts.withColumn("nth", nth("lang")).where(F.col("nth") <= max_docs).select("doc_id", "lang").distinct()
-    train = source.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    chosen = written(chosen)
+    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen.hint("merge")
+    train = source.join(side, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
