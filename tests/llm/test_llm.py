@@ -178,7 +178,7 @@ def test_lm(docs, empty):
     assert lm.score(empty, held_out("doc_id", 5, 1)).count() == 0
 
 
-def test_language(spark, empty):
+def test_language(spark, empty, monkeypatch):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     filters = langid.fit(real)
     got = langid.predict(real, filters).join(real.select("doc_id", "lang"), "doc_id").where(held_out("doc_id", 5, 0)).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
@@ -186,7 +186,9 @@ def test_language(spark, empty):
     # The ids fitted on are the first by hash, however their ranking is split.
     kept = real.where("lang is not null and text is not null").where(~held_out("doc_id", 5, 0)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["lang", "h"]).groupby("lang").head(5)
     few, own = langid.fit(real, max_docs=5), langid.fit(real.where(F.col("doc_id").isin(kept.doc_id.tolist())))
-    assert few.languages == own.languages and (few.table == own.table).all()
+    monkeypatch.setattr(langid, "BROADCAST_IDS", 3)
+    merged = langid.fit(real, max_docs=5)
+    assert few.languages == own.languages == merged.languages and (few.table == own.table).all() and (few.table == merged.table).all()
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (4, "é"), (None, "the of and")], "doc_id long, text string")
     pred = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(odd, filters).collect()}
     assert [pred[k][0] for k in (1, 2, 3)] == ["und"] * 3 and pred[4][0] in filters.languages and 0 <= pred[4][1] <= 1
@@ -218,7 +220,9 @@ def test_quality(spark, empty):
     # The ids fitted on are the first by hash, however their ranking is split.
     kept = real.where("lang is not null and text is not null").where(~held_out("doc_id", 5, 0)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["lang", "h"]).groupby("lang").head(5)
     few, own = langid.fit(real, max_docs=5), langid.fit(real.where(F.col("doc_id").isin(kept.doc_id.tolist())))
-    assert few.languages == own.languages and (few.table == own.table).all()
+    monkeypatch.setattr(langid, "BROADCAST_IDS", 3)
+    merged = langid.fit(real, max_docs=5)
+    assert few.languages == own.languages == merged.languages and (few.table == own.table).all() and (few.table == merged.table).all()
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "\n\n"), (None, "x" * 100_000)], "doc_id long, text string")
     assert all(0 <= r["score"] <= 1 for r in quality.score(odd, trees).collect())
     flat = quality.fit(empty, labels)
