@@ -362,6 +362,25 @@ def test_ann_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_ann_recall_with_uneven_norms(spark):
+    rng = np.random.default_rng(0)
+    d = rng.normal(size=(4000, 64))
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    few = np.where(np.arange(4000) % 100 == 3, 10.0, 1.0)  # one in a hundred is ten times as long
+    for norms in (np.ones(4000), np.exp(0.3 * rng.normal(size=4000)), np.exp(0.8 * rng.normal(size=4000)), few):
+        x = d * norms[:, None]
+        v = spark.createDataFrame([(k, r) for k, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        found = collections.defaultdict(set)
+        for r in ann.search(v, v.where("vec_id % 40 = 0"), rerank_least=0).collect():
+            found[r["query_id"]].add(r["vec_id"])
+        hit = 0
+        for q in range(0, 4000, 40):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+        assert hit / 2000 >= 0.9
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept, seen = docs, [docs.count()]
