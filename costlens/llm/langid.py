@@ -9,7 +9,7 @@ language's fill to the power of the number of slots.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,12 @@ MAX_DOCS = 3_000
 SALTS = 256
 #: Chosen ids up to this number are broadcast to find their texts; more meet the texts by a merge join.
 BROADCAST_IDS = 500_000
-#: Commonest n-grams of each language that go into its filter, of those seen MIN_COUNT times at least.
-MAX_GRAMS, MIN_COUNT = 30_000, 3
-BITS, HASHES = 20, 2
+#: Each language's filter has 2**BITS slots at least, and ROOM for each n-gram of the language that has most.
+BITS, HASHES, ROOM = 20, 2, 16
+#: The table grows to 2**MOST_BITS words (128 MB); beyond that no n-gram is left out, but the corrected false positives rise.
+MOST_BITS = 24
+#: Slots of one bitmap of Spark's bitmap_construct_agg.
+PAGE = 32_768
 LETTER = re.compile(r"[^\W\d_]")
 _MARKED = ASCII_LOWER.copy()
 _MARKED[:48] = _MARKED[58:65] = _MARKED[91:97] = _MARKED[123:128] = 32
@@ -48,20 +51,28 @@ def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[at], np.searchsorted(at, off)
 
 
-def slots(code: np.ndarray) -> list[np.ndarray]:
+def slots(code: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(code.astype(U64) + U64(0x51ED270B))
-    return [(h >> U64(k * BITS)) & U64((1 << BITS) - 1) for k in range(HASHES)]
+    return [(h >> U64(k * bits)) & U64((1 << bits) - 1) for k in range(HASHES)]
+
+
+def bits_for(n_languages: int, most_grams: int) -> int:
+    """Slots, as a power of two, for filters of up to most_grams n-grams."""
+    words = max(1, -(-n_languages // 64))
+    return max(BITS, min((ROOM * most_grams - 1).bit_length() if most_grams else 0, MOST_BITS - (words - 1).bit_length()))
 
 
 class Filters:
-    """The slot table, as many 64-bit words a slot as the languages need."""
-
-    def __init__(self, languages: list[str], grams: dict[str, np.ndarray]):
-        self.languages = languages
-        self.table = np.zeros((max(1, -(-len(languages) // 64)), 1 << BITS), U64)
-        for k, lang in enumerate(languages):
-            for s in slots(grams[lang]):
-                self.table[k // 64][s] |= U64(1) << U64(k % 64)
+    """The slot table, as many 64-bit words a slot as the languages need, of pages (language, number, bitmap)."""
+
+    def __init__(self, languages: list[str], bits: int, pages: Iterable[tuple[str, int, bytes]]):
+        self.languages, self.bits = languages, bits
+        self.table = np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), U64)
+        number = {lang: k for k, lang in enumerate(languages)}
+        for lang, page, bitmap in pages:
+            k = number[lang]
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")) + page * PAGE
+            self.table[k // 64][at] |= U64(1) << U64(k % 64)
         fill = [(self.table[k // 64] >> U64(k % 64) & U64(1)).mean() for k in range(len(languages))]
         self.false = np.array([f**HASHES for f in fill])
 
@@ -70,7 +81,7 @@ class Filters:
         out = [np.zeros((0, len(self.languages)))]
         for lo, hi in slices(texts):
             code, first = gram_codes(texts[lo:hi])
-            at = slots(code)
+            at = slots(code, self.bits)
             total = np.maximum(np.diff(first), 1)
             share = np.zeros((hi - lo, len(self.languages)))
             for w, table in enumerate(self.table):
@@ -84,7 +95,7 @@ class Filters:
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
-    """Filters of every language of the rows that are not held out and have text and language. At most max_docs ids a language are fitted on; whole texts."""
+    """Filters of every language of the rows that are not held out and have text and language. At most max_docs ids a language are fitted on; whole texts, and every n-gram of them."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
     nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
     # A language may hold most documents: each part of its ids keeps its first, so that few are left to rank together.
@@ -94,20 +105,28 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text:
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen.hint("merge")
     train = source.join(side, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = np.array(b.column("lang").to_pylist(), object)
             texts = as_bytes(b.column("text"))
             for name in sorted(set(langs.tolist())):
-                code, n = np.unique(np.concatenate([np.empty(0, np.uint32), *(gram_codes([t])[0] for t in (texts[i] for i in np.flatnonzero(langs == name)))]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+                own = [texts[i] for i in np.flatnonzero(langs == name)]
+                code = np.unique(np.concatenate([np.empty(0, np.uint32), *(np.unique(gram_codes(own[lo:hi])[0]) for lo, hi in slices(own))]))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64))], ["lang", "code"])
+
+    seen = written(train.mapInArrow(distinct, "lang string, code long").distinct())
+    names = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
+    most = seen.groupBy("lang").count().agg(F.max("count")).first()[0]
+    bits = bits_for(len(names), most or 0)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in slots(b.column("code").to_numpy(), bits):
+                yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array((at // U64(PAGE)).astype(np.int64)), pa.array((at % U64(PAGE)).astype(np.int64))], ["lang", "page", "bit"])
 
-    sums = train.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "code"))
-    rows = sums.withColumn("nth", best).where(F.col("nth") <= MAX_GRAMS).groupBy("lang").agg(F.collect_list("code").alias("codes")).orderBy("lang").collect()
-    grams = {r["lang"]: np.array(r["codes"], np.uint32) for r in rows}
-    names = {r["lang"] for r in chosen.select("lang").distinct().collect()}
-    return Filters(sorted(names), {k: grams.get(k, np.empty(0, np.uint32)) for k in names})
+    # Each partition sets its bits in pages, and pages are united: what the driver gets is the table, however many n-grams there are.
+    pages = seen.mapInArrow(place, "lang string, page long, bit long").groupBy("lang", "page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    return Filters(names, bits, ((r["lang"], r["page"], bytes(r["bitmap"])) for r in pages.toLocalIterator()))
 
 
 def predict(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,7 +135,7 @@ def predict(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: str
     `und` with score 0 where the text is null or has no letter. A text with letters but no known n-gram, or a tie,
     takes the first of the best languages by name, with equal parts. Without any language all is `und`.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for each 64 languages
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for each 64 languages, and up to 128 MB with many n-grams
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

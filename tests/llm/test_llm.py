@@ -196,6 +196,20 @@ def test_language(spark, empty, monkeypatch):
     assert langid.predict(odd, langid.fit(none)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_every_ngram_of_the_fitting_documents_is_in_the_filter(spark):
+    rng = random.Random(4)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    rare = "ningún pájaro vuela hoy bajo el cielo"
+    rows = [(k, letters if k == 1 else "the birds fly low today", "en") for k in range(1, 40)] + [(k, rare, "es") for k in (101, 102)] + [(103, "?", "xx"), (104, "!", "xx")]
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~held_out("doc_id", 5, 0)).dropDuplicates(["text"]))
+    assert filters.languages == ["en", "es", "xx"] and filters.bits > langid.BITS and filters.false.max() < 0.05
+    shares = filters.shares([letters.encode(), rare.encode()])
+    assert shares[0, 0] > 0.9999 and shares[1, 1] > 0.9999
+    odd = spark.createDataFrame([(1, "bajo el cielo vuela ningún pájaro")], "doc_id long, text string")
+    assert langid.predict(odd, filters).first()["lang_pred"] == "es"
+    assert langid.bits_for(64, 10**9) == langid.MOST_BITS == langid.bits_for(65, 10**9) + 1 and langid.bits_for(0, 0) == langid.BITS
+
+
 def test_line_dedup(docs, empty):
     rows = corpus()
     strip = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x)
