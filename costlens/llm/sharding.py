@@ -39,13 +39,19 @@ def draw_matrix(counts: list[int], n_shards: int, seed: int) -> list[list[int]]:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """numpy draws from up to 10**9; beyond that the normal limit, clipped to what is possible, is exact in its sums."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
+    """numpy draws from up to 10**9; beyond that by inversion, with weights that go outward from the mode by their ratios until they vanish beside it."""
     t = good + bad
-    mean = n * good / t
-    sd = math.sqrt(max(0.0, mean * (bad / t) * (t - n) / (t - 1)))
-    return int(min(max(round(rng.normal(mean, sd)), max(0, n - bad)), min(n, good)))
+    if t < 10**9:
+        return int(rng.hypergeometric(good, bad, n)) if n else 0
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (t + 2), low), high)
+    reach = 60 + int(12 * math.sqrt(n * (good / t) * (bad / t) * ((t - n) / (t - 1))))
+    down, up = np.arange(mode, max(low, mode - reach), -1, dtype=np.int64), np.arange(mode, min(high, mode + reach), dtype=np.int64)
+    to_less = down / (good - down + 1.0) * ((bad - n + down) / (n - down + 1.0))
+    to_more = (good - up) / (up + 1.0) * ((n - up) / (bad - n + up + 1.0))
+    upto = np.cumsum(np.concatenate((np.cumprod(to_less)[::-1], [1.0], np.cumprod(to_more))))
+    at = int(np.searchsorted(upto, rng.random() * upto[-1], "right"))
+    return mode - len(down) + min(at, len(upto) - 1)
 
 
 def shard(df: DataFrame, n_shards: int, seed: int = 7) -> DataFrame:

@@ -339,6 +339,18 @@ def test_sharding_in_sub_buckets(spark, monkeypatch):
     assert len({r["id"] for r in got}) == 1003
 
 
+def test_small_partitions_of_very_many_rows_are_dealt_evenly():
+    counts = [10, 2_400_000_000 - 10]
+    drawn = np.array([sharding.draw_matrix(counts, 24, s) for s in range(2000)])
+    assert (drawn.sum(2) == counts).all() and (drawn.sum(1) == 10**8).all() and (drawn >= 0).all()
+    assert np.allclose(drawn[:, 0].mean(0), 10 / 24, atol=0.065)
+    # Large draws too have the mean and spread of the law.
+    good, bad, n = 10**8, 23 * 10**8, 10**6
+    x = np.array([sharding._hypergeometric(np.random.default_rng(s), good, bad, n) for s in range(2000)])
+    sd = math.sqrt(n / 24 * 23 / 24 * (1 - n / 24e8))
+    assert abs(x.mean() - n / 24) < 5 * sd / math.sqrt(2000) and abs(x.std() / sd - 1) < 0.08
+
+
 def test_ann(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8)).round(2)
