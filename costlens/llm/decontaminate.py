@@ -169,35 +169,35 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, min_share: float = 0
     return docs.join(bad, docs[options.get("doc_id", "doc_id")].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[options.get("text", "text")], F.lit(""))) == F.col("__h")), "left_anti")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """All rows and columns of docs; hit words, and what stands between two hit words next to each other, are cut from the text. Null stays null. One block of windows at most."""
-    rows = [tuple(r) for r in item_windows(benchmark, item_id, "text", window).limit(MAX_WINDOWS + 1).collect()]
-    if len(rows) > MAX_WINDOWS:
-        raise ValueError("more windows than one broadcast block: call it for parts of the benchmark in turn")
-    sent = docs.sparkSession.sparkContext.broadcast(WindowSet([(i, n, bytes(w)) for i, n, w in rows]))
+def remove_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """All rows and columns of docs; hit words, and what stands between two hit words next to each other, are cut from the text. Null stays null. Hits are those of the texts as given, of all blocks together."""
+    found = scan_documents(docs, benchmark, doc_id=doc_id, text=text, **options).where(F.col("n_hit") > 0)
+    hits = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("hits").alias("__hits")).dropDuplicates(["__id", "__h"])
+    marked = docs.join(hits, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__h")), "left").select(*[docs[f"`{c}`"] for c in docs.columns], "__hits")
+    columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text)
-            texts, out = as_bytes(b.column(at)), []
-            for lo, hi in slices(texts):
-                start, end, first, hit, items = _scan_slice(texts[lo:hi], sent.value)
-                _, off = joined(texts[lo:hi])
-                for d in range(hi - lo):
-                    t = texts[lo + d]
-                    if items[d]:
-                        a, z = int(first[d]), int(first[d + 1])
-                        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit[a:z].astype(np.int8), [0])))).reshape(-1, 2)
-                        keep, pos = [], 0
-                        for i, j in edges.tolist():
-                            keep.append(t[pos : int(start[a + i] - off[d])])
-                            pos = int(end[a + j - 1] - off[d])
-                        t = b"".join([*keep, t[pos:]])
-                    out.append(t.decode())
+            texts, hits, out = as_bytes(b.column(at)), b.column("__hits").to_pylist(), []
+            for t, own in zip(texts, hits, strict=True):
+                if own:
+                    buf, off = joined([t])
+                    start, end, _ = tokens(ASCII_LOWER[buf], off, WORD)
+                    hit = np.zeros(len(start) + 2, np.int8)
+                    for i, j in zip(own[::2], own[1::2], strict=True):
+                        hit[i + 1 : j + 1] = 1
+                    keep, pos = [], 0
+                    for i, j in np.flatnonzero(np.diff(hit)).reshape(-1, 2).tolist():
+                        keep.append(t[pos : int(start[i])])
+                        pos = int(end[j - 1])
+                    t = b"".join([*keep, t[pos:]])
+                out.append(t.decode())
             null = b.column(at).is_null().to_pylist()
-            yield b.set_column(at, text, pa.array([None if n else t for n, t in zip(null, out, strict=True)], pa.string()))
+            b = b.set_column(at, text, pa.array([None if n else t for n, t in zip(null, out, strict=True)], pa.string()))
+            yield b.select(columns)
 
-    return docs.mapInArrow(cut, docs.schema)
+    return marked.mapInArrow(cut, docs.schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

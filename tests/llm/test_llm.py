@@ -280,6 +280,18 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.scan_documents(cut, bench.where("item_id = 1")).where("n_hit > 0").count() == 0
 
 
+def test_spans_are_cut_for_any_number_of_windows(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, " ".join(words(1, 300)[20:45]).upper()), (2, "one, two!"), (3, "c d"), (4, "a e")], "item_id long, text string")
+    more = spark.createDataFrame([(50, "a, c d; e", "t", 1), (51, "ONE two - one TWO! end", "t", 1)], DOCS)
+    both = docs.unionByName(more)
+    whole = sorted(map(tuple, decontaminate.remove_spans(both, bench).collect()), key=str)
+    assert len(whole) == both.count() and {r[0]: r[1] for r in whole}[50] == "a, ; e"  # a and e meet only after c and d are cut
+    assert {r[0]: r[1] for r in whole}[51] == "! end"
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 3)
+    assert sorted(map(tuple, decontaminate.remove_spans(both, bench).collect()), key=str) == whole
+    assert sorted(map(tuple, decontaminate.remove_spans(both, bench, max_windows=3).collect()), key=str) == whole
+
+
 def test_bpe_against_the_library(spark, docs):
     from tokenizers import Tokenizer
 
