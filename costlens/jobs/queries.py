@@ -209,18 +209,28 @@ def _rejected(s: SparkSession, d: str) -> DataFrame:
     return bad.select(F.col("c0").cast("long").alias("event_id"))
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    import uuid
+
+    root = s.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/spark-{name}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def _report(s: SparkSession, d: str) -> DataFrame:
-    """The parts of the report written as tables and read again: rows of each."""
+    """All parts of the report written as tables; rows of four of them, read again, as the SQL states."""
     from costlens.jobs.audit import audit_tables
 
     parts = audit_tables(tables.event_lines(s, d), tables.event_headers(s, d).where(F.col("source") == "export-3"), M)
-    parts = {k: parts[k] for k in ("summary", "coverage", "placeholders", "services")}
-    root = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-report"
-    import uuid
-
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = _folder(s, "report")
     billing_csv.write_report(parts, path)
-    return reduce(DataFrame.unionByName, [s.read.parquet(f"{path}/{k}").agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k in parts])
+    return reduce(DataFrame.unionByName, [s.read.parquet(f"{path}/{k}").agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k in ("summary", "coverage", "placeholders", "services")])
+
+
+def _resources_csv(s: SparkSession, d: str) -> DataFrame:
+    """The exported list written as CSV and read again."""
+    t, path = table(s, d), _folder(s, "resources")
+    billing_csv.write_resources_csv(t, path, TAGS, "USD")
+    return _joined(billing_csv.read_resources_csv(s, path, billing_csv.resources_for_csv(t, TAGS, "USD").schema))
 
 
 def _grades(s: SparkSession, d: str) -> DataFrame:
@@ -286,7 +296,7 @@ Q: dict[str, tuple] = {
     "sort_resources": (_res(lambda t: explore.sort_resources(t, "id", False)), sql(f"SELECT {RES} FROM res ORDER BY id, first_line")),
     "list_services": (lambda s, d: explore.list_services(table(s, d)), sql("SELECT DISTINCT coalesce(service, '(no service)') AS service FROM res")),
     "explore_resources": (_explore, sql(f"SELECT {RES}, count(*) OVER () AS matches FROM res WHERE contains(lower(id), 'res-1') AND NOT compliant AND list_contains(res.missing, 'owner') ORDER BY res.cost DESC, first_line LIMIT 200")),
-    "write_resources_csv": (lambda s, d: _joined(billing_csv.resources_for_csv(table(s, d), TAGS, "USD")), sql("SELECT id AS resource_id, coalesce(service, '') AS service, cost::DOUBLE AS \"cost_USD\", line_items, " + ", ".join(f"CASE WHEN list_contains(missing, '{k}') THEN '' ELSE {k} END AS {k}" for k in TAGS) + " FROM res")),
+    "write_resources_csv": (_resources_csv, sql("SELECT id AS resource_id, coalesce(service, '') AS service, cost::DOUBLE AS \"cost_USD\", line_items, " + ", ".join(f"CASE WHEN list_contains(missing, '{k}') THEN '' ELSE {k} END AS {k}" for k in TAGS) + " FROM res")),
     "write_report": (_report, sql("SELECT 'summary' AS part, 1 AS n UNION ALL SELECT 'coverage', 4 UNION ALL SELECT 'placeholders', (SELECT count(DISTINCT value) FROM holders) UNION ALL SELECT 'services', (SELECT count(DISTINCT coalesce(service, '(no service)')) FROM res)")),
     "key_drift_normalized": (lambda s, d: _joined(drift.key_drift_normalized(tables.event_headers(s, d))), sql(f"SELECT source, {F_COLS} FROM kd0")),
     "key_drift_synonyms": (lambda s, d: _joined(drift.key_drift_synonyms(tables.event_headers(s, d))), sql(f"SELECT source, {F_COLS} FROM kd1")),

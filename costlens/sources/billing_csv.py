@@ -72,7 +72,14 @@ def resources_for_csv(resources: DataFrame, tags: list[str], currency: str | Non
 
 
 def write_resources_csv(resources: DataFrame, path: str, tags: list[str], currency: str | None = None) -> None:
-    resources_for_csv(resources, tags, currency).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """CSV files in a folder, cells as they are: blanks around them stay."""
+    resources_for_csv(resources, tags, currency).write.options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_resources_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What write_resources_csv wrote; an empty cell is an empty string."""
+    back = spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) if kind == "string" else F.col(c) for c, kind in back.dtypes])
 
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:

@@ -158,3 +158,24 @@ def test_report_parts(spark):
 
     parts = audit_tables(tables.event_lines(spark, SF), tables.event_headers(spark, SF), tables.EVENT_MAPPING)
     assert parts["summary"].count() == 1 and parts["fix_first"].count() <= 20 and parts["offenders"].count() <= 100
+
+
+@pytest.mark.parametrize("name", ["write_report", "write_resources_csv"])
+def test_written_parts_against_sql(spark, name, monkeypatch):
+    paths, one = [], billing_csv.write_report if name == "write_report" else billing_csv.write_resources_csv
+    monkeypatch.setattr(billing_csv, name, lambda data, path, *a: paths.append(path) or one(data, path, *a))
+    test_query_against_sql(spark, name)
+    written = os.listdir(paths[0].removeprefix("file://"))
+    if name == "write_report":
+        assert sorted(written) == ["composition", "coverage", "drift", "fix_first", "notes", "offenders", "placeholders", "resources", "services", "summary"]
+    else:
+        assert any(w.endswith(".csv") for w in written)
+
+
+def test_resources_csv_keeps_cells(spark, tmp_path):
+    rows = [(" a ", '5" disk, "b"', 1.5, 2, [], "two\nlines", " x"), ("b", None, 0.25, 1, ["team"], "t", "n/a")]
+    t = spark.createDataFrame(rows, "id string, service string, cost double, line_items long, missing array<string>, owner string, team string")
+    billing_csv.write_resources_csv(t, f"file://{tmp_path}/r", ["owner", "team"], "USD")
+    want = billing_csv.resources_for_csv(t, ["owner", "team"], "USD")
+    got = billing_csv.read_resources_csv(spark, f"file://{tmp_path}/r", want.schema)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
