@@ -244,6 +244,18 @@ def test_quality(spark, empty):
     assert quality.keep_good(real, trees).columns == real.columns
 
 
+def test_quality_of_odd_texts_and_empty_tables(spark, empty):
+    real, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    trees = quality.fit(real, labels)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "\n\n"), (None, "x" * 100_000)], "doc_id long, text string")
+    scored = [r["score"] for r in quality.score(odd, trees).collect()]
+    assert len(scored) == 4 and all(0 <= x <= 1 for x in scored)
+    flat = quality.fit(empty, labels)
+    assert quality.score(odd, flat).select("score").distinct().count() == 1
+    kept = quality.keep_good(real, trees)
+    assert kept.columns == real.columns and 0 < kept.count() < real.count()
+
+
 def test_trees_fit_a_rule():
     x = np.random.default_rng(0).random((2000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
