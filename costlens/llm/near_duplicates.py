@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding with exact verification.
 
-Each text has TREES labels of MAX_DEPTH MinHash values of its word shingles. In a tree texts are sorted by label, and a
-prefix of the label is a node of the tree's trie. Matched prefixes are shortened from MAX_DEPTH until the chance that a
-pair at the threshold shares a prefix in some tree reaches the target recall; texts in one node at that depth are
-candidates. Nodes with the same members as an earlier one are left out. Sets of shingles meet in the nodes, large nodes
-in pairs of blocks, and exact Jaccard decides; a pair counts in the first tree that has both texts in one node.
+Each text has TREES labels of MinHash values of its word shingles. The length of a label is fixed beforehand: the longest
+up to MAX_DEPTH at which the chance that a pair at the threshold shares a label in some tree reaches the target recall (4
+for 0.998 at 0.8). No trie is built and no prefix is shortened on data. Texts of one label are a node and candidates.
+Nodes with the same members as an earlier one are left out. Sets of shingles meet in the nodes, large nodes in pairs of
+blocks, and exact Jaccard decides; a pair counts in the first tree that has both texts in one node.
 
 Equal texts are one text throughout. Tasks return a link count for each text and a spanning forest, never pairs.
 """
