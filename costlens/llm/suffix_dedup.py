@@ -2,18 +2,21 @@
 
 A string of WIDTH bytes is removed wherever it starts if it starts anywhere else too. Suffixes are indexed sparsely:
 every WIDTH-byte window names one anchor inside it, the leftmost smallest CORE-byte core by a random order, so equal
-windows name the same anchor at the same distance, and one anchor in about fifty bytes stands for a run of windows. The
-order of suffixes is that of fixed fingerprints of their first bytes (first the core, then the run's whole context, and
-for what these leave open the windows themselves), as only equality of whole windows matters.
-
-Documents come in batches. Each batch's sorted suffix array is cut into key ranges (costlens.llm.exchange); in each
-range a family of levels takes the batches one after another: a new array is merge-scanned against every level, matches
-are marked on both sides, what is new becomes a level, and levels of like size are merged, so sizes grow geometrically.
+windows name the same anchor at the same distance, and one anchor stands for a run of some fifty windows. A suffix array
+is sorted, but not by the alphabet: by fingerprints of the CORE bytes that begin at the anchor, then of the run's whole
+context, as only equality of whole windows matters.
+
+Documents come in batches. A batch's suffix arrays are cut into key ranges (costlens.llm.exchange), and each range's is a
+row of a new level; levels of like size are merged, so sizes grow geometrically (SuffixIndex). To find what repeats, the
+documents' suffix arrays are merge-scanned against all levels: runs whose context occurs once more repeat as a whole,
+those whose core occurs nowhere else repeat nowhere, and for the rest, the ends of long matches, windows are compared.
+Contexts are compared by 64 bits among those of one 64-bit core, windows by 96 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,59 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm.common import U64, as_bytes, joined, mix, powers, prefix_sums, slices, spans_hash
-from costlens.llm.exchange import Plan, bucket_edges, pack, unpack
+from costlens.llm.common import U64, as_bytes, joined, mix, powers, prefix_sums, shared_dir, slices, spans_hash, text_bytes
+from costlens.llm.exchange import BUCKET_BYTES, Plan, Radix, Run, pack_run, pieces, run_of, united, unpack_run
 
 WIDTH, CORE = 200, 100
 #: A longer document is read in portions of this size that overlap by WIDTH - 1.
 PORTION = 1 << 21
 _ORDER = U64(0xA24BAED4963EE407)
 _TOP = U64(0xFFFFFFFF00000000)
-#: Answers for a run of windows: nothing like it elsewhere; all its windows repeat; open, its windows are asked; all repeat, and its windows answer for all its copies.
-ALONE, REPEATED, OPEN, SPEAKER = range(4)
-
-
-class Levels:
-    """Sorted key arrays with a byte of marks and the batch that brought the key; no key stands in two levels."""
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def scan(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """Which sorted keys some level holds; marks are added to what is held."""
-        hit = np.zeros(len(keys), bool)
-        for k, m, _ in self.levels:
-            at = np.searchsorted(k, keys)
-            at[at == len(k)] = 0
-            found = np.flatnonzero(k[at] == keys)
-            m[at[found]] |= marks[found]
-            hit[found] = True
-        return hit
-
-    def insert(self, keys: np.ndarray, marks: np.ndarray, owner: int) -> None:
-        if len(keys):
-            self.levels.append((keys, marks.astype(np.uint8), np.full(len(keys), owner, np.int32)))
-        while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
-            self._merge()
-
-    def _merge(self) -> None:
-        a, b = self.levels.pop(), self.levels.pop()
-        both = [np.concatenate(x) for x in zip(b, a, strict=True)]
-        order = np.argsort(both[0], kind="stable")
-        self.levels.append(tuple(x[order] for x in both))
-
-    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        while len(self.levels) > 1:
-            self._merge()
-        return self.levels[0] if self.levels else (np.empty(0, U64), np.empty(0, np.uint8), np.empty(0, np.int32))
-
-
-def portions(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+#: What is known of a run of windows: nothing like it elsewhere; all its windows repeat; open, its windows are asked; all repeat, and its windows answer for all its copies.
+ALONE, REPEATED, OPEN, SPEAKER = range(1, 5)
+#: Batches in which repeated_spans adds a table to an index.
+BATCHES = 3
+
+
+def portions(texts: list[bytes], width: int, portion: int = PORTION) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Buffer, its documents' starts in it, their numbers, and the offset of the buffer in its (then only) document."""
-    for lo, hi in slices(texts, PORTION):
-        if hi == lo + 1 and len(texts[lo]) > PORTION + width:
-            for at in range(0, len(texts[lo]) - width + 1, PORTION):
-                buf, off = joined([texts[lo][at : at + PORTION + width - 1]])
+    for lo, hi in slices(texts, portion):
+        if hi == lo + 1 and len(texts[lo]) > portion + width:
+            for at in range(0, len(texts[lo]) - width + 1, portion):
+                buf, off = joined([texts[lo][at : at + portion + width - 1]])
                 yield buf, off, np.array([lo]), at
         else:
             buf, off = joined(texts[lo:hi])
@@ -87,7 +57,7 @@ class Runs:
         n = len(buf)
         self.sums, self.width = prefix_sums(buf), width
         if n < width:
-            self.a = self.z = np.empty(0, np.int64)
+            self.a = self.z = self.at = np.empty(0, np.int64)
             self.core = self.context = np.empty(0, U64)
             return
         low = (self.sums[core:] - self.sums[:-core]) * powers(n + 1)[1][: n - core + 1]
@@ -107,26 +77,16 @@ class Runs:
         same[1:-1] = (anchor[1:] == anchor[:-1]) & fine[1:] & fine[:-1]
         self.a = np.flatnonzero(fine & ~same[:-1])
         self.z = np.flatnonzero(fine & ~same[1:])
-        at = anchor[self.a]
+        self.at = at = anchor[self.a]
         self.core = spans_hash(self.sums, at, at + core)
         self.context = mix(spans_hash(self.sums, self.a, self.z + width) ^ mix((at - self.a).astype(U64) * U64(1 << 20) + self.core))
 
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and fingerprints of the windows of the numbered runs."""
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and fingerprints of the windows of the numbered runs, and 32 bits more from core and distance to it."""
         size = self.z[runs] - self.a[runs] + 1
         start = np.repeat(self.a[runs] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return start, spans_hash(self.sums, start, start + self.width)
-
-
-def _pairs(core: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (core, context) in order, the place of each input in them, and their counts."""
-    order = np.lexsort((context, core))
-    k, c = core[order], context[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return k[new], c[new], place, np.bincount(place, minlength=int(new.sum()))
+        check = mix(np.repeat(self.core[runs], size) + (start - np.repeat(self.at[runs], size)).astype(U64)) >> U64(32)
+        return start, spans_hash(self.sums, start, start + self.width), check
 
 
 def _cat(parts: list[np.ndarray], kind=U64) -> np.ndarray:
@@ -135,87 +95,71 @@ def _cat(parts: list[np.ndarray], kind=U64) -> np.ndarray:
 
 class _Job:
     def __init__(self, width: int, core: int):
-        self.width, self.core = width, core
+        self.width, self.core, self.portion = width, core, PORTION
 
-    def runs(self, docs: pa.Table) -> Iterator[tuple[Runs, np.ndarray, np.ndarray, int]]:
-        for buf, off, own, at in portions(as_bytes(docs.column("text")), self.width):
+    def runs(self, texts: list[bytes]) -> Iterator[tuple[Runs, np.ndarray, np.ndarray, int]]:
+        for buf, off, own, at in portions(texts, self.width, self.portion):
             yield Runs(buf, off, self.width, self.core), off, own, at
 
-    def ask_runs(self, docs: pa.Table, n: int) -> list[bytes]:
-        found = [(r.core, r.context) for r, *_ in self.runs(docs)]
-        k, c, _, count = _pairs(_cat([f[0] for f in found]), _cat([f[1] for f in found]))
-        edge = bucket_edges(k, n)
-        return [pack(k[a:z], c[a:z], np.minimum(count[a:z], 2).astype(np.uint8)) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+    def suffixes(self, texts: list[bytes]) -> Iterator[Run]:
+        """Suffix arrays of slices of the texts: their anchored suffixes in order, by core and context, with counts."""
+        for r, *_ in self.runs(texts):
+            if len(r.a):
+                yield run_of(r.core, np.ones(len(r.a), np.int64), r.context)[0]
+
+    def of_batch(self, docs: pa.Table) -> tuple[list[tuple], Run, np.ndarray]:
+        """The portions of a batch, its suffix array, and the place of each run of windows in it."""
+        parts = list(self.runs(as_bytes(docs.column("text"))))
+        core, context = (_cat([getattr(p[0], name) for p in parts]) for name in ("core", "context"))
+        run, place, _ = run_of(core, np.ones(len(core), np.int64), context)
+        return parts, run, place
+
+    def ask_runs(self, docs: pa.Table, found: dict) -> Run:
+        return self.of_batch(docs)[1]
 
     @staticmethod
-    def answer_runs(bodies: list[bytes]) -> list[bytes]:
-        asked = [unpack(b, "<u8", "<u8", "u1") for b in bodies]
-        cores, contexts = Levels(), Levels()  # marks of cores: 1 repeated, 2 in several contexts; of contexts: 1 repeated
-        for j, (k, c, n) in enumerate(asked):
-            by = np.argsort(c, kind="stable")
-            hit = np.empty(len(c), bool)
-            hit[by] = contexts.scan(c[by], np.ones(len(c), np.uint8))
-            new = by[~hit[by]]
-            contexts.insert(c[new], n[new] > 1, j)
-            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
-            several = np.add.reduceat(np.ones(len(k), np.int64), first) > 1 if len(k) else np.empty(0, bool)
-            unseen = np.add.reduceat((~hit).astype(np.int64), first) > 0 if len(k) else np.empty(0, bool)
-            total = np.add.reduceat(n.astype(np.int64), first) if len(k) else np.empty(0, np.int64)
-            held = cores.scan(k[first], (1 | np.where(unseen | several, 2, 0)).astype(np.uint8))
-            add = ~held
-            cores.insert(k[first][add], ((total > 1) | (several * 2)).astype(np.uint8)[add], j)
-        ck, cm, _ = cores.all()
-        xk, xm, xo = contexts.all()
-        out = []
-        for j, (k, c, _) in enumerate(asked):
-            if not len(k):
-                out.append(b"")
-                continue
-            core, at = cm[np.searchsorted(ck, k)], np.searchsorted(xk, c)
-            code = np.where(xm[at] & 1, np.where((core & 2 > 0) & (xo[at] == j), SPEAKER, REPEATED), np.where(core & 1, OPEN, ALONE))
-            out.append(code.astype(np.uint8).tobytes())
-        return out
-
-    def open_windows(self, docs: pa.Table, answers: dict) -> tuple[list[tuple], np.ndarray]:
-        """For each portion its runs, their codes, and the start and fingerprint of the windows to ask."""
-        code = np.frombuffer(b"".join(answers[k] for k in sorted(answers) if k[0] == 0), np.uint8)
-        parts = list(self.runs(docs))
-        _, _, place, _ = _pairs(_cat([p[0].core for p in parts]), _cat([p[0].context for p in parts]))
-        mine, at, out = code[place], 0, []
+    def codes(asked: Run, held: list[bytes]) -> np.ndarray:
+        """A merge-scan of asked suffixes and the levels that hold one range: what is known of each suffix."""
+        levels = [unpack_run(b) for b in held]
+        both, place, _ = united([*levels, Run(asked.keys, np.zeros(len(asked.keys), np.int64), asked.extra)])
+        mine = place[len(place) - len(asked.keys) :]
+        if not len(mine):
+            return np.empty(0, np.int64)
+        new = np.ones(len(both.keys), bool)
+        new[1:] = both.keys[1:] != both.keys[:-1]
+        of_core = np.add.reduceat(both.counts, np.flatnonzero(new))[np.cumsum(new) - 1]
+        repeated, several = both.counts[mine] > 1, of_core[mine] > both.counts[mine]
+        return np.where(repeated, np.where(several, SPEAKER, REPEATED), np.where(several, OPEN, ALONE))
+
+    def open_windows(self, docs: pa.Table, found: dict) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """For each portion its runs, their codes, and the start and fingerprints of the windows to ask; all fingerprints."""
+        parts, run, place = self.of_batch(docs)
+        code, first = found[0].values[place], found[0].first[place]
+        once = np.zeros(len(place), bool)  # of equal runs of this batch one speaks
+        once[np.unique(place, return_index=True)[1]] = True
+        asks = (code == OPEN) | ((code == SPEAKER) & first & once)
+        at, out = 0, []
         for r, off, own, start in parts:
-            c = mine[at : at + len(r.a)]
+            c, some = code[at : at + len(r.a)], np.flatnonzero(asks[at : at + len(r.a)])
             at += len(r.a)
-            out.append((r.a, r.z, c, *r.windows(np.flatnonzero(c >= OPEN)), off, own, start))
-        return out, _cat([o[4] for o in out])
+            out.append((r.a, r.z, c, *r.windows(some), off, own, start))
+        return out, _cat([o[4] for o in out]), _cat([o[5] for o in out])
 
-    def ask_windows(self, docs: pa.Table, answers: dict, n: int) -> list[bytes]:
-        if not docs.num_rows:
-            return [pack(np.empty(0, U64), np.empty(0, np.uint8))] * n
-        keys, count = np.unique(self.open_windows(docs, answers)[1], return_counts=True)
-        edge = bucket_edges(keys, n)
-        return [pack(keys[a:z], (count[a:z] > 1).astype(np.uint8)) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+    def ask_windows(self, docs: pa.Table, found: dict) -> Run:
+        _, keys, check = self.open_windows(docs, found)
+        return run_of(keys, np.ones(len(keys), np.int64), check)[0]
 
-    @staticmethod
-    def answer_windows(bodies: list[bytes]) -> list[bytes]:
-        asked, windows = [unpack(b, "<u8", "u1") for b in bodies], Levels()
-        for j, (k, n) in enumerate(asked):
-            hit = windows.scan(k, np.ones(len(k), np.uint8))
-            windows.insert(k[~hit], n[~hit], j)
-        keys, marks, _ = windows.all()
-        return [np.packbits(marks[np.searchsorted(keys, k)] > 0).tobytes() if len(k) else b"" for k, _ in asked]
-
-    def spans(self, docs: pa.Table, answers: dict, n: int) -> tuple[list[bytes], list[np.ndarray]]:
+    def spans(self, docs: pa.Table, found: dict) -> tuple[list[bytes], list[np.ndarray]]:
         """Texts and, of each, the maximal removed runs as [from, to) pairs."""
         texts = as_bytes(docs.column("text"))
-        parts, asked = self.open_windows(docs, answers)
-        keys = np.unique(asked)
-        edge = bucket_edges(keys, n)
-        bits = [np.unpackbits(np.frombuffer(answers[1, k], np.uint8), count=int(edge[k + 1] - edge[k])) for k in range(n)]
-        repeated = _cat(bits, np.uint8).astype(bool)
+        parts, keys, check = self.open_windows(docs, found)
+        place = run_of(keys, np.ones(len(keys), np.int64), check)[1]
+        repeated, asked = (found[1].values > 1)[place], 0
         doc, start, end = [], [], []
-        for a, z, code, w, h, off, own, at in parts:
+        for a, z, code, w, h, _, off, own, at in parts:
             sure = np.flatnonzero((code == REPEATED) | (code == SPEAKER))
-            some = w[repeated[np.searchsorted(keys, h)]] if len(h) else w
+            some = w[repeated[asked : asked + len(h)]]
+            asked += len(h)
             s, e = np.concatenate([a[sure], some]), np.concatenate([z[sure], some]) + self.width
             d = np.searchsorted(off, s, "right") - 1
             doc.append(own[d]), start.append(s - off[d] + at), end.append(e - off[d] + at)
@@ -244,26 +188,83 @@ def _kept(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, core: int = CORE, with_kept: bool = False) -> DataFrame:
+class SuffixIndex:
+    """The index family of a growing corpus: levels of suffix arrays below one folder, which all executors see.
+
+    A level is a table of sorted arrays, one row for each of ``buckets`` key ranges. A new batch becomes a level, united
+    with the last levels as long as they are of its size or smaller, so sizes grow geometrically and each suffix is
+    written again a logarithmic number of times. Levels do not change; the list of levels is a table of its own, to
+    which each batch adds a version, so an index can be opened again and a batch that failed leaves no trace.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, levels: list[tuple[str, int]], version: int, buckets: int, width: int, core: int):
+        self.spark, self.path, self.levels, self.version, self.buckets, self.job = spark, path.rstrip("/"), levels, version, buckets, _Job(width, core)
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, expected_bytes: int, width: int = WIDTH, core: int = CORE) -> SuffixIndex:
+        """An empty index. expected_bytes: text that it will hold in the end; more is fine, but a bucket is then larger than BUCKET_BYTES."""
+        return cls(spark, path, [], 0, Radix(max(1, -(-expected_bytes // BUCKET_BYTES))).buckets, width, core)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SuffixIndex:
+        """The index as its last finished batch left it."""
+        rows = spark.read.parquet(f"{path.rstrip('/')}/family")
+        last = rows.where(F.col("version") == rows.agg(F.max("version")).first()[0]).orderBy("nth").collect()
+        return cls(spark, path, [(r["level"], r["bytes"]) for r in last], last[0]["version"], last[0]["buckets"], last[0]["width"], last[0]["core"])
+
+    def rows(self, levels: list[tuple[str, int]]) -> DataFrame:
+        schema = "part int, body binary"
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}" for name, _ in levels]) if levels else self.spark.createDataFrame([], schema)
+
+    def add(self, docs: DataFrame, text: str = "text") -> None:
+        """A batch: documents not in the index yet (the same ones again would count as copies of themselves). Null text is empty; an empty batch is a level without suffixes."""
+        size, kept = text_bytes(docs, text), list(self.levels)
+        radix = Radix(self.buckets)
+        rows = radix.narrowed(pieces(docs, text, radix, self.job.suffixes))[0].select("part", "body")
+        while kept and kept[-1][1] <= size:
+            rows = rows.unionByName(self.rows(kept[-1:]))
+            size += kept.pop()[1]
+
+        def unite(t: pa.Table) -> pa.Table:
+            run = united([unpack_run(b) for b in t.column("body").to_pylist()])[0]
+            return pa.table([t.column("part")[:1], pa.array([pack_run(run)], pa.binary())], names=["part", "body"])
+
+        name = f"level-{self.version + 1}-{uuid.uuid4().hex}"
+        rows.groupBy("part").applyInArrow(unite, "part int, body binary").write.parquet(f"{self.path}/{name}")
+        self.levels, self.version = [*kept, (name, size)], self.version + 1
+        family = [(self.version, k, n, b, self.buckets, self.job.width, self.job.core) for k, (n, b) in enumerate(self.levels)]
+        self.spark.createDataFrame(family, "version int, nth int, level string, bytes long, buckets int, width int, core int").coalesce(1).write.mode("append").parquet(f"{self.path}/family")
+
+    def spans(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
+        """As repeated_spans, for all documents of the index: those of earlier batches too lose what a later one repeats."""
+        columns = {"doc_id": F.col(doc_id), "text": F.coalesce(F.col(text), F.lit(""))}
+        plan, job = Plan(docs, columns, text, buckets=self.buckets), self.job
+        runs = plan.ask(job.ask_runs, 0, levels=self.rows(self.levels), value=job.codes)
+        windows = plan.ask(job.ask_windows, 1, before=runs)
+        kind = docs.select(F.col(doc_id)).dtypes[0][1]
+
+        def last(table: pa.Table, found: dict) -> pa.Table:
+            texts, spans = job.spans(table, found) if table.num_rows else ([], [])
+            kept = [_kept(t, s) for t, s in zip(texts, spans, strict=True)]
+            columns = [table.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([s.ravel().tolist() for s in spans], pa.list_(pa.int64())), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            return pa.table(columns + [pa.array(kept, pa.binary())] * with_kept, names=["doc_id", "n_bytes", "spans", "kept_sha256", *["kept"] * with_kept])
+
+        return plan.finish(runs.unionByName(windows), last, f"doc_id {kind}, n_bytes long, spans array<long>, kept_sha256 string" + ", kept binary" * with_kept)
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, core: int = CORE, with_kept: bool = False, batches: int = BATCHES) -> DataFrame:
     """One row per row: doc_id, n_bytes, spans (maximal removed runs, [from, to) byte pairs in one array), kept_sha256, and with_kept the kept bytes (binary, as a cut may fall inside a character).
 
     Each byte covered by a width-byte string that also starts anywhere else in the table, the same document included, is
     removed; strings are judged on the input. Matches never cross documents. Null text is empty; texts shorter than
-    width keep all; repeated rows are copies of each other and lose all their windows.
+    width keep all; a text of any length is read in portions; repeated rows are copies of each other and lose all their
+    windows. The table goes into a new index in ``batches`` batches, whose number does not change the result.
     """
-    columns = {"doc_id": F.col(doc_id), "text": F.coalesce(F.col(text), F.lit(""))}
-    plan, job = Plan(docs, columns, text, bytes_per_text_byte=2.0), _Job(width, core)
-    runs = plan.ask(None, job.ask_runs, job.answer_runs, 0)
-    windows = plan.ask(None, None, job.answer_windows, 1, before=runs, question2=job.ask_windows)
-    kind, n = docs.select(F.col(doc_id)).dtypes[0][1], plan.n_buckets
-
-    def last(table: pa.Table, answers: dict) -> pa.Table:
-        texts, spans = job.spans(table, answers, n) if table.num_rows else ([], [])
-        kept = [_kept(t, s) for t, s in zip(texts, spans, strict=True)]
-        columns = [table.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([s.ravel().tolist() for s in spans], pa.list_(pa.int64())), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-        return pa.table(columns + [pa.array(kept, pa.binary())] * with_kept, names=["doc_id", "n_bytes", "spans", "kept_sha256", *["kept"] * with_kept])
-
-    return plan.finish(runs.unionByName(windows), last, f"doc_id {kind}, n_bytes long, spans array<long>, kept_sha256 string" + ", kept binary" * with_kept)
+    spark = docs.sparkSession
+    index = SuffixIndex.create(spark, shared_dir(spark), text_bytes(docs, text), width, core)
+    for k in range(batches):
+        index.add(docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(batches)) == k), text)
+    return index.spans(docs, doc_id, text, with_kept)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from costlens.llm import ann, bpe, common, decontaminate, langid, line_dedup, lm, near_duplicates, quality, sharding, suffix_dedup
+from costlens.llm import ann, bpe, common, decontaminate, exchange, langid, line_dedup, lm, near_duplicates, quality, sharding, suffix_dedup
 from costlens.llm.common import held_out
 
 DOCS = "doc_id long, text string, tid string, links int"
@@ -118,63 +118,124 @@ def brute_spans(texts, width):
     return out
 
 
-@pytest.mark.parametrize("width,core", [(200, 100), (20, 8)])
-def test_suffix_dedup(spark, docs, empty, width, core):
+@pytest.mark.parametrize("width,core,batches", [(200, 100, 3), (20, 8, 1), (20, 8, 3), (20, 8, 10)])
+def test_suffix_dedup(spark, docs, empty, width, core, batches):
     rows = [(i, t) for i, t, *_ in corpus() if t is None or len(t) < 100_000]
     rows += [(100 + k, "pre %d " % k + "shared passage with many words in it " * 8 + words(k, 30)[k] * 3) for k in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = suffix_dedup.repeated_spans(df, width=width, core=core, with_kept=True).collect()
+    got = suffix_dedup.repeated_spans(df, width=width, core=core, with_kept=True, batches=batches).collect()
     want = brute_spans([(t or "").encode() for _, t in rows], width)
     key = lambda x: (str(x[0]), x[1])
     assert sorted([(r["doc_id"], bytes(r["kept"]), r["spans"]) for r in got], key=key) == sorted([(i, k, s) for (i, _), (s, k) in zip(rows, want, strict=True)], key=key)
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
+def many_small_batches(monkeypatch, radix=4096):
+    """Batches of a few documents and key ranges of a few hundred bytes."""
+    monkeypatch.setattr(exchange, "BATCH_BYTES", 8_000)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 8_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 8_000)
+    monkeypatch.setattr(exchange, "RADIX", radix)
+
+
 def test_long_document_in_portions(spark, monkeypatch):
     text = " ".join(words(8, 3000))
     rows = [(0, text + text[500:1500]), (1, text[700:1200])]
-    whole = sorted(map(tuple, suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    texts, want = [t.encode() for _, t in rows], brute_spans([t.encode() for _, t in rows], 200)
-    assert [r[2] for r in whole] == [w[0] for w in want]
-    monkeypatch.setattr(suffix_dedup, "PORTION", 1000)
-    parts = list(suffix_dedup.portions(texts, 200))
-    assert sum(max(0, len(b) - 200) for b, *_ in parts) == sum(len(t) - 199 for t in texts)
-
-
-def test_levels_merge():
-    rng, levels, seen = np.random.default_rng(0), suffix_dedup.Levels(), set()
-    for j in range(20):
-        keys = np.unique(rng.integers(0, 3000, 200).astype(np.uint64))
-        hit = levels.scan(keys, np.ones(len(keys), np.uint8))
-        assert hit.tolist() == [int(k) in seen for k in keys]
-        levels.insert(keys[~hit], np.zeros(int((~hit).sum())), j)
-        seen |= set(keys.tolist())
-    assert len(levels.levels) <= 12 and len(levels.all()[0]) == len(seen)
-
-
-def test_lm(docs, empty):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [w[0] for w in brute_spans([t.encode() for _, t in rows], 200)]
+    assert [r["spans"] for r in sorted(suffix_dedup.repeated_spans(df).collect())] == want
+    # The same in portions of a thousand bytes, in tasks that see the small constant as they run in this test's own worker.
+    parts = list(suffix_dedup.portions([t.encode() for _, t in rows], 200, 1000))
+    assert sum(max(0, len(b) - 200) for b, *_ in parts) == sum(len(t) - 199 for _, t in rows) and len(parts) > 15
+    index = suffix_dedup.SuffixIndex.create(spark, common.shared_dir(spark), 10_000)
+    index.job.portion = 1000
+    index.add(df)
+    assert [r["spans"] for r in sorted(index.spans(df).collect())] == want
+
+
+def test_index_grows_by_levels_and_opens_again(spark):
+    path = common.shared_dir(spark)
+    shared = "a passage that later batches repeat " * 3
+    rows = [(k, " ".join(words(100 + k, 40)) + (shared if k in (1, 6, 7) else "")) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = []
+    index = suffix_dedup.SuffixIndex.create(spark, path, 3_000, 20, 8)
+    for k in range(4):
+        index.add(df.where(f"doc_id div 2 = {k}"))
+        index = suffix_dedup.SuffixIndex.open(spark, path)
+        sizes.append(len(index.levels))
+        so_far = df.where(f"doc_id div 2 <= {k}")
+        want = brute_spans([t.encode() for i, t in rows if i // 2 <= k], 20)
+        assert [r["spans"] for r in sorted(index.spans(so_far).collect())] == [w[0] for w in want]
+    assert index.version == 4 and sum(b for _, b in index.levels) == sum(len(t) for _, t in rows) and max(sizes) > 1 > sizes[-1] - sizes[0] - 1
+
+
+@pytest.mark.parametrize("radix", [4096, 3])
+def test_many_batches_and_ranges(spark, monkeypatch, radix):
+    real = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0").select("doc_id", "text")
+    rows = [tuple(r) for r in real.collect()]
+    lm_whole = sorted(map(tuple, lm.score(real, held_out("doc_id", 5, 1)).collect()))
+    want = {i: w[0] for (i, _), w in zip(rows, brute_spans([(t or "").encode() for _, t in rows], 200), strict=True)}
+    many_small_batches(monkeypatch, radix)
+    plan = exchange.Plan(real, {"doc_id": F.col("doc_id"), "text": F.coalesce(F.col("text"), F.lit("")), "held_out": held_out("doc_id", 5, 1)})
+    assert plan.n_batches >= 25 and plan.radix.buckets >= 25 and plan.radix.depth == (1 if radix == 4096 else plan.radix.depth) and plan.radix.fan <= radix
+    # Each step has one row for each batch, or group of batches, and range: in proportion to the table.
+    asked = plan.asked(lambda t, f: lm.Walks(t, 3).learn(f))
+    assert asked.count() <= plan.n_batches * plan.radix.fan
+    rows_last, before = plan.radix.narrowed(asked)
+    assert len(before) == plan.radix.depth - 1 and rows_last.count() <= 2 * plan.n_batches * plan.radix.fan + plan.radix.buckets * plan.radix.fan
+    got = sorted(map(tuple, lm.score(real, held_out("doc_id", 5, 1)).collect()))
+    assert [g[:5] for g in got] == [w[:5] for w in lm_whole] and np.allclose([g[5:] for g in got], [w[5:] for w in lm_whole])
+    assert {r["doc_id"]: r["spans"] for r in suffix_dedup.repeated_spans(real).collect()} == want
+
+
+def test_packed_runs():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 1000):
+        keys = rng.integers(0, 2**64, n, dtype=np.uint64)
+        counts = rng.integers(0, 400, n)
+        for extra in (None, rng.integers(0, 2**32, n, dtype=np.uint64)):
+            run, place, _ = exchange.run_of(np.concatenate([keys, keys]), np.concatenate([counts, counts]), None if extra is None else np.concatenate([extra, extra + np.uint64(1)]))
+            back = exchange.unpack_run(exchange.pack_run(run))
+            assert (back.keys == run.keys).all() and (back.counts == run.counts).all() and (extra is None) == (back.extra is None)
+            assert extra is None or ((back.extra == run.extra).all() and len(run.keys) == 2 * n)
+            assert len(place) == 2 * n and (extra is not None or run.counts.sum() == 2 * counts.sum())
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm(docs, empty, order):
     rows = corpus()
     tok = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", low(t)), None]
     train = [tok(t) for i, t, *_ in rows if zlib.crc32(str(i if i is not None else "").encode()) % 5 != 1]
-    c = collections.Counter(w for t in train for w in t)
-    c2 = collections.Counter(p for t in train for p in zip(t, t[1:]))
-    n, v = sum(c.values()), len(c)
-    fan = collections.Counter(a for a, _ in c2)
-    once, twice = sum(x == 1 for x in c2.values()), sum(x == 2 for x in c2.values())
-    d = min(0.95, max(0.1, once / (once + 2 * twice)))
-    p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-
-    def p2(a, b):
-        fail = d * fan[a] / c[a] if fan[a] else 1.0
-        return (c2[a, b] - d) / c[a] + fail * p1(b) if c2[a, b] else fail * p1(b)
+    c = collections.Counter(tuple(t[k : k + n]) for t in train for n in range(1, order + 1) for k in range(len(t) - n + 1))
+    total, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    p1 = lambda w: (c[w,] + 0.5) / (total + 0.5 * (v + 1))
 
-    def walk(t):
-        return math.log10(p1(t[0])) + sum(math.log10(p2(a, b)) for a, b in zip(t, t[1:]))
+    def p(h, w):
+        if not h:
+            return p1(w)
+        mass = lm.PAIR_MASS if len(h) == 1 else lm.MASS
+        return (c[*h, w] + mass * p(h[1:], w)) / (c[h] + mass) if c[h] else p(h[1:], w)
 
-    want = sorted((str(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(sum(math.log10(p1(w)) for w in tok(t)), 4), round(walk(tok(t)), 4)) for i, t, *_ in rows)
-    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in lm.score(docs, held_out("doc_id", 5, 1)).collect())
+    def walk(t):
+        """The automaton, one token after another, by its arcs and failure arcs."""
+        state, sum_ = (), 0.0
+        for w in t:
+            while state and not c[*state, w]:
+                sum_ += math.log10((lm.PAIR_MASS if len(state) == 1 else lm.MASS) / (c[state] + (lm.PAIR_MASS if len(state) == 1 else lm.MASS)))
+                state = state[1:]
+            sum_ += math.log10(p(state, w))
+            state = (*state, w)[-(order - 1) :]
+            while state and not c[state]:
+                state = state[1:]
+        return sum_
+
+    want = sorted((str(i), len(tok(t)), sum(c[w,] > 0 for w in tok(t)), total, round(sum(math.log10(p1(w)) for w in tok(t)), 4), round(walk(tok(t)), 3)) for i, t, *_ in rows)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 3)) for r in lm.score(docs, held_out("doc_id", 5, 1), order=order).collect())
     assert got == want
-    assert abs(sum(p2("one".encode(), w) for w in c) + p2("one".encode(), "never") - 1) < 1e-9  # a distribution over known tokens and one unknown
+    known = [g[0] for g in c if len(g) == 1]
+    for h in ((b"one",), (b"one", b"two"), (b"never",)):
+        assert abs(sum(p(h[: order - 1], w) for w in known) + p(h[: order - 1], b"unseen") - 1) < 1e-9  # a distribution over known tokens and one unknown
     assert lm.score(empty, held_out("doc_id", 5, 1)).count() == 0
 
 
