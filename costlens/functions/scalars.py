@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from costlens.functions.policy import NULL_TOKENS, RESOURCE_LABELS, SPEND_LABELS
 #: White space that is stripped: ASCII's, then Unicode's blanks, line marks and the byte-order mark.
 BLANK = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 MONEY = "decimal(38,12)"
+HEADER_MARKS = r"[\s\-_./:()]+"
+# The prefixes of tag columns, in the order in which they are taken off.
+TAG_PREFIXES = (r"resource[\s_]*tags?[\s_]*[/:.]?[\s_]*user[\s_]*[/:._]", r"resource[\s_]*tags?[\s_]*[/:._]", r"user[\s_]*[/:.]", r"tags?[\s_]*[/:.]", r"labels?[\s_]*[/:.]")
 
 
 def stripped(c: Column) -> Column:
@@ -18,13 +23,17 @@ def stripped(c: Column) -> Column:
 
 
 def normalize_header(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[\s\-_./:()]+", "")
+    return F.regexp_replace(F.lower(c), HEADER_MARKS, "")
+
+
+def plain_header(text: str) -> str:
+    """normalize_header for names that a policy states."""
+    return re.sub(HEADER_MARKS, "", text.lower(), flags=re.ASCII)
 
 
 def strip_tag_prefix(c: Column) -> Column:
     """Provider prefixes of tag columns taken off, one after another."""
-    # The prefixes.
-    for prefix in (r"resource[\s_]*tags?[\s_]*[/:.]?[\s_]*user[\s_]*[/:._]", r"resource[\s_]*tags?[\s_]*[/:._]", r"user[\s_]*[/:.]", r"tags?[\s_]*[/:.]", r"labels?[\s_]*[/:.]"):
+    for prefix in TAG_PREFIXES:
         c = F.regexp_replace(c, f"(?i)^{prefix}", "")
     return stripped(c)
 

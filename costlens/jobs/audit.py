@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from costlens.functions.policy import Mapping, Policy
 from costlens.operators import coverage, drift, explore, lines, mapping, resources
 from costlens.sources import billing_csv as io
+from costlens.sources.shared import written
 
 
 def audit_tables(canonical: DataFrame, headers: DataFrame, how: Mapping, policy: Policy = Policy()) -> dict[str, DataFrame]:
-    """All parts of the report. The resource table is cached: every part reads it."""
+    """All parts of the report. The resource table is written once to the shared folder: every part reads it."""
     classified = lines.classify_lines(canonical, how, policy)
-    table = resources.resource_table(classified, how, policy).persist()
+    table = written(resources.resource_table(classified, how, policy))
     summary = coverage.audit_summary(classified, table, how, policy)
     return {
         "summary": summary,
@@ -28,10 +29,12 @@ def audit_tables(canonical: DataFrame, headers: DataFrame, how: Mapping, policy:
     }
 
 
-def audit_csv(spark: SparkSession, path: str, sep: str = ",", how: Mapping | None = None, policy: Policy = Policy(), sample: int = 500) -> dict[str, DataFrame]:
-    """Read, map (unless how is given), audit. Several currencies raise ValueError, as does input without header, rows or mapped tag."""
+def audit_csv(spark: SparkSession, path: str, sep: str = ",", how: Mapping | None = None, policy: Policy = Policy(), sample: int = 500, multi_line: bool | None = None) -> dict[str, DataFrame]:
+    """Read, map (unless how is given), audit. multi_line as in read_line_items. Several currencies raise ValueError, as does input without header, rows or mapped tag."""
     names = io.read_headers(spark, path, sep)
-    good, rejected = io.split_malformed(io.read_line_items(spark, path, sep))
+    if not any(names):
+        raise ValueError(io.REFUSALS["header"])
+    good, rejected = io.split_malformed(io.read_line_items(spark, path, sep, multi_line))
     io.input_guard(names, good)
     headers = io.header_table(spark, names)
     how = how or mapping.detect_mapping(headers, io.cell_table(io.sample_lines(good, sample)), "file", policy)

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens.functions import scalars as S
-from costlens.functions.policy import DEFAULT_TAGS, ENV_ALIASES, NULL_TOKENS, RESOURCE_LABELS, ROLE_SYNONYMS, SPEND_LABELS, UNTAGGABLE
+from costlens.functions.policy import DEFAULT_TAGS, ENV_ALIASES, NULL_TOKENS, RESOURCE_LABELS, ROLE_SYNONYMS, SPEND_LABELS, UNTAGGABLE, Mapping
 from costlens.operators import coverage, drift, explore, lines, mapping, resources
 from costlens.sources import billing_csv, tables
+from costlens.sources.shared import shared_dir
 
 M = tables.EVENT_MAPPING
 TAGS = ["owner", "team", "environment", "cost_center"]
@@ -22,12 +23,12 @@ NULLS, HELD = quote(NULL_TOKENS), quote(t for t in NULL_TOKENS if t)
 norm = lambda c: f"lower(trim(coalesce({c}, ''), ' ' || chr(9) || chr(10) || chr(13)))"
 r2 = lambda x: f"(floor(({x})::DOUBLE * 100 + 0.5) / 100)"
 pct = lambda a, b: f"(CASE WHEN ({b}) = 0 THEN 100.0 ELSE floor(({a})::DOUBLE / ({b})::DOUBLE * 100 * 100 + 0.5) / 100 END)"
-header_norm = lambda c: f"regexp_replace(lower({c}), '[\\s\\-_./:()]+', '', 'g')"
+header_norm = lambda c: f"regexp_replace(lower({c}), '{S.HEADER_MARKS}', '', 'g')"
 grade = lambda s: f"(CASE WHEN {s} IS NULL THEN NULL WHEN {s} >= 95 THEN 'A' WHEN {s} >= 85 THEN 'B' WHEN {s} >= 70 THEN 'C' WHEN {s} >= 50 THEN 'D' ELSE 'F' END)"
 
 
 def stripped_prefix(c: str) -> str:
-    for p in (r"resource[\s_]*tags?[\s_]*[/:.]?[\s_]*user[\s_]*[/:._]", r"resource[\s_]*tags?[\s_]*[/:._]", r"user[\s_]*[/:.]", r"tags?[\s_]*[/:.]", r"labels?[\s_]*[/:.]"):
+    for p in S.TAG_PREFIXES:
         c = f"regexp_replace({c}, '^{p}', '', 'i')"
     return f"trim({c})"
 
@@ -185,50 +186,50 @@ def _explore(s: SparkSession, d: str) -> DataFrame:
 
 
 def _export(s: SparkSession, d: str) -> str:
-    """Events as CSV files in the shared folder: quoted cells with quotes inside, and a field too many on every tenth line."""
-    import uuid
-
-    root = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-export"
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    quoted = F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('""')), F.lit('"'))
+    """Events as four CSV files in the shared folder, in order: quoted cells with quotes and, in one file, line breaks inside, and a field too many on every tenth row."""
+    path = shared_dir(s)
+    props = F.when(F.col("event_id") % 4 == 1, F.concat("props", F.lit("\nsecond line"))).otherwise(F.col("props"))
+    quoted = F.concat(F.lit('"'), F.replace(props, F.lit('"'), F.lit('""')), F.lit('"'))
     row = F.concat_ws(",", F.col("event_id").cast("string"), F.col("event_type"), quoted, F.when(F.col("event_id") % 10 == 0, F.lit("7,extra")).otherwise("7"))
     # Every file begins with the header: it sorts first in each partition.
-    body = s.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % 4).alias("p"), F.lit(1).alias("o"), row.alias("value"))
-    head = s.range(4).select(F.col("id").alias("p"), F.lit(0).alias("o"), F.lit("Event Id,Type, Props ,n").alias("value"))
-    body.unionByName(head).repartition(4, "p").sortWithinPartitions("p", "o").select("p", "value").write.partitionBy("p").text(path)
+    body = s.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % 4).alias("p"), F.lit(1).alias("o"), F.col("event_id").alias("id"), row.alias("value"))
+    head = s.range(4).select(F.col("id").alias("p"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("id"), F.lit("Event Id,Type, Props ,n").alias("value"))
+    body.unionByName(head).repartition(4, "p").sortWithinPartitions("p", "o", "id").select("p", "value").write.partitionBy("p").text(path)
     return f"{path}/p=*"
 
 
 def _read(s: SparkSession, d: str) -> DataFrame:
     good, _ = billing_csv.split_malformed(billing_csv.read_line_items(s, _export(s, d)))
-    return good.select(F.col("c0").cast("long").alias("event_id"), F.col("c1").alias("type"), F.col("c2").alias("props"), F.col("c3").alias("n"))
+    return good.select("line_no", F.col("c0").cast("long").alias("event_id"), F.col("c1").alias("type"), F.col("c2").alias("props"), F.col("c3").alias("n"))
 
 
 def _rejected(s: SparkSession, d: str) -> DataFrame:
     _, bad = billing_csv.split_malformed(billing_csv.read_line_items(s, _export(s, d)))
-    return bad.select(F.col("c0").cast("long").alias("event_id"))
-
+    return bad.select("line_no", F.col("c0").cast("long").alias("event_id"))
 
-def _folder(s: SparkSession, name: str) -> str:
-    import uuid
 
-    root = s.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/spark-{name}"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+def _checks(s: SparkSession, d: str) -> DataFrame:
+    """The guard's checks of the exported file, with a mapping that has no tag."""
+    path = _export(s, d)
+    good, _ = billing_csv.split_malformed(billing_csv.read_line_items(s, path))
+    return billing_csv.input_checks(billing_csv.read_headers(s, path), good, M).unionByName(billing_csv.input_checks([], good.limit(0), Mapping()).withColumn("check", F.concat(F.lit("empty "), "check")))
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
-    """All parts of the report written as tables; rows of four of them, read again, as the SQL states."""
+    """All ten parts of the report written as tables; the number of rows of each and the sum of its amounts, read again."""
     from costlens.jobs.audit import audit_tables
 
     parts = audit_tables(tables.event_lines(s, d), tables.event_headers(s, d).where(F.col("source") == "export-3"), M)
-    path = _folder(s, "report")
+    path = shared_dir(s)
     billing_csv.write_report(parts, path)
-    return reduce(DataFrame.unionByName, [s.read.parquet(f"{path}/{k}").agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k in ("summary", "coverage", "placeholders", "services")])
+    amounts = {"summary": "total_cost", "coverage": "solo_recoverable_cost", "placeholders": "occurrences", "services": "total_cost", "resources": "cost", "offenders": "cost", "fix_first": "cost", "composition": "amount", "notes": "count", "drift": "stage"}
+    total = lambda k: S.round2(F.sum(F.col(amounts[k]).cast("double")))
+    return reduce(DataFrame.unionByName, [s.read.parquet(f"{path}/{k}").agg(F.count("*").alias("n"), total(k).alias("amount")).select(F.lit(k).alias("part"), "n", "amount") for k in amounts])
 
 
 def _resources_csv(s: SparkSession, d: str) -> DataFrame:
     """The exported list written as CSV and read again."""
-    t, path = table(s, d), _folder(s, "resources")
+    t, path = table(s, d), shared_dir(s)
     billing_csv.write_resources_csv(t, path, TAGS, "USD")
     return _joined(billing_csv.read_resources_csv(s, path, billing_csv.resources_for_csv(t, TAGS, "USD").schema))
 
@@ -242,6 +243,26 @@ def _labels(labels: dict[str, str], g: str) -> str:
     return f"CASE {g} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + " END"
 
 
+def _best(s: SparkSession, d: str) -> DataFrame:
+    """The best header of each role, and the best filled column of each source."""
+    h, c = tables.event_headers(s, d), tables.event_cells(s, d)
+    filled = mapping.best_per_group(h.join(mapping.column_fill_counts(c), ["source", "position"]), ["source"], F.desc("filled"), "position")
+    return mapping.map_roles(h).select("source", F.col("role").alias("name"), "position", "header").unionByName(filled.select("source", F.lit("filled").alias("name"), "position", "header"))
+
+
+#: Rows of the exported files, numbered file after file.
+POSITIONS = "SELECT *, row_number() OVER (ORDER BY event_id % 4, event_id) AS line_no FROM events"
+#: The parts of the report: rows and the sum of an amount.
+SOLO = " UNION ALL ".join(f"SELECT {r2('coalesce(sum(cost) FILTER (missing = [' + repr(k) + ']), 0)')} AS s FROM res" for k in TAGS)
+SERVICES = "SELECT coalesce(service, '(no service)') AS service, floor(sum(cost)::DOUBLE * 100 + 0.5) / 100 AS total_cost FROM res GROUP BY 1"
+PARTS = "SELECT unnest(['allocatable', 'unallocated', 'untaggable']) AS part, unnest([greatest(0, total_cost - unallocated_cost), unallocated_cost, greatest(0, untaggable_cost)]) AS amount FROM summary"
+NOTES = "SELECT unnest([untaggable_count, credit_count, netted_count, negative_count, cost_missing_count, merged_lines]) AS count FROM summary"
+OFFENDERS = "SELECT cost FROM res WHERE NOT compliant ORDER BY res.cost DESC, first_line LIMIT 100"
+FINDINGS = "SELECT type, tag, members, min(stage) AS stage FROM (SELECT type, tag, members, stage FROM kd0 WHERE source = 'export-3' UNION ALL SELECT type, tag, members, stage FROM kd1 WHERE source = 'export-3' UNION ALL SELECT type, tag, members, stage FROM variants UNION ALL SELECT type, tag, members, stage FROM aliases UNION ALL SELECT type, tag, members, stage FROM pairs) GROUP BY type, tag, members"
+REPORT = " UNION ALL ".join(f"SELECT '{part}' AS part, count(*) AS n, {r2(f'sum({amount})')} AS amount FROM ({q}) AS q" for part, amount, q in [
+    ("summary", "total_cost", "SELECT * FROM summary"), ("coverage", "s", SOLO), ("placeholders", "occurrences", "SELECT value, count(*) AS occurrences FROM holders GROUP BY 1"), ("services", "total_cost", SERVICES), ("resources", "cost", "SELECT cost FROM res"),
+    ("offenders", "cost", OFFENDERS), ("fix_first", "cost", f"SELECT cost FROM ({OFFENDERS}) WHERE cost >= 0.01 ORDER BY cost DESC LIMIT 20"), ("composition", "amount", f"SELECT {r2('amount')} AS amount FROM ({PARTS}) WHERE amount > 0"), ("notes", "count", f"SELECT count FROM ({NOTES}) WHERE count > 0"), ("drift", "stage", FINDINGS),
+])
 G = grade("(value * 10 % 100)")
 Q: dict[str, tuple] = {
     "to_canonical": (lambda s, d: tables.event_lines(s, d), sql("SELECT * FROM lines")),
@@ -297,7 +318,7 @@ Q: dict[str, tuple] = {
     "list_services": (lambda s, d: explore.list_services(table(s, d)), sql("SELECT DISTINCT coalesce(service, '(no service)') AS service FROM res")),
     "explore_resources": (_explore, sql(f"SELECT {RES}, count(*) OVER () AS matches FROM res WHERE contains(lower(id), 'res-1') AND NOT compliant AND list_contains(res.missing, 'owner') ORDER BY res.cost DESC, first_line LIMIT 200")),
     "write_resources_csv": (_resources_csv, sql("SELECT id AS resource_id, coalesce(service, '') AS service, cost::DOUBLE AS \"cost_USD\", line_items, " + ", ".join(f"CASE WHEN list_contains(missing, '{k}') THEN '' ELSE {k} END AS {k}" for k in TAGS) + " FROM res")),
-    "write_report": (_report, sql("SELECT 'summary' AS part, 1 AS n UNION ALL SELECT 'coverage', 4 UNION ALL SELECT 'placeholders', (SELECT count(DISTINCT value) FROM holders) UNION ALL SELECT 'services', (SELECT count(DISTINCT coalesce(service, '(no service)')) FROM res)")),
+    "write_report": (_report, sql(REPORT)),
     "key_drift_normalized": (lambda s, d: _joined(drift.key_drift_normalized(tables.event_headers(s, d))), sql(f"SELECT source, {F_COLS} FROM kd0")),
     "key_drift_synonyms": (lambda s, d: _joined(drift.key_drift_synonyms(tables.event_headers(s, d))), sql(f"SELECT source, {F_COLS} FROM kd1")),
     "value_drift_variants": (_find(drift.value_drift_variants), sql(f"SELECT {F_COLS} FROM variants")),
@@ -309,7 +330,7 @@ Q: dict[str, tuple] = {
     "drift_findings": (_all_drift, sql(f"SELECT {F_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY type, tag, members ORDER BY stage, position, reason) AS k FROM (SELECT type, tag, reason, members, stage, position FROM kd0 WHERE source = 'export-3' UNION ALL SELECT type, tag, reason, members, stage, position FROM kd1 WHERE source = 'export-3' UNION ALL SELECT * FROM variants UNION ALL SELECT * FROM aliases UNION ALL SELECT * FROM pairs)) WHERE k = 1")),
     "earliest_finding": (lambda s, d: _joined(drift.earliest_finding(drift.key_drift_normalized(tables.event_headers(s, d)).unionByName(drift.key_drift_synonyms(tables.event_headers(s, d))), ["source", "members"])), sql(f"SELECT source, {F_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY source, members ORDER BY stage, position, reason) AS k FROM (SELECT * FROM kd0 UNION ALL SELECT * FROM kd1)) WHERE k = 1")),
     "map_roles": (_head(lambda h, c: mapping.map_roles(h)), sql("SELECT * FROM roles")),
-    "best_per_group": (_head(lambda h, c: mapping.map_tags(h, c)), sql("SELECT * FROM tagged")),
+    "best_per_group": (_best, sql("SELECT source, role AS name, position, header FROM roles UNION ALL SELECT source, 'filled', position, header FROM (SELECT h.source, h.position, header, row_number() OVER (PARTITION BY h.source ORDER BY filled DESC, h.position) AS k FROM headers h JOIN fill USING (source, position)) WHERE k = 1")),
     "map_tags": (_head(lambda h, c: mapping.map_tags(h, c)), sql("SELECT * FROM tagged")),
     "column_fill_counts": (_head(lambda h, c: mapping.column_fill_counts(c)), sql("SELECT * FROM fill")),
     "detect_json_tag_column": (_head(mapping.detect_json_tag_column), sql("SELECT * FROM jcol")),
@@ -318,8 +339,9 @@ Q: dict[str, tuple] = {
     "unmapped_json_keys": (_unmapped, sql("SELECT source, key FROM jkeys EXCEPT SELECT source, key FROM jmap")),
     "classify_preset": (_head(lambda h, c: mapping.classify_preset(h)), sql("SELECT source, CASE WHEN bool_or(norm = 'billedcost') AND bool_or(norm IN ('chargecategory', 'providername')) THEN 'focus' WHEN bool_or(norm LIKE 'lineitem%') THEN 'aws-cur' WHEN bool_or(norm IN ('metercategory', 'pretaxcost', 'costinbillingcurrency', 'resourcelocation')) THEN 'azure-cost-mgmt' WHEN bool_or(norm IN ('unblendedcost', 'amortizedcost')) THEN 'aws-cost-explorer' ELSE 'generic' END AS preset FROM forms GROUP BY source")),
     "mapping_confidence": (_head(mapping.mapping_confidence), sql("SELECT s.source, floor((coalesce((SELECT max(0.3::DOUBLE) FROM roles r WHERE r.source = s.source AND role = 'resourceId'), 0) + coalesce((SELECT max(0.3::DOUBLE) FROM roles r WHERE r.source = s.source AND role = 'cost'), 0) + 0.4::DOUBLE * ((SELECT count(*) FROM tagged t WHERE t.source = s.source)::DOUBLE / 4)) * 100 + 0.5) / 100 AS confidence FROM (SELECT DISTINCT source FROM headers) s")),
-    "read_line_items": (_read, """SELECT event_id, event_type AS type, props, '7' AS n FROM events WHERE event_id % 10 <> 0"""),
-    "split_malformed": (_rejected, "SELECT event_id FROM events WHERE event_id % 10 = 0"),
+    "read_line_items": (_read, f"""SELECT line_no, event_id, event_type AS type, CASE WHEN event_id % 4 = 1 THEN props || chr(10) || 'second line' ELSE props END AS props, '7' AS n FROM ({POSITIONS}) WHERE event_id % 10 <> 0"""),
+    "split_malformed": (_rejected, f"SELECT line_no, event_id FROM ({POSITIONS}) WHERE event_id % 10 = 0"),
+    "input_guard": (_checks, "SELECT 'header' AS \"check\", true AS passed UNION ALL SELECT 'tags', true UNION ALL SELECT 'rows', count(*) > 0 FROM events WHERE event_id % 10 <> 0 UNION ALL SELECT 'empty header', false UNION ALL SELECT 'empty tags', false UNION ALL SELECT 'empty rows', count(*) < 0 FROM events"),
     "sample_lines": (lambda s, d: billing_csv.sample_lines(tables.event_lines(s, d)).select("line_no", "resource_id"), sql("SELECT line_no, resource_id FROM lines ORDER BY line_no LIMIT 500")),
     "volume_rollup": (lambda s, d: _joined(resources.resource_rollup(lines.kept_lines(lines.classify_lines(tables.lineitem_lines(s, d), tables.VOLUME_MAPPING)), tables.VOLUME_MAPPING).select("rkey", "cost", "line_items", "environment")), "SELECT concat('part-', l_partkey) AS rkey, sum(CAST(CAST(l_extendedprice AS STRING) AS DECIMAL(38,12)))::DOUBLE AS cost, count(*) AS line_items, CASE WHEN bool_or(l_returnflag <> 'R') THEN 'prod' ELSE 'n/a' END AS environment FROM lineitem GROUP BY 1"),
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions.policy import DIVERGENCE_POINTS, NO_SERVICE, Mapping, Policy
-from costlens.functions.scalars import grade, grade_label, is_placeholder, normalize_value, pct, round2
-from costlens.operators.lines import currency_inventory, line_totals
+from costlens.functions.scalars import grade, grade_label, is_placeholder, normalize_currency, normalize_value, pct, round2
+from costlens.operators.lines import line_aggregates
 
 MONEY = "decimal(38,2)"
 
@@ -17,7 +19,8 @@ def _sum(condition=None):
     return F.coalesce(F.sum(c if condition is None else F.when(condition, c)), F.lit(0)).cast(MONEY)
 
 
-def resource_totals(resources: DataFrame) -> DataFrame:
+def resource_totals(resources: DataFrame, *more) -> DataFrame:
+    """One row of counts and sums over all resources; more: further aggregates."""
     return resources.agg(
         F.count("*").alias("analyzed_resources"),
         F.count_if("compliant").alias("compliant_count"),
@@ -25,6 +28,7 @@ def resource_totals(resources: DataFrame) -> DataFrame:
         _sum().alias("total"),
         _sum(F.col("compliant")).alias("compliant_cost"),
         F.count_if("negative").alias("negative_count"),
+        *more,
     )
 
 
@@ -108,10 +112,13 @@ def service_breakdown(resources: DataFrame) -> DataFrame:
 
 def audit_summary(classified: DataFrame, resources: DataFrame, mapping: Mapping, policy: Policy = Policy(), limit: int = 5000) -> DataFrame:
     """One row: counts, costs, both scores and grades, line totals, placeholder totals, currencies. With several currencies the scores are null and refused is true: amounts are never added across currencies."""
-    currencies = currency_inventory(classified).agg(F.array_join(F.array_sort(F.collect_set("currency")), ",").alias("currencies"), (F.count("*") > 1).alias("refused"))
-    held = placeholder_totals(resources, mapping, policy).select(F.col("occurrences").alias("placeholder_count"), F.col("resources").alias("placeholder_resources"))
-    # Four one-row tables side by side.
-    one = _scores(resource_totals(resources), mapping).crossJoin(line_totals(classified)).crossJoin(held).crossJoin(currencies)
+    held = [is_placeholder(F.col(k), policy.null_tokens).cast("long") for k in mapping.tracked(policy)]
+    per_resource = reduce(lambda a, b: a + b, [F.coalesce(h, F.lit(0).cast("long")) for h in held], F.lit(0).cast("long"))
+    placeholders = [F.coalesce(F.sum(per_resource), F.lit(0).cast("long")).alias("placeholder_count"), F.count_if(per_resource > 0).alias("placeholder_resources")]
+    found = F.array_sort(F.collect_set(normalize_currency(F.col("currency"))))
+    of_lines = classified.agg(*line_aggregates(), F.array_join(found, ",").alias("currencies"), (F.size(found) > 1).alias("refused"))
+    # Two one-row tables side by side: all resources and all lines are each read once.
+    one = _scores(resource_totals(resources, *placeholders), mapping).crossJoin(of_lines)
     fine = ~F.col("refused")
     return one.select(
         "total_rows", "analyzed_resources", "compliant_count", "non_compliant_count", F.when(fine, F.col("total_cost")).alias("total_cost"), F.when(fine, F.col("unallocated_cost")).alias("unallocated_cost"),

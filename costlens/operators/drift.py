@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costlens.functions.policy import ENV_ALIASES, Mapping, Policy
-from costlens.functions.scalars import digit_skeleton, is_null_token, normalize_header, normalize_value, strip_tag_prefix, stripped, token_set
+from costlens.functions.scalars import digit_skeleton, is_null_token, normalize_header, normalize_value, plain_header, strip_tag_prefix, stripped, token_set
+from costlens.sources.shared import written
 
 FINDING = ["type", "tag", "reason", "members", "stage", "position"]
 
 
 def synonym_table(spark: SparkSession, policy: Policy = Policy()) -> DataFrame:
-    rows = [(t.key, i, s) for i, t in enumerate(policy.tags) for s in dict.fromkeys([t.key.replace("_", ""), *t.synonyms])]
+    """tag, tag_rank, synonym: each tag's key and synonyms, normalised as headers are."""
+    rows = [(t.key, i, s) for i, t in enumerate(policy.tags) for s in dict.fromkeys(map(plain_header, [t.key, *t.synonyms]))]
     return spark.createDataFrame(rows, "tag string, tag_rank int, synonym string")
 
 
@@ -107,8 +109,8 @@ def earliest_finding(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drift_findings(headers: DataFrame, resources: DataFrame, mapping: Mapping, policy: Policy = Policy()) -> DataFrame:
-    """All findings of one export, equal ones once; headers first (stages 0 and 1), then values."""
-    values = tag_values(resources, mapping, policy)
+    """All findings of one export, equal ones once; headers first (stages 0 and 1), then values. The distinct values are written once: each rule reads them."""
+    values = written(tag_values(resources, mapping, policy))
     keys = key_drift_normalized(headers).unionByName(key_drift_synonyms(headers, policy)).drop("source")
     found = reduce(DataFrame.unionByName, [keys, value_drift_variants(values), value_drift_env_aliases(values), value_drift_pairs(values)])
     return earliest_finding(found, ["type", "tag", "members"]).select(*FINDING)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costlens.functions.policy import NO_SERVICE
+from costlens.sources.shared import written
 
 
 def _cost() -> Column:
@@ -22,9 +23,9 @@ def top_resources(resources: DataFrame, limit: int = 5000) -> DataFrame:
 
 def fix_first(resources: DataFrame, limit: int = 20, within: int = 100, least: float = 0.01) -> DataFrame:
     """The costliest offenders worth fixing with their missing tags, and how many of the first offenders are below least."""
-    first = top_offenders(resources, within)
-    small = first.agg(F.count_if(_cost() < least).alias("negligible"))
-    return first.where(_cost() >= least).orderBy(_cost().desc(), "first_line").limit(limit).crossJoin(small)
+    # The window is over the first offenders only, within (100) rows at most.
+    first = top_offenders(resources, within).withColumn("negligible", F.count_if(_cost() < least).over(Window.partitionBy(F.lit(0))))
+    return first.where(_cost() >= least).orderBy(_cost().desc(), "first_line").limit(limit)
 
 
 def report_offenders(resources: DataFrame, limit: int = 10) -> DataFrame:
@@ -58,9 +59,10 @@ def list_services(resources: DataFrame) -> DataFrame:
 
 
 def explore_resources(resources: DataFrame, text: str = "", status: str = "all", tag: str | None = None, service: str | None = None, key: str = "cost", descending: bool = True, limit: int = 200) -> DataFrame:
-    """All filters together over all resources; the first limit rows, each with the number of all matches."""
+    """All filters together over all resources; the first limit rows, each with the number of all matches. The matches are written once, to be counted and ranked."""
     found = filter_status(search_resources(resources, text), status)
     found = filter_missing_tag(found, tag) if tag else found
     found = filter_service(found, service) if service else found
+    found = written(found)
     n = found.agg(F.count("*").alias("matches"))
     return sort_resources(found, key, descending).limit(limit).crossJoin(F.broadcast(n))

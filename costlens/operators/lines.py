@@ -6,7 +6,7 @@ for each mapped tag column, tags_json. Unmapped roles are null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions.policy import Mapping, Policy
@@ -28,7 +28,7 @@ def to_canonical(df: DataFrame, mapping: Mapping, line_no: str | None = None) ->
 
 
 def classify_lines(lines: DataFrame, mapping: Mapping, policy: Policy = Policy()) -> DataFrame:
-    """lines with cost, cost_missing, has_id, bucket (untaggable, credit, netted, usage) and rkey: the lower-cased, untrimmed id, or row-<line no> where there is none."""
+    """lines with cost, cost_missing, has_id, untaggable, bucket (untaggable, credit, netted, usage) and rkey: the lower-cased, untrimmed id, or row-<line no> where there is none."""
     cost = parse_cost(F.col("cost_raw")) if mapping.roles.get("cost") else F.lit(None).cast("decimal(38,12)")
     out = lines.withColumn("cost", cost)
     has_id = F.col("resource_id").isNotNull() & ~is_null_token(F.col("resource_id"), policy.null_tokens)
@@ -38,20 +38,22 @@ def classify_lines(lines: DataFrame, mapping: Mapping, policy: Policy = Policy()
         "*",
         (F.col("cost").isNull() if mapping.roles.get("cost") else F.lit(False)).alias("cost_missing"),
         has_id.alias("has_id"),
+        untaggable.alias("untaggable"),
         F.when(untaggable, "untaggable").when(negative & ~has_id, "credit").when(negative, "netted").otherwise("usage").alias("bucket"),
         F.when(has_id, F.lower("resource_id")).otherwise(F.concat(F.lit("row-"), F.col("line_no").cast("string"))).alias("rkey"),
     )
 
 
 def kept_lines(classified: DataFrame) -> DataFrame:
-    return classified.where(F.col("bucket").isin("usage", "netted"))
+    """Lines of usage and netted lines. Said without the bucket, so that the cost of a line with an id need not be parsed to keep it."""
+    return classified.where(~F.col("untaggable") & (F.col("has_id") | ~F.coalesce(F.col("cost") < 0, F.lit(False))))
 
 
-def line_totals(classified: DataFrame) -> DataFrame:
-    """One row of counts and sums over all lines. merged lines are kept lines less resources: see audit_summary."""
+def line_aggregates() -> list[Column]:
+    """Counts and sums over classified lines."""
     amount = F.coalesce("cost", F.lit(0).cast("decimal(38,12)"))
     of = lambda b: F.coalesce(F.sum(F.when(F.col("bucket") == b, amount)), F.lit(0)).cast("double")
-    return classified.agg(
+    return [
         F.count("*").alias("total_rows"),
         F.count_if(F.col("bucket") == "credit").alias("credit_count"),
         of("credit").alias("credit_total"),
@@ -60,7 +62,12 @@ def line_totals(classified: DataFrame) -> DataFrame:
         of("untaggable").alias("untaggable_cost"),
         F.count_if("cost_missing").alias("cost_missing_count"),
         F.count_if(F.col("bucket").isin("usage", "netted")).alias("kept_lines"),
-    )
+    ]
+
+
+def line_totals(classified: DataFrame) -> DataFrame:
+    """One row of counts and sums over all lines. merged lines are kept lines less resources: see audit_summary."""
+    return classified.agg(*line_aggregates())
 
 
 def currency_inventory(lines: DataFrame) -> DataFrame:

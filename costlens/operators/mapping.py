@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costlens.functions.policy import ROLE_SYNONYMS, Mapping, Policy
-from costlens.functions.scalars import normalize_header, parse_tag_object, strip_tag_prefix, stripped
+from costlens.functions.scalars import normalize_header, parse_tag_object, plain_header, strip_tag_prefix, stripped
 from costlens.operators.drift import synonym_table
+from costlens.sources.shared import written
 
 JSON_HEADERS = ["tags", "resourcetags", "labels"]
 
@@ -23,11 +24,15 @@ def header_forms(headers: DataFrame) -> DataFrame:
     return headers.select("source", "position", "header", normalize_header(F.col("header")).alias("norm"), normalize_header(strip_tag_prefix(F.col("header"))).alias("tag_norm"))
 
 
+def best_per_group(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """The first row of each group in the given order."""
+    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") == 1).drop("nth")
+
+
 def map_roles(headers: DataFrame) -> DataFrame:
     """source, role, header: the first synonym that a header equals, of equal headers the first."""
     found = header_forms(headers).join(F.broadcast(role_table(headers.sparkSession)), "norm")
-    nth = F.row_number().over(Window.partitionBy("source", "role").orderBy("syn_rank", "position"))
-    return found.withColumn("nth", nth).where(F.col("nth") == 1).select("source", "role", "position", "header")
+    return best_per_group(found, ["source", "role"], "syn_rank", "position").select("source", "role", "position", "header")
 
 
 def column_fill_counts(cells: DataFrame) -> DataFrame:
@@ -36,27 +41,45 @@ def column_fill_counts(cells: DataFrame) -> DataFrame:
 
 
 def map_tags(headers: DataFrame, cells: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """source, tag, header: of the headers without a role that name the tag the one with most filled cells, then the first."""
-    free = header_forms(headers).join(map_roles(headers).select("source", "position"), ["source", "position"], "left_anti")
-    forms = free.select("source", "position", "header", F.explode(F.array_distinct(F.array("norm", "tag_norm"))).alias("synonym"))
+    """source, tag, header: of the headers without a role that name the tag the one with most filled cells, then the first. A header serves one tag: the first in policy order that takes it."""
+    forms = _free(headers).select("source", "position", "header", F.explode(F.array_distinct(F.array("norm", "tag_norm"))).alias("synonym"))
     found = forms.join(F.broadcast(synonym_table(headers.sparkSession, policy)), "synonym").select("source", "tag", "tag_rank", "position", "header").distinct()
     found = found.join(column_fill_counts(cells), ["source", "position"], "left").fillna(0, ["filled"])
-    nth = F.row_number().over(Window.partitionBy("source", "tag").orderBy(F.desc("filled"), "position"))
-    return found.withColumn("nth", nth).where(F.col("nth") == 1).select("source", "tag", "position", "header")
+    best = lambda rows: best_per_group(rows, ["source", "tag"], F.desc("filled"), "position")
+    if not _overlapping(policy):
+        return best(found).select("source", "tag", "position", "header")
+    # Tags in policy order, each from the headers that are left: as many steps as the policy has tags.
+    found, out = written(found), None
+    for k in range(len(policy.tags)):
+        rows = found.where(F.col("tag_rank") == k)
+        rows = rows.join(out.select("source", "header"), ["source", "header"], "left_anti") if out is not None else rows
+        chosen = best(rows).select("source", "tag", "position", "header")
+        out = chosen if out is None else out.unionByName(chosen)
+    return out
+
+
+def _free(headers: DataFrame) -> DataFrame:
+    """Forms of the headers that no role takes; a header of the same name as one that is taken is taken too."""
+    return header_forms(headers).join(map_roles(headers).select("source", "header").distinct(), ["source", "header"], "left_anti")
+
+
+def _overlapping(policy: Policy) -> bool:
+    """Whether a header may name two tags: by one synonym of both, or by one that ends in another's, whose prefix may be stripped."""
+    names = [set(map(plain_header, (t.key, *t.synonyms))) for t in policy.tags]
+    return any(x.endswith(y) for i, a in enumerate(names) for j, b in enumerate(names) if i != j for x in a for y in b if y)
 
 
 def _used(headers: DataFrame, cells: DataFrame, policy: Policy) -> DataFrame:
-    return map_roles(headers).select("source", "position").unionByName(map_tags(headers, cells, policy).select("source", "position"))
+    return map_roles(headers).select("source", "header").unionByName(map_tags(headers, cells, policy).select("source", "header"))
 
 
 def detect_json_tag_column(headers: DataFrame, cells: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """source, position, header of the first free tags column of whose filled cells at least half look like JSON."""
-    free = header_forms(headers).where(F.col("norm").isin(JSON_HEADERS)).join(_used(headers, cells, policy), ["source", "position"], "left_anti")
+    free = header_forms(headers).where(F.col("norm").isin(JSON_HEADERS)).join(_used(headers, cells, policy), ["source", "header"], "left_anti")
     v = stripped(F.col("value"))
     filled = cells.where((v != "") & (F.lower(v) != "null")).groupBy("source", "position").agg(F.avg(F.when(v.startswith("{") | v.rlike(r'^"[^"]+"\s*:'), 1.0).otherwise(0.0)).alias("share"))
     found = free.join(filled.where(F.col("share") >= 0.5), ["source", "position"])
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("position"))
-    return found.withColumn("nth", nth).where(F.col("nth") == 1).select("source", "position", "header")
+    return best_per_group(found, ["source"], "position").select("source", "position", "header")
 
 
 def discover_json_keys(json_cells: DataFrame) -> DataFrame:
@@ -69,8 +92,7 @@ def map_json_tag_keys(keys: DataFrame, tags: DataFrame, policy: Policy = Policy(
     """source, tag, key: for tags without a column of their own the first key that names them."""
     found = keys.withColumn("synonym", normalize_header(F.col("key"))).join(F.broadcast(synonym_table(keys.sparkSession, policy)), "synonym")
     found = found.join(tags.select("source", "tag"), ["source", "tag"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("source", "tag").orderBy("first"))
-    return found.withColumn("nth", nth).where(F.col("nth") == 1).select("source", "tag", "key")
+    return best_per_group(found, ["source", "tag"], "first").select("source", "tag", "key")
 
 
 def unmapped_json_keys(keys: DataFrame, mapped: DataFrame) -> DataFrame:

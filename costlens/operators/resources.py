@@ -1,7 +1,7 @@
 """Roll-up of kept lines to resources.
 
 Two partial-aggregable levels, (rkey, service) and rkey, so that a resource with a third of all lines shrinks to one row
-a task before the shuffle. Lines without an id are resources of their own and go round the shuffle.
+a task before the shuffle. Lines are read and parsed once; those without an id are resources of one line each.
 """
 
 from __future__ import annotations
@@ -24,14 +24,21 @@ def _offered(key: str, mapping: Mapping) -> list[Column]:
 def _per_line(kept: DataFrame, mapping: Mapping, policy: Policy) -> DataFrame:
     if mapping.json_column and mapping.json_keys:
         kept = kept.withColumn("__json", parse_tag_object(F.col("tags_json")))
-    real = lambda k: F.coalesce(*[F.when(~is_null_token(v, policy.null_tokens), v) for v in _offered(k, mapping)])
-    held = lambda k: F.coalesce(*[F.when(is_placeholder(v, policy.null_tokens), v) for v in _offered(k, mapping)])
+    filled = lambda name: F.when(F.col(name) != "", F.col(name)).alias(name)
     return kept.select(
-        "rkey", "line_no", "has_id", "cost", F.col("resource_id").alias("id"), F.when(F.col("service") != "", F.col("service")).alias("service"), F.when(F.col("provider") != "", F.col("provider")).alias("provider"), F.when(F.col("region") != "", F.col("region")).alias("region"),
-        *[c for k in mapping.tracked(policy) for c in (real(k).alias(f"real_{k}"), held(k).alias(f"held_{k}"))],
+        "rkey", "line_no", "cost", F.when(F.col("has_id"), F.col("resource_id")).otherwise(F.col("rkey")).alias("id"), filled("service"), filled("provider"), filled("region"),
+        *[_best_offer(_offered(k, mapping), policy).alias(f"tag_{k}") for k in mapping.tracked(policy)],
     )
 
 
+def _best_offer(offers: list[Column], policy: Policy) -> Column:
+    """The value that a line has for a tag, as (placeholder, line, value): the least of these over all lines is the resource's. Null without any."""
+    of = lambda rank, v: F.struct(F.lit(rank).alias("rank"), F.col("line_no").alias("n"), v.alias("v"))
+    real = [F.when(~is_null_token(v, policy.null_tokens), of(0, v)) for v in offers]
+    held = [F.when(is_placeholder(v, policy.null_tokens), of(1, v)) for v in offers]
+    return F.coalesce(*real, *held)
+
+
 def dominant_service(kept: DataFrame, mapping: Mapping, policy: Policy = Policy()) -> DataFrame:
     """rkey, service: the service with the largest sum of |cost| + 1e-9 a line; ties to the first seen; blank services do not count."""
     lines = _per_line(kept, mapping, policy).where(F.col("service").isNotNull())
@@ -44,27 +51,21 @@ def resource_rollup(kept: DataFrame, mapping: Mapping, policy: Policy = Policy()
     tags = mapping.tracked(policy)
     lines = _per_line(kept, mapping, policy)
     zero = F.lit(0).cast("decimal(38,12)")
-    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("line_no").alias("n"), F.col(c).alias("v"))))
-    inner = lines.where("has_id").groupBy("rkey", "service").agg(
+    inner = lines.groupBy("rkey", "service").agg(
         F.sum(F.coalesce("cost", zero)).alias("cost"),
         F.sum(F.abs(F.coalesce("cost", zero)) + F.lit(EPSILON).cast("decimal(38,12)")).alias("w"),
         F.count("*").alias("line_items"),
         F.min(F.struct("line_no", "id", "provider", "region")).alias("head"),
-        *[first(f"{kind}_{k}").alias(f"{kind}_{k}") for k in tags for kind in ("real", "held")],
+        *[F.min(f"tag_{k}").alias(f"tag_{k}") for k in tags],
     )
     merged = inner.groupBy("rkey").agg(
         F.sum("cost").alias("cost"),
         F.max(F.when(F.col("service").isNotNull(), F.struct("w", (-F.col("head.line_no")).alias("n"), F.col("service").alias("v")))).alias("best"),
         F.sum("line_items").alias("line_items"),
         F.min("head").alias("head"),
-        *[F.min(f"{kind}_{k}").alias(f"{kind}_{k}") for k in tags for kind in ("real", "held")],
-    ).select(
-        "rkey", "head.id", F.col("best.v").alias("service"), "head.provider", "head.region", "cost", "line_items", F.col("head.line_no").alias("first_line"), *[F.coalesce(f"real_{k}.v", f"held_{k}.v").alias(k) for k in tags]
-    )
-    single = lines.where(~F.col("has_id")).select(
-        "rkey", F.col("rkey").alias("id"), "service", "provider", "region", F.coalesce("cost", zero).alias("cost"), F.lit(1).cast("long").alias("line_items"), F.col("line_no").alias("first_line"), *[F.coalesce(f"real_{k}", f"held_{k}").alias(k) for k in tags]
-    )
-    out = merged.unionByName(single)
+        *[F.min(f"tag_{k}").alias(f"tag_{k}") for k in tags],
+    )
+    out = merged.select("rkey", "head.id", F.col("best.v").alias("service"), "head.provider", "head.region", "cost", "line_items", F.col("head.line_no").alias("first_line"), *[F.col(f"tag_{k}.v").alias(k) for k in tags])
     return out if mapping.roles.get("cost") else out.withColumn("cost", F.lit(None).cast("decimal(38,12)"))
 
 

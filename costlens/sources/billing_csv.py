@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costlens.functions.policy import Mapping, Policy
+from costlens.sources.shared import written
 
 BAD = "_malformed"
 
@@ -17,20 +18,40 @@ def read_headers(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return [] if row is None else [(v or "").lstrip("﻿").strip() for v in row]
 
 
-def read_line_items(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """All cells as text under c0, c1, ... with line_no and the malformed text of rows with another number of fields. The header names come from read_headers."""
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a cell may go on in the next line: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_line_items(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+    """All cells as text under c0, c1, ... with line_no and the malformed text of rows with another number of fields. The header names come from read_headers.
+
+    line_no is the 1-based position among all data rows, malformed ones included and blank lines not, file after file by
+    path. multi_line: cells may hold line breaks, so each file is read by one task; None looks for such cells first, so
+    that files without them are split.
+    """
+    multi_line = has_open_quotes(spark, path) if multi_line is None else multi_line
     names = read_headers(spark, path, sep)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(BAD, T.StringType())])
     # Pruned columns would hide malformed rows.
     df = spark.read.options(header=True, enforceSchema=True, sep=sep, escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, columnPruning=False).schema(schema).csv(path)
     blank = F.col(BAD).isNotNull() & (F.trim(F.col(BAD)) == "")
     # A query that reads only the malformed column is refused: the first cell is always read too.
-    return df.where(~blank & (F.coalesce(F.length("c0"), F.lit(0)) >= 0)).withColumn("line_no", F.monotonically_increasing_id() + 1)
+    rows = df.where(~blank & (F.coalesce(F.length("c0"), F.lit(0)) >= 0))
+    # A split's rows are numbered as they are read; how many stand before it is known when all splits are counted.
+    split = ["_file", "_start"]
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_nth"))
+    sizes = rows.groupBy(*split).agg(F.count("*").alias("n"), F.min("_nth").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = written(sizes.withColumn("_before", before).drop("n"))  # a row a split
+    numbered = rows.join(F.broadcast(offsets), split)
+    return numbered.select(*[c for c in df.columns], (F.col("_before") + F.col("_nth") - F.col("_first") + 1).alias("line_no"))
 
 
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows, and line_no with the text of the rejected ones."""
-    return df.where(F.col(BAD).isNull()).drop(BAD), df.where(F.col(BAD).isNotNull()).select("line_no", BAD, *[c for c in df.columns if c.startswith("c0")])
+    return df.where(F.col(BAD).isNull()).drop(BAD), df.where(F.col(BAD).isNotNull()).select("line_no", BAD, "c0")
 
 
 def sample_lines(df: DataFrame, n: int = 500) -> DataFrame:
@@ -55,14 +76,22 @@ def with_headers(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select("line_no", *[F.coalesce(f"c{i}", F.lit("")).alias(n) for n, i in first.items()])
 
 
+REFUSALS = {"header": "the file has no header", "rows": "the file has no data rows", "tags": "no mandatory tag is mapped"}
+
+
+def input_checks(names: list[str], df: DataFrame, mapping: Mapping | None = None, policy: Policy = Policy()) -> DataFrame:
+    """check, passed: a header, data rows, and with a mapping a mapped tag."""
+    rows = df.limit(1).agg((F.count("*") > 0).alias("passed")).select(F.lit("rows").alias("check"), "passed")
+    known = {"header": any(names)} | ({"tags": bool(mapping.tracked(policy))} if mapping is not None else {})
+    return df.sparkSession.createDataFrame(list(known.items()), "check string, passed boolean").unionByName(rows)
+
+
 def input_guard(names: list[str], df: DataFrame, mapping: Mapping | None = None, policy: Policy = Policy()) -> None:
     """Refuses a file without a header, without data rows, and an audit without any mapped tag."""
-    if not any(names):
-        raise ValueError("the file has no header")
-    if df.isEmpty():
-        raise ValueError("the file has no data rows")
-    if mapping is not None and not mapping.tracked(policy):
-        raise ValueError("no mandatory tag is mapped")
+    failed = {r["check"] for r in input_checks(names, df, mapping, policy).where("not passed").collect()}
+    for check, message in REFUSALS.items():
+        if check in failed:
+            raise ValueError(message)
 
 
 def resources_for_csv(resources: DataFrame, tags: list[str], currency: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costlens.functions import scalars as S
-from costlens.functions.policy import Mapping
+from costlens.functions.policy import Mapping, Policy, Tag
 from costlens.jobs.audit import audit_csv, audit_tables
 from costlens.jobs.queries import Q
 from costlens.operators import coverage, drift, lines, mapping, resources
@@ -138,14 +138,19 @@ def test_same_answer_in_any_order_and_partitioning(spark):
     assert rows(one.coalesce(1)) == rows(one.orderBy(F.desc("cost_raw")).repartition(7))
 
 
-@pytest.mark.parametrize("name", ["audit_summary", "resource_rollup", "tag_coverage", "drift_findings", "map_tags", "explore_resources", "read_line_items", "split_malformed"])
-def test_query_against_sql(spark, name):
+@pytest.fixture(scope="module")
+def db():
     import duckdb
 
-    query, sql = Q[name]
     db = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
         db.sql(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    return db
+
+
+@pytest.mark.parametrize("name", sorted(Q))
+def test_query_against_sql(spark, db, name):
+    query, sql = Q[name]
     got, want = query(spark, SF).toPandas(), db.sql(sql).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
@@ -161,10 +166,10 @@ def test_report_parts(spark):
 
 
 @pytest.mark.parametrize("name", ["write_report", "write_resources_csv"])
-def test_written_parts_against_sql(spark, name, monkeypatch):
+def test_written_parts_against_sql(spark, db, name, monkeypatch):
     paths, one = [], billing_csv.write_report if name == "write_report" else billing_csv.write_resources_csv
     monkeypatch.setattr(billing_csv, name, lambda data, path, *a: paths.append(path) or one(data, path, *a))
-    test_query_against_sql(spark, name)
+    test_query_against_sql(spark, db, name)
     written = os.listdir(paths[0].removeprefix("file://"))
     if name == "write_report":
         assert sorted(written) == ["composition", "coverage", "drift", "fix_first", "notes", "offenders", "placeholders", "resources", "services", "summary"]
@@ -179,3 +184,77 @@ def test_resources_csv_keeps_cells(spark, tmp_path):
     want = billing_csv.resources_for_csv(t, ["owner", "team"], "USD")
     got = billing_csv.read_resources_csv(spark, f"file://{tmp_path}/r", want.schema)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
+
+
+HEADER = "Resource Id,Service,Cost,Currency,Owner,Team,Environment,Cost Center"
+
+
+def bill(tmp_path, *rows, name="bill.csv", header=HEADER, end="\n", bom=""):
+    with open(f"{tmp_path}/{name}", "w", newline="", encoding="utf-8") as f:
+        f.write(bom + end.join([header, *rows]) + end)
+    return f"file://{tmp_path}/{name}"
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = bill(tmp_path, 'r1,"multi\nline",10,USD,anna,t,prod,c', 'r2,"a ""b"", c",5,USD,,t,prod,c')
+    assert billing_csv.has_open_quotes(spark, path)
+    parts = audit_csv(spark, path)
+    s = parts["summary"].first()
+    assert (s["total_rows"], s["total_cost"], s["unallocated_cost"]) == (2, 15.0, 5.0) and parts["rejected"].count() == 0
+    assert {r["service"] for r in parts["resources"].collect()} == {"multi\nline", 'a "b", c'}
+
+
+@pytest.mark.parametrize("end,bom", [("\r\n", "\ufeff"), ("\r\n", ""), ("\n", "\ufeff")])
+def test_line_ends_and_byte_order_mark(spark, tmp_path, end, bom):
+    path = bill(tmp_path, "r1,s,10,USD,anna,t,prod,c", "", "r2,s,5,USD,,t,prod,c", "   ", end=end, bom=bom)
+    assert billing_csv.read_headers(spark, path)[0] == "Resource Id" and not billing_csv.has_open_quotes(spark, path)
+    s = audit_csv(spark, path)["summary"].first()
+    assert (s["total_rows"], s["analyzed_resources"], s["total_cost"], s["compliant_count"]) == (2, 2, 15.0, 1)
+
+
+def test_ragged_rows_are_reported_by_position(spark, tmp_path):
+    path = bill(tmp_path, "r1,s,10,USD,anna,t,prod,c", "short,row", "", "r2,s,5,USD,,t,prod,c", "r3,s,1,USD,a,t,prod,c,too,many", ",s,2,USD,a,t,prod,c")
+    parts = audit_csv(spark, path)
+    assert sorted(r["line_no"] for r in parts["rejected"].collect()) == [2, 4]
+    assert {r["id"] for r in parts["resources"].collect()} == {"r1", "r2", "row-5"}
+
+
+def test_positions_on_many_splits_and_files(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/d")
+    for k in range(2):
+        bill(f"{tmp_path}/d", *[f"id-{k * 20_000 + i},s,1,USD,a,t,prod,c" if i % 7 else "bad" for i in range(1, 20_001)], name=f"f{k}.csv")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        good, bad = billing_csv.split_malformed(billing_csv.read_line_items(spark, f"file://{tmp_path}/d"))
+        assert good.rdd.getNumPartitions() > 10
+        got = {(r["line_no"], r["c0"]) for r in good.select("line_no", "c0").collect()}
+        lost = {r["line_no"] for r in bad.select("line_no", "c0").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(n, f"id-{n}") for n in range(1, 40_001) if (n - 1) % 20_000 % 7 != 6} and lost == {n for n in range(1, 40_001) if (n - 1) % 20_000 % 7 == 6}
+
+
+def test_refusals(spark, tmp_path):
+    row = "r1,s,10,USD,anna,t,prod,c"
+    with pytest.raises(ValueError, match="EUR"):
+        audit_csv(spark, bill(tmp_path, row, *[row] * 600, "r2,s,5, eur ,anna,t,prod,c", name="two.csv"))
+    with pytest.raises(ValueError, match="no data rows"):
+        audit_csv(spark, bill(tmp_path, name="headers.csv"))
+    with pytest.raises(ValueError, match="no header"):
+        audit_csv(spark, bill(tmp_path, name="empty.csv", header=""))
+    with pytest.raises(ValueError, match="no mandatory tag"):
+        audit_csv(spark, bill(tmp_path, "r1,s,1", name="untagged.csv", header="Resource Id,Service,Cost"))
+
+
+def test_policies_of_ones_own(spark):
+    """Keys and synonyms are normalised as headers are; a header serves the first tag that takes it."""
+    own = Policy((Tag("app.id", "App", ("Application-Id",)), Tag("unit", "Unit", ("Cost-Centre", "Application_Id"))))
+    h = billing_csv.header_table(spark, ["application id", "cost centre", "Cost_Centre"])
+    cells = spark.createDataFrame([("file", 1, 1, ""), ("file", 1, 2, "x")], "source string, line long, position int, value string")
+    assert {r["tag"]: r["header"] for r in mapping.map_tags(h, cells, own).collect()} == {"app.id": "application id", "unit": "Cost_Centre"}
+    found = drift.key_drift_synonyms(h, own).collect()
+    assert {(r["tag"], tuple(r["members"])) for r in found} == {("unit", ("Cost_Centre", "application id", "cost centre"))}
+    keys = spark.createDataFrame([("file", "APP ID", (1, 0))], "source string, key string, first struct<line:long,place:int>")
+    none = spark.createDataFrame([], "source string, tag string")
+    assert [(r["tag"], r["key"]) for r in mapping.map_json_tag_keys(keys, none, own).collect()] == [("app.id", "APP ID")]
