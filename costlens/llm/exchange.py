@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from costlens.llm.common import U64, as_bytes, text_bytes
 
-BATCH_BYTES, LEAST_BYTES = 12 << 20, 1 << 20
+BATCH_BYTES, LEAST_BYTES = 10 << 20, 1 << 20
 BUCKET_BYTES = 24 << 20
 #: Ranges that one step deals to: one step serves up to 100 GB of keys, two 400 TB.
 RADIX = 4096
@@ -50,12 +50,12 @@ def run_of(keys: np.ndarray, counts: np.ndarray, extra: np.ndarray | None = None
     if extra is not None:
         x = extra[order]
         new[1:] |= x[1:] != x[:-1]
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(k), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     at = np.flatnonzero(new)
     first = np.zeros(len(k), bool)
     first[order[at]] = True
-    total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+    total = np.add.reduceat(counts[order], at, dtype=np.int64) if len(at) else np.empty(0, np.int64)
     return Run(k[at], total, None if extra is None else x[at]), place, first
 
 
@@ -262,7 +262,8 @@ class Plan:
             answers = rows.groupBy("part").applyInArrow(lambda t: merge(t, []), ROWS)
         else:
             answers = rows.groupBy("part").cogroup(levels.groupBy("part")).applyInArrow(lambda t, held: merge(t, held.column("body").to_pylist()), ROWS)
-        return self.radix.returned(answers, earlier, _joined, _dealt).withColumn("step", F.lit(step))
+        # Dealt like the batches, so that each later step finds them where its batches are.
+        return self.radix.returned(answers, earlier, _joined, _dealt).withColumn("step", F.lit(step)).repartition(self.parts, "owner")
 
     def finish(self, answers: DataFrame, last: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
         return self.batches.groupBy("b").cogroup(answers.groupBy("owner")).applyInArrow(lambda docs, a: last(docs, found_of(a)), schema)

@@ -53,8 +53,9 @@ class Walks:
         self.h, self.first = token_stream(as_bytes(docs.column("text")))
         self.order, self.size = order, len(self.h)
         self.lengths = np.diff(self.first)
-        self.trains = np.repeat(~np.asarray(docs.column("held_out").to_numpy(zero_copy_only=False), bool), self.lengths).astype(np.int64)
-        self.nth = np.arange(self.size) - np.repeat(self.first[:-1], self.lengths)
+        self.trains = np.repeat(~np.asarray(docs.column("held_out").to_numpy(zero_copy_only=False), bool), self.lengths)
+        nth = np.arange(self.size, dtype=np.int32) - np.repeat(self.first[:-1].astype(np.int32), self.lengths)
+        self.nth = np.minimum(nth, order).astype(np.int8)
         self.count = [np.zeros(self.size, np.int64) for _ in range(order + 1)]
         self.shared = [np.zeros(self.size, bool) for _ in range(order + 1)]
         self.key, self.last = self.h, 1
