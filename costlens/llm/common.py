@@ -6,16 +6,15 @@ the table. Hashes are 64-bit polynomials with fixed random byte values, finished
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from costlens.sources.shared import shared_dir, written  # noqa: F401
+
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -25,37 +24,22 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Rows of the right side of join_hot that are broadcast.
-HOT = 1000
+#: join_hot broadcasts the keys that hold more than one in HOT of all rows, so HOT rows at most.
+HOT = 20_000
 _pow: dict[str, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors see; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, cut from their lineage by a Parquet table in the shared folder."""
-    path = os.path.join(shared_dir(df.sparkSession), "t.parquet")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: list[str]) -> DataFrame:
     """left with the columns of right (null where right has no row of the keys); right has one row for each keys, none null.
 
-    weight: column of right (not returned) that says how many rows of left a row of right may meet. The HOT heaviest
-    rows are broadcast; rows of left that meet them go on by a hash of spread, whatever their key, so no task of the
-    merge join gets a key with more than one in HOT of all rows. Both sides are read once, but for right's heaviest.
+    weight: column of right (not returned) that says how many rows of left a row of right may meet. Rows with more than
+    one in HOT of the whole weight are broadcast, so HOT rows at most; rows of left that meet them go on by a hash of
+    spread, whatever their key, so no key of the merge join has more than that share of all rows.
     """
     values = [c for c in right.columns if c not in (*keys, weight)]
     as_key = lambda prefix: [F.col(k).alias(f"{prefix}{k}") for k in keys]
-    heavy = right.orderBy(F.col(weight).desc(), *keys).limit(HOT).select(*as_key("__hot_"), F.struct(*values).alias("__hot"))
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    heavy = right.where(F.col(weight) * HOT > F.lit(total)).select(*as_key("__hot_"), F.struct(*values).alias("__hot"))
     same = lambda a, b: [F.col(f"{a}{k}") == F.col(f"{b}{k}") for k in keys]
     met = left.join(F.broadcast(heavy), same("", "__hot_"), "left")
     cold = F.col("__hot").isNull()
