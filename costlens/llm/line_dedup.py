@@ -1,8 +1,9 @@
 """Line dedup, in DataFrame functions only.
 
-Line hashes, pre-aggregated by document salt, are range-partitioned with documents in order inside each hash; one
-streaming pass keeps the first (largest id) of each hash. Back go 64-line bitmaps per document, never text. Lines meet
-the repeated hashes by a merge join, but for the most frequent hashes, a fixed number, which are broadcast.
+Lines are read once, as hashes with document and position. The hashes are range-partitioned and sorted by document, the
+largest first, and position; one streaming pass over a hash's lines keeps those of the first document and marks the
+others. Back go 64-line bitmaps per document, never text. A hash that holds more than one in common.HOT of all lines does
+not go to one task: it is broadcast with its first document, and its lines are marked where they are.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from costlens.llm.common import join_hot, written
+from costlens.llm import common
+from costlens.llm.common import written
 
 #: What is stripped at both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SALTS = 16
 
 
 def ascii_lower(c: Column) -> Column:
@@ -31,23 +32,23 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id
     each and the copies of the largest id all keep. Null text is one empty line; a null id is smaller than all others.
     Documents without a dropped line have no row; the kept lines are all others.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     keys = F.transform(F.split(ascii_lower(F.col("text")), "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)))
-    hashed = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.hash(x).alias("h2"))
-    once = base.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(keys, lambda x: F.char_length(x) >= min_chars), hashed))).alias("h"))
-    salted = once.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n"), F.max("doc_id").alias("largest"))
-    ordered = Window.partitionBy("h1", "h2").orderBy(F.col("largest").desc_nulls_last())
+    lines = base.select("doc_id", "row", F.xxhash64("text").alias("text_hash"), F.posexplode(keys).alias("pos", "key")).where(F.char_length("key") >= min_chars)
+    lines = written(lines.select("doc_id", "row", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2")))
+    sizes = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    hot = written(sizes.where(F.col("n") * common.HOT > F.lit(lines.count())))
+    # Hot hashes, at most HOT: what is needed of each is counted in parts, row by row before all.
+    found = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"]).groupBy("h1", "h2", "row").agg(F.max("doc_id").alias("doc_id"))
+    found = found.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+    mine = ["doc_id", "text_hash", "pos"]
+    lost_hot = lines.join(F.broadcast(found), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("largest"))).select(*mine)
+    cold = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").repartitionByRange("h1", "h2")
     whole = Window.partitionBy("h1", "h2")
-    repeated = (
-        salted.repartitionByRange("h1", "h2")
-        .select("h1", "h2", "largest", F.row_number().over(ordered).alias("nth"), F.sum("n").over(whole).alias("n_docs"))
-        .where((F.col("nth") == 1) & (F.col("n_docs") >= min_docs))
-        .select("h1", "h2", "largest", "n_docs", F.lit(True).alias("repeated"))
-    )
-    lines = base.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(keys).alias("pos", "key")).where(F.char_length("key") >= min_chars)
-    lines = lines.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
-    found = join_hot(lines, written(repeated), ["h1", "h2"], "n_docs", ["doc_id", "text_hash", "pos"])
-    lost = found.where(F.col("repeated") & ~F.col("doc_id").eqNullSafe(F.col("largest")))
+    stream = whole.orderBy(F.col("doc_id").desc_nulls_last(), "row", "pos")
+    cold = cold.withColumn("starts", F.coalesce(F.lag("row").over(stream) != F.col("row"), F.lit(True))).withColumn("largest", F.first("doc_id").over(stream))
+    cold = cold.withColumn("n_docs", F.count_if("starts").over(whole))
+    lost = cold.where((F.col("n_docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("largest"))).select(*mine).unionByName(lost_hot)
     words = lost.groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
 
