@@ -3,7 +3,7 @@
 Every input partition learns beforehand how many of its rows each shard gets: the rows of the matrix are multivariate
 hypergeometric draws from what the shards still lack, so that any assignment of rows to shards is equally likely. Then
 rows are permuted inside their partition, dealt out by those counts, exchanged, and permuted again inside their shard.
-Only the matrix (partitions x shards counts, no rows) passes the driver.
+Rows move between machines once. Only the matrix (partitions x shards counts, no rows) passes the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from costlens.llm.common import written
 
 #: Rows of a shard that one task orders; larger shards are ordered in random sub-buckets of about this size.
 ROWS_PER_SORT = 1_000_000
+#: Entries of the matrix up to which it is broadcast (some 128 MB); a larger one meets the rows by a merge join.
+MATRIX = 16_000_000
 
 
 def draw_matrix(counts: list[int], n_shards: int, seed: int) -> list[list[int]]:
@@ -62,18 +64,17 @@ def shard(df: DataFrame, n_shards: int, seed: int = 7) -> DataFrame:
     """
     spark = df.sparkSession
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    # Written once: which partition a row stood in must not change if a task runs again.
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")) if names else df.select(F.struct().alias("row"))
-    tagged = written(packed.select("row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    placed = packed.select("row", F.spark_partition_id().alias("part"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("key"))
+    # Permuted where they are, and numbered in the new order: the low 33 bits of the ever-increasing id count a partition's rows.
+    permuted = placed.sortWithinPartitions("key").select("row", "part", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    # Written once: which partition a row stood in must not change if a task runs again.
+    tagged = written(permuted)
     counts = [(r["part"], r["n"]) for r in tagged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]
     matrix = draw_matrix([n for _, n in counts], n_shards, seed)
     dealt = spark.createDataFrame([(p, np.cumsum(m).tolist()) for (p, _), m in zip(counts, matrix, strict=True)], "part int, upto array<long>")
-    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), "part", "at"), "at")
-    rows = (
-        tagged.withColumn("nth", F.row_number().over(local).cast("long"))
-        .join(dealt, "part")
-        .select("row", "part", "at", F.expr("cast(size(filter(upto, x -> x < nth)) as int)").alias("shard"))
-    )
+    side = F.broadcast(dealt) if len(counts) * n_shards <= MATRIX else dealt
+    rows = tagged.join(side, "part").select("row", "part", "at", F.expr("cast(size(filter(upto, x -> x <= at)) as int)").alias("shard"))
     per_shard = max(1, sum(n for _, n in counts) // n_shards)
     buckets = max(1, per_shard // ROWS_PER_SORT)
     rows = rows.withColumn("key", F.xxhash64(F.lit(seed + 1), "part", "at")).withColumn("sub", F.pmod(F.shiftright("key", 20), F.lit(buckets)).cast("int"))
