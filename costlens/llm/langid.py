@@ -21,8 +21,8 @@ from costlens.llm.common import ASCII_LOWER, SPACE, U64, as_bytes, held_out, joi
 N = 4
 #: Documents of each language to fit on, in the order of a hash of their id.
 MAX_DOCS = 3_000
-#: Parts in which a language's ids are ranked before the best of all parts are.
-SALTS = 256
+#: Ranges of hashes, as a power of two, whose sizes tell where a language's first ids end.
+RANGES = 16
 #: Chosen ids up to this number are broadcast to find their texts; more meet the texts by a merge join.
 BROADCAST_IDS = 500_000
 #: Each language's filter has 2**BITS slots at least, and ROOM for each n-gram of the language that has most.
@@ -97,10 +97,13 @@ class Filters:
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Filters of every language of the rows that are not held out and have text and language. At most max_docs ids a language are fitted on; whole texts, and every n-gram of them."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # A language may hold most documents: each part of its ids keeps its first, so that few are left to rank together.
-    parts = source.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SALTS)).alias("salt")).withColumn("nth", nth("lang", "salt")).where(F.col("nth") <= max_docs)
-    chosen = parts.withColumn("nth", nth("lang")).where(F.col("nth") <= max_docs).select("doc_id", "lang").distinct()
+    # A language may hold most documents: the sizes of its hash ranges tell which ranges hold its first ids, and only there ids are ranked, range by range.
+    source = source.withColumn("range", F.shiftright(F.xxhash64("doc_id"), 64 - RANGES))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    first = source.groupBy("lang", "range").agg(F.count("*").alias("n")).select("lang", "range", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < max_docs)
+    nth = F.row_number().over(Window.partitionBy("lang", "range").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    near = source.select("doc_id", "lang", "range").join(F.broadcast(first), ["lang", "range"])  # max_docs ranges a language at most
+    chosen = near.withColumn("nth", nth).where(F.col("nth") + F.col("before") <= max_docs).select("doc_id", "lang").distinct()
     chosen = written(chosen)
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen.hint("merge")
     train = source.join(side, ["doc_id", "lang"], "left_semi").select("lang", "text")
