@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 PIVOTS = 256
 #: Length of the stored orders.
 ORDER = 64
-#: Share of a block's vectors that is reranked, highest bound first, and the least number.
-RERANK, RERANK_LEAST = 0.2, 600
+#: Share of a block's vectors that is reranked, highest bound first.
+RERANK = 0.2
 #: Vectors of a block that the line from savings to cosines is fitted on, and standard errors that the bound lies above it.
 FITTED, ABOVE = 512, 2.0
 #: Vectors of a block and queries of a portion: each block meets each portion in a group of its own, so no task holds more of either.
@@ -66,8 +66,8 @@ class Block:
         at = cosine.mean() - slope * s.mean()
         return self.norms * (at + slope * saved + ABOVE * (cosine - at - slope * s).std())
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: float, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        want = min(len(self.ids), max(least, int(len(self.ids) * rerank), 2 * k))
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        want = min(len(self.ids), max(int(len(self.ids) * rerank), 2 * k))
         for qid, vec, own in zip(q_ids.tolist(), q, orders(q, self.pivots, self.order), strict=True):
             # A pivot in both orders costs |r - s| instead of (order - r) + (order - s).
             saved = np.zeros(len(self.ids), np.int32)
@@ -86,11 +86,11 @@ class Block:
             yield qid, self.ids[near][best], score[best]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = PIVOTS, order: int = ORDER, rerank: float = RERANK, rerank_least: int = RERANK_LEAST, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = PIVOTS, order: int = ORDER, rerank: float = RERANK, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """For each query the k rows found with the largest inner product: query_id, rank (from 1), vec_id, score.
 
-    Every valid row is indexed (see valid_vectors); vectors of another length than most pivots' take no part either.
-    Ties go to the smaller vec_id. A row is never its own neighbour; ids must be unique (of repeated rows of one id each
+    Every valid row is indexed (see valid_vectors). Vectors of several lengths have no inner product: they raise
+    ValueError. A block's 2k best by the index, or the share rerank of it if that is more, are reranked. Ties go to the smaller vec_id. A row is never its own neighbour; ids must be unique (of repeated rows of one id each
     is a candidate of the others' queries, and the id is returned once). A group is one block and one portion of the
     queries, both of about ``block`` rows however many there are; only the pivots pass the driver.
     """
@@ -100,11 +100,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int =
     schema = "query_id long, vec_id long, score double"
     if not got:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = [len(r["v"]) for r in got]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d))
-    pivots = np.array([r["v"] for r in got if len(r["v"]) == dim])
+    lengths = rows.select(F.size("v").alias("d")).unionByName(asked.select(F.size("v").alias("d"))).agg(F.min("d").alias("least"), F.max("d").alias("most")).first()
+    if lengths["least"] != lengths["most"]:
+        raise ValueError(f"vectors of {lengths['least']} to {lengths['most']} components")
+    dim = lengths["most"]
+    pivots = np.array([r["v"] for r in got])
     sent = spark.sparkContext.broadcast(pivots / np.linalg.norm(pivots, axis=1, keepdims=True))
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     blocks, portions = (max(1, -(-t.count() // block)) for t in (rows, asked))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int")
@@ -121,7 +122,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int =
             index = Block(*matrix(left), sent.value, order)
             q_ids, q = matrix(right)
             for lo in range(0, len(q_ids), QUERIES_AT_ONCE):
-                out += [(np.full(len(ids), qid), ids, s) for qid, ids, s in index.search(q_ids[lo : lo + QUERIES_AT_ONCE], q[lo : lo + QUERIES_AT_ONCE], k, rerank, rerank_least)]
+                out += [(np.full(len(ids), qid), ids, s) for qid, ids, s in index.search(q_ids[lo : lo + QUERIES_AT_ONCE], q[lo : lo + QUERIES_AT_ONCE], k, rerank)]
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     found = posted.groupBy("block", "portion").cogroup(dealt.groupBy("block", "portion")).applyInArrow(meet, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
