@@ -29,8 +29,8 @@ END = "</w>"
 #: Unicode white space. str.split() also splits at the four separators of ODD, so texts holding those take the pattern.
 WHITE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = regex.compile(r"[\x1c-\x1f]")
-#: Ids handed to the decoding state machine at once.
-DECODE_STEP = 1 << 16
+#: Characters of a text that are encoded, and ids that are decoded, at once.
+STEP = 1 << 16
 
 
 def byte_symbols() -> list[str]:
@@ -203,37 +203,50 @@ class Bpe:
             ids += self._short(s) if len(s) <= self.lookahead else self.stream([*s[:-1], s[-1] + "\n"])
         return pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text, as little-endian 32-bit integers; special tokens in the text become theirs."""
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Ids of a text, as little-endian 32-bit integers, portion by portion; special tokens in the text become theirs."""
         if self.special_at and "<" in text and self.special_at.search(text):
-            parts = self.special_at.split(text)
-            return b"".join(np.array([self.special[p]], "<u4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        # One character at a time where lower() looks at the neighbours.
-        low = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        words = [w for w in WHITE.split(low) if w] if ODD.search(low) else low.split()
-        return b"".join(map(self.words.__getitem__, words))
-
-    def decode(self, ids: np.ndarray) -> Iterator[str]:
-        """The text of ids, in portions of constant size."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for lo in range(0, len(ids), DECODE_STEP):
-            part = self.separator.join(map(self.names.__getitem__, ids[lo : lo + DECODE_STEP].tolist()))
-            yield machine.decode((self.separator if lo else b"") + part)
+            for k, part in enumerate(self.special_at.split(text)):
+                if k % 2:
+                    yield np.array([self.special[part]], "<u4").tobytes()
+                else:
+                    yield from self._plain(part)
+        else:
+            yield from self._plain(text)
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        """A text without special tokens. Portions end before white space, which no word and no normalisation crosses; a longer word is a portion of its own."""
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > STEP and (gap := WHITE.search(text, at + STEP)):
+                end = gap.start()
+            part, at = text[at:end], end
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            # One character at a time where lower() looks at the neighbours.
+            low = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
+            words = [w for w in WHITE.split(low) if w] if ODD.search(low) else low.split()
+            yield b"".join(map(self.words.__getitem__, words))
+
+    def decode(self, ids: Iterable[np.ndarray]) -> Iterator[str]:
+        """The text of ids that come in portions, each portion as far as its characters are whole."""
+        machine, begun = codecs.getincrementaldecoder("utf-8")("replace"), False
+        for portion in ids:
+            for lo in range(0, len(portion), STEP):
+                part = self.separator.join(map(self.names.__getitem__, portion[lo : lo + STEP].tolist()))
+                yield machine.decode((self.separator if begun else b"") + part)
+                begun = True
         yield machine.decode(b"", True)
 
 
-_loaded: dict[str, Bpe] = {}
+_loaded: dict[str | None, Bpe] = {}
 
 
-def tokenizer(path: str) -> Bpe:
-    """Once for each Python worker."""
+def tokenizer(path: str | None) -> Bpe:
+    """Once for each Python worker, which also finds the default file where it runs."""
     if path not in _loaded:
-        _loaded[path] = Bpe(path)
+        _loaded[path] = Bpe(path or default_path())
     return _loaded[path]
 
 
@@ -244,15 +257,14 @@ def default_path() -> str:
 
 
 def encode_column(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """All rows and columns of docs and the ids of the whole text as array<int> (replacing a column of that name); null is the empty text, which has none."""
-    path = path or default_path()
+    """All rows and columns of docs and the ids of the whole text as array<int> (replacing a column of that name); null is the empty text, which has none; repeated rows stay."""
     keep = [c for c in docs.columns if c != ids]
     source = docs.select(*[f"`{c}`" for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for b in batches:
-            found = [bpe.encode(t.decode()) for t in as_bytes(b.column(text))]
+            found = [b"".join(bpe.encode(t.decode())) for t in as_bytes(b.column(text))]
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*b.schema.names, ids])
@@ -262,37 +274,46 @@ def encode_column(docs: DataFrame, path: str | None = None, text: str = "text",
 
 def decode_column(docs: DataFrame, path: str | None = None, ids: str = "token_ids", text: str = "text") -> DataFrame:
     """All rows and columns of docs and the text of its ids (replacing a column of that name); null ids give the empty text."""
-    path = path or default_path()
     keep = [c for c in docs.columns if c != text]
     source = docs.select(*[f"`{c}`" for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for b in batches:
-            out = ["".join(bpe.decode(np.array(x or [], np.int64))) for x in b.column(ids).to_pylist()]
+            out = ["".join(bpe.decode([np.array(x or [], np.int64)])) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
 
     return source.mapInArrow(run, StructType([*source.schema, StructField(text, StringType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per row: doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts encoded and decoded again, and with_ids token_ids. Null is the empty text, which has no token."""
-    path = path or default_path()
+    """One row per row: doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts encoded and decoded again, and with_ids token_ids.
+
+    Null is the empty text, which has no token; repeated rows give a row each. A text's ids and decoded text are digested
+    portion by portion and not held, however long it is, but with_ids.
+    """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for b in batches:
-            found, of_text = [], []
+            found, n, of_ids, of_text = [], [], [], []
             for t in as_bytes(b.column("text")):
-                ids = bpe.encode(t.decode())
-                found.append(ids)
-                h = hashlib.sha256()
-                for part in bpe.decode(np.frombuffer(ids, "<u4")):
-                    h.update(part.encode())
-                of_text.append(h.hexdigest())
-            n = np.array([len(x) // 4 for x in found], np.int64)
-            out = [b.column("doc_id"), pa.array(n), pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array(of_text, pa.string())]
+                ids, decoded, count = hashlib.sha256(), hashlib.sha256(), 0
+
+                def portions(t: bytes = t, ids=ids) -> Iterator[np.ndarray]:
+                    nonlocal count
+                    for part in bpe.encode(t.decode()):
+                        ids.update(part)
+                        count += len(part) // 4
+                        if with_ids:
+                            found.append(part)
+                        yield np.frombuffer(part, "<u4")
+
+                for part in bpe.decode(portions()):
+                    decoded.update(part.encode())
+                n.append(count), of_ids.append(ids.hexdigest()), of_text.append(decoded.hexdigest())
+            out = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             if with_ids:
                 edges = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())))
