@@ -116,7 +116,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     windows = item_windows(benchmark, item_id, "text", window)
     total = windows.count()
     blocks = max(1, -(-total // max_windows))
-    windows = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
+    windows = windows.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(blocks)))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
     kind = dict(source.dtypes)["doc_id"]
     schema = f"doc_id {kind}, text_hash long, n_words long, n_hit long, hits array<int>, items array<string>"
