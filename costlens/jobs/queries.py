@@ -43,53 +43,119 @@ CHAIN: list[tuple[str, str]] = [
     ("c1", "SELECT *, trim(cost_raw) AS t, trim(cost_raw) LIKE '(%)' AS paren FROM lines"),
     ("c2", "SELECT *, CASE WHEN paren THEN t[2:-2] ELSE t END AS inn FROM c1"),
     ("c3", "SELECT *, paren OR inn LIKE '-%' AS neg, regexp_replace(inn, '[^0-9.,]', '', 'g') AS d FROM c2"),
-    ("c4", "SELECT *, length(d) - length(replace(d, ',', '')) AS commas, length(d) - length(replace(d, '.', '')) AS dots, strpos(reverse(d), ',') AS rc, strpos(reverse(d), '.') AS rd FROM c3"),
-    ("c5", "SELECT *, CASE WHEN commas > 0 AND dots > 0 AND rc < rd THEN regexp_replace(replace(d, '.', ''), ',', '.') WHEN commas > 0 AND dots > 0 THEN replace(d, ',', '') WHEN commas = 1 AND rc <= 3 THEN replace(d, ',', '.') ELSE replace(d, ',', '') END AS num FROM c4"),
-    ("parsed", "SELECT line_no, resource_id, service, provider, region, cost_raw, currency, charge_type, tag_owner, tag_team, tag_environment, tag_cost_center, tags_json, CASE WHEN regexp_matches(num, '[0-9]') THEN CASE WHEN neg THEN -try_cast(num AS DECIMAL(38,12)) ELSE try_cast(num AS DECIMAL(38,12)) END END AS cost FROM c5"),
-    ("routed", f"SELECT *, cost IS NULL AS cost_missing, {norm('resource_id')} NOT IN ({NULLS}) AS has_id, {header_norm('charge_type')} IN ({quote(UNTAGGABLE)}) AS untaggable, coalesce(cost < 0, false) AS neg FROM parsed"),
-    ("classified", "SELECT *, CASE WHEN untaggable THEN 'untaggable' WHEN neg AND NOT has_id THEN 'credit' WHEN neg THEN 'netted' ELSE 'usage' END AS bucket, CASE WHEN has_id THEN lower(resource_id) ELSE concat('row-', line_no) END AS rkey FROM routed"),
+    ("c4",
+        "SELECT *, length(d) - length(replace(d, ',', '')) AS commas, length(d) - length(replace(d, '.', '')) AS dots, strpos(reverse(d), "
+        "',') AS rc, strpos(reverse(d), '.') AS rd FROM c3"),
+    ("c5",
+        "SELECT *, CASE WHEN commas > 0 AND dots > 0 AND rc < rd THEN regexp_replace(replace(d, '.', ''), ',', '.') WHEN commas > 0 AND "
+        "dots > 0 THEN replace(d, ',', '') WHEN commas = 1 AND rc <= 3 THEN replace(d, ',', '.') ELSE replace(d, ',', '') END AS num FROM "
+        "c4"),
+    ("parsed",
+        "SELECT line_no, resource_id, service, provider, region, cost_raw, currency, charge_type, tag_owner, tag_team, tag_environment, "
+        "tag_cost_center, tags_json, CASE WHEN regexp_matches(num, '[0-9]') THEN CASE WHEN neg THEN -try_cast(num AS DECIMAL(38,12)) ELSE "
+        "try_cast(num AS DECIMAL(38,12)) END END AS cost FROM c5"),
+    ("routed",
+        f"SELECT *, cost IS NULL AS cost_missing, {norm('resource_id')} NOT IN ({NULLS}) AS has_id, {header_norm('charge_type')} IN "
+        f"({quote(UNTAGGABLE)}) AS untaggable, coalesce(cost < 0, false) AS neg FROM parsed"),
+    ("classified",
+        "SELECT *, CASE WHEN untaggable THEN 'untaggable' WHEN neg AND NOT has_id THEN 'credit' WHEN neg THEN 'netted' ELSE 'usage' END AS "
+        "bucket, CASE WHEN has_id THEN lower(resource_id) ELSE concat('row-', line_no) END AS rkey FROM routed"),
     ("kept", f"SELECT *, {CC} AS json_cc FROM classified WHERE bucket IN ('usage', 'netted')"),
     ("offers", "SELECT rkey, line_no * 2 AS n, 'cost_center' AS tag, json_cc AS v FROM kept WHERE json_cc IS NOT NULL UNION ALL " + " UNION ALL ".join(f"SELECT rkey, line_no * 2 + 1, '{k}', tag_{k} FROM kept" for k in TAGS)),
-    ("resolved", "SELECT rkey, " + ", ".join(f"coalesce(arg_min(v, n) FILTER (tag = '{k}' AND {norm('v')} NOT IN ({NULLS})), arg_min(v, n) FILTER (tag = '{k}' AND {norm('v')} IN ({HELD}))) AS {k}" for k in TAGS) + " FROM offers GROUP BY rkey"),
-    ("weights", "SELECT rkey, service, sum(abs(coalesce(cost, 0)) + 0.000000001::DECIMAL(38,12)) AS w, min(line_no) AS f FROM kept WHERE service <> '' GROUP BY rkey, service"),
+    ("resolved", "SELECT rkey, " + ", ".join(
+        f"coalesce(arg_min(v, n) FILTER (tag = '{k}' AND {norm('v')} NOT IN ({NULLS})), arg_min(v, n) FILTER (tag = '{k}' AND {norm('v')} "
+        f"IN ({HELD}))) AS {k}" for k in TAGS) + " FROM offers GROUP BY rkey"),
+    ("weights",
+        "SELECT rkey, service, sum(abs(coalesce(cost, 0)) + 0.000000001::DECIMAL(38,12)) AS w, min(line_no) AS f FROM kept WHERE service "
+        "<> '' GROUP BY rkey, service"),
     ("dominant", "SELECT rkey, service FROM (SELECT *, row_number() OVER (PARTITION BY rkey ORDER BY w DESC, f) AS k FROM weights) WHERE k = 1"),
-    ("heads", "SELECT rkey, nullif(provider, '') AS provider, nullif(region, '') AS region, CASE WHEN has_id THEN resource_id ELSE rkey END AS id, line_no AS first_line FROM (SELECT *, row_number() OVER (PARTITION BY rkey ORDER BY line_no) AS k FROM kept) WHERE k = 1"),
+    ("heads",
+        "SELECT rkey, nullif(provider, '') AS provider, nullif(region, '') AS region, CASE WHEN has_id THEN resource_id ELSE rkey END AS "
+        "id, line_no AS first_line FROM (SELECT *, row_number() OVER (PARTITION BY rkey ORDER BY line_no) AS k FROM kept) WHERE k = 1"),
     ("sums", "SELECT rkey, sum(coalesce(cost, 0)) AS cost, count(*) AS line_items FROM kept GROUP BY rkey"),
-    ("rolled", "SELECT rkey, id, service, provider, region, cost, line_items, first_line, owner, team, environment, cost_center FROM heads JOIN sums USING (rkey) JOIN resolved USING (rkey) LEFT JOIN dominant USING (rkey)"),
+    ("rolled",
+        "SELECT rkey, id, service, provider, region, cost, line_items, first_line, owner, team, environment, cost_center FROM heads JOIN "
+        "sums USING (rkey) JOIN resolved USING (rkey) LEFT JOIN dominant USING (rkey)"),
     ("clamped", f"SELECT * REPLACE (CASE WHEN cost < 0 THEN 0 ELSE {r2('cost')} END::DECIMAL(18,2) AS cost), cost < 0 AS negative FROM rolled"),
     ("res", "SELECT *, list_filter([" + ", ".join(f"CASE WHEN {norm(k)} IN ({NULLS}) THEN '{k}' END" for k in TAGS) + "], lambda x: x IS NOT NULL) AS missing, len(missing) = 0 AS compliant FROM clamped"),
-    ("totals", "SELECT count(*) AS n, count(*) FILTER (compliant) AS ok, coalesce(sum(cost), 0) AS total, coalesce(sum(cost) FILTER (compliant), 0) AS okc, count(*) FILTER (negative) AS negatives FROM res"),
+    ("totals",
+        "SELECT count(*) AS n, count(*) FILTER (compliant) AS ok, coalesce(sum(cost), 0) AS total, coalesce(sum(cost) FILTER (compliant), "
+        "0) AS okc, count(*) FILTER (negative) AS negatives FROM res"),
     ("scores", f"SELECT *, CASE WHEN total > 0 THEN {pct('okc', 'total')} END AS spend, {pct('ok', 'n')} AS resource FROM totals"),
     ("cells", " UNION ALL ".join(f"SELECT rkey, first_line, '{k}' AS tag, {k} AS raw FROM res" for k in TAGS)),
     ("holders", f"SELECT rkey, tag, {norm('raw')} AS value FROM cells WHERE {norm('raw')} IN ({HELD})"),
-    ("lt", f"SELECT count(*) AS total_rows, count(*) FILTER (bucket = 'credit') AS credit_count, coalesce(sum(coalesce(cost, 0)) FILTER (bucket = 'credit'), 0)::DOUBLE AS credit_total, count(*) FILTER (bucket = 'netted') AS netted_count, count(*) FILTER (bucket = 'untaggable') AS untaggable_count, coalesce(sum(coalesce(cost, 0)) FILTER (bucket = 'untaggable'), 0)::DOUBLE AS untaggable_cost, count(*) FILTER (cost_missing) AS cost_missing_count, count(*) FILTER (bucket IN ('usage', 'netted')) AS kept_lines FROM classified"),
+    ("lt",
+        f"SELECT count(*) AS total_rows, count(*) FILTER (bucket = 'credit') AS credit_count, coalesce(sum(coalesce(cost, 0)) FILTER "
+        f"(bucket = 'credit'), 0)::DOUBLE AS credit_total, count(*) FILTER (bucket = 'netted') AS netted_count, count(*) FILTER (bucket = "
+        f"'untaggable') AS untaggable_count, coalesce(sum(coalesce(cost, 0)) FILTER (bucket = 'untaggable'), 0)::DOUBLE AS untaggable_cost, "
+        f"count(*) FILTER (cost_missing) AS cost_missing_count, count(*) FILTER (bucket IN ('usage', 'netted')) AS kept_lines FROM "
+        f"classified"),
     ("cur", "SELECT DISTINCT CASE WHEN upper(trim(currency)) NOT IN ('', 'N/A', '-', 'NULL', 'NONE') THEN upper(trim(currency)) END AS currency FROM lines"),
     ("curs", "SELECT string_agg(currency, ',' ORDER BY currency) AS currencies, count(*) > 1 AS refused FROM cur WHERE currency IS NOT NULL"),
     ("held", "SELECT count(*) AS occurrences, count(DISTINCT rkey) AS resources FROM holders"),
     ("summary", f"""SELECT total_rows, n AS analyzed_resources, ok AS compliant_count, n - ok AS non_compliant_count, total::DOUBLE AS total_cost, {r2('total - okc')} AS unallocated_cost, spend AS spend_score, resource AS resource_score,
         {grade('spend')} AS spend_grade, {grade('resource')} AS resource_grade, credit_count, {r2('credit_total')} AS credit_total, netted_count, negatives AS negative_count, untaggable_count, {r2('untaggable_cost')} AS untaggable_cost, cost_missing_count,
         kept_lines - n AS merged_lines, occurrences AS placeholder_count, resources AS placeholder_resources, n > 5000 AS truncated, currencies, refused FROM scores, lt, held, curs"""),
-    ("vals", f"SELECT tag, {norm('raw')} AS norm, list_sort(list(DISTINCT trim(raw))) AS raws, arg_min(trim(raw), row(first_line, trim(raw))) AS raw, min(first_line) AS first_line FROM cells WHERE raw IS NOT NULL AND {norm('raw')} NOT IN ({NULLS}) GROUP BY 1, 2"),
-    ("grouped", "SELECT *, CASE " + " ".join(f"WHEN norm IN ({quote(g)}) THEN {i}" for i, g in enumerate(ENV_ALIASES)) + " END AS g, regexp_replace(norm, '[0-9]+', '#', 'g') AS skel, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(norm, '[\\s\\-_./]+'), lambda x: x <> ''))), ' ') AS words, len(list_distinct(list_filter(string_split_regex(norm, '[\\s\\-_./]+'), lambda x: x <> ''))) AS nw FROM vals"),
-    ("near", "SELECT a.tag, a.norm AS norm_a, b.norm AS norm_b, a.raw AS raw_a, b.raw AS raw_b, least(a.first_line, b.first_line) AS line, length(a.norm) >= 3 AND length(b.norm) >= 3 AND a.nw > 1 AND a.words = b.words AS r0, length(a.norm) >= 4 AND length(b.norm) >= 4 AND abs(length(a.norm) - length(b.norm)) <= 7 AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm)) AS r1, length(a.norm) >= 5 AND length(b.norm) >= 5 AND levenshtein(a.norm, b.norm) = 1 AS r2 FROM grouped a JOIN grouped b ON a.tag = b.tag AND a.norm < b.norm AND a.skel <> b.skel AND (a.g IS NULL OR b.g IS NULL OR a.g <> b.g)"),
-    ("pairs", "SELECT 'value' AS type, tag, CASE WHEN r0 THEN 'same words, different order' WHEN r1 THEN 'one is a prefix of the other' ELSE 'differs by one character' END AS reason, list_sort([raw_a, raw_b]) AS members, 4 AS stage, line AS position FROM near WHERE r0 OR r1 OR r2"),
-    ("variants", "SELECT 'value' AS type, tag, 'case or format variants' AS reason, raws AS members, 2 AS stage, first_line AS position FROM vals WHERE len(raws) > 1"),
-    ("aliases", "SELECT 'value' AS type, tag, 'environment aliases' AS reason, list_sort(list(raw)) AS members, 3 AS stage, g AS position FROM grouped WHERE tag = 'environment' AND g IS NOT NULL GROUP BY tag, g HAVING count(*) > 1"),
+    ("vals",
+        f"SELECT tag, {norm('raw')} AS norm, list_sort(list(DISTINCT trim(raw))) AS raws, arg_min(trim(raw), row(first_line, trim(raw))) AS "
+        f"raw, min(first_line) AS first_line FROM cells WHERE raw IS NOT NULL AND {norm('raw')} NOT IN ({NULLS}) GROUP BY 1, 2"),
+    ("grouped", "SELECT *, CASE " + " ".join(f"WHEN norm IN ({quote(g)}) THEN {i}" for i, g in enumerate(ENV_ALIASES)) +
+        " END AS g, regexp_replace(norm, '[0-9]+', '#', 'g') AS skel, "
+        "array_to_string(list_sort(list_distinct(list_filter(string_split_regex(norm, '[\\s\\-_./]+'), lambda x: x <> ''))), ' ') AS "
+        "words, len(list_distinct(list_filter(string_split_regex(norm, '[\\s\\-_./]+'), lambda x: x <> ''))) AS nw FROM vals"),
+    ("near",
+        "SELECT a.tag, a.norm AS norm_a, b.norm AS norm_b, a.raw AS raw_a, b.raw AS raw_b, least(a.first_line, b.first_line) AS line, "
+        "length(a.norm) >= 3 AND length(b.norm) >= 3 AND a.nw > 1 AND a.words = b.words AS r0, length(a.norm) >= 4 AND length(b.norm) >= 4 "
+        "AND abs(length(a.norm) - length(b.norm)) <= 7 AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm)) AS r1, "
+        "length(a.norm) >= 5 AND length(b.norm) >= 5 AND levenshtein(a.norm, b.norm) = 1 AS r2 FROM grouped a JOIN grouped b ON a.tag = "
+        "b.tag AND a.norm < b.norm AND a.skel <> b.skel AND (a.g IS NULL OR b.g IS NULL OR a.g <> b.g)"),
+    ("pairs",
+        "SELECT 'value' AS type, tag, CASE WHEN r0 THEN 'same words, different order' WHEN r1 THEN 'one is a prefix of the other' ELSE "
+        "'differs by one character' END AS reason, list_sort([raw_a, raw_b]) AS members, 4 AS stage, line AS position FROM near WHERE r0 "
+        "OR r1 OR r2"),
+    ("variants",
+        "SELECT 'value' AS type, tag, 'case or format variants' AS reason, raws AS members, 2 AS stage, first_line AS position FROM vals "
+        "WHERE len(raws) > 1"),
+    ("aliases",
+        "SELECT 'value' AS type, tag, 'environment aliases' AS reason, list_sort(list(raw)) AS members, 3 AS stage, g AS position FROM "
+        "grouped WHERE tag = 'environment' AND g IS NOT NULL GROUP BY tag, g HAVING count(*) > 1"),
     ("headers", tables.HEADERS),
     ("hcells", tables.CELLS),
     ("syn", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i}, '{s}')" for i, (k, _, names) in enumerate(DEFAULT_TAGS) for s in dict.fromkeys([k.replace("_", ""), *names])) + ") AS x(tag, tag_rank, synonym)"),
     ("role_syn", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {i}, '{s}')" for r, names in ROLE_SYNONYMS.items() for i, s in enumerate(names)) + ") AS x(role, syn_rank, synonym)"),
     ("forms", f"SELECT source, position, header, {header_norm('header')} AS norm, {header_norm(stripped_prefix('header'))} AS tag_norm FROM headers"),
-    ("roles", "SELECT source, role, position, header FROM (SELECT f.*, role, row_number() OVER (PARTITION BY source, role ORDER BY syn_rank, position) AS k FROM forms f JOIN role_syn ON norm = synonym) WHERE k = 1"),
+    ("roles",
+        "SELECT source, role, position, header FROM (SELECT f.*, role, row_number() OVER (PARTITION BY source, role ORDER BY syn_rank, "
+        "position) AS k FROM forms f JOIN role_syn ON norm = synonym) WHERE k = 1"),
     ("fill", "SELECT source, position, count(*) FILTER (trim(value) <> '') AS filled FROM hcells GROUP BY 1, 2"),
-    ("tagged", "SELECT source, tag, position, header FROM (SELECT *, row_number() OVER (PARTITION BY source, tag ORDER BY filled DESC, position) AS k FROM (SELECT DISTINCT f.source, f.position, header, tag, coalesce(filled, 0) AS filled FROM forms f JOIN syn ON synonym IN (norm, tag_norm) LEFT JOIN fill ON fill.source = f.source AND fill.position = f.position WHERE NOT EXISTS (SELECT 1 FROM roles r WHERE r.source = f.source AND r.position = f.position))) WHERE k = 1"),
+    ("tagged",
+        "SELECT source, tag, position, header FROM (SELECT *, row_number() OVER (PARTITION BY source, tag ORDER BY filled DESC, position) "
+        "AS k FROM (SELECT DISTINCT f.source, f.position, header, tag, coalesce(filled, 0) AS filled FROM forms f JOIN syn ON synonym IN "
+        "(norm, tag_norm) LEFT JOIN fill ON fill.source = f.source AND fill.position = f.position WHERE NOT EXISTS (SELECT 1 FROM roles r "
+        "WHERE r.source = f.source AND r.position = f.position))) WHERE k = 1"),
     ("jshare", """SELECT source, position, avg(CASE WHEN trim(value) LIKE '{%' OR regexp_matches(trim(value), '^"[^"]+"\\s*:') THEN 1.0 ELSE 0.0 END) AS share FROM hcells WHERE trim(value) <> '' AND lower(trim(value)) <> 'null' GROUP BY 1, 2"""),
-    ("jcol", "SELECT source, position, header FROM (SELECT f.*, row_number() OVER (PARTITION BY f.source ORDER BY f.position) AS k FROM forms f JOIN jshare s ON s.source = f.source AND s.position = f.position AND share >= 0.5 WHERE norm IN ('tags', 'resourcetags', 'labels') AND NOT EXISTS (SELECT 1 FROM roles r WHERE r.source = f.source AND r.position = f.position) AND NOT EXISTS (SELECT 1 FROM tagged r WHERE r.source = f.source AND r.position = f.position)) WHERE k = 1"),
-    ("jtext", "SELECT c.source, c.line, CASE WHEN trim(value) LIKE '{%' THEN trim(value) ELSE '{' || trim(value) || '}' END AS j FROM hcells c JOIN jcol USING (source, position) WHERE trim(value) <> '' AND lower(trim(value)) <> 'null'"),
-    ("jkeys", "SELECT source, key, min(row(line, place)) AS first FROM (SELECT source, line, unnest(json_keys(j)) AS key, unnest(range(len(json_keys(j)))) AS place FROM jtext WHERE json_valid(j)) GROUP BY 1, 2"),
-    ("jmap", f"SELECT source, tag, key FROM (SELECT k.source, tag, key, row_number() OVER (PARTITION BY k.source, tag ORDER BY first) AS n FROM jkeys k JOIN syn ON synonym = {header_norm('key')} WHERE NOT EXISTS (SELECT 1 FROM tagged t WHERE t.source = k.source AND t.tag = syn.tag)) WHERE n = 1"),
-    ("kd0", "SELECT source, 'key' AS type, NULL::VARCHAR AS tag, 'same header form' AS reason, list_sort(list(DISTINCT header)) AS members, 0 AS stage, min(position) AS position FROM forms WHERE tag_norm <> '' GROUP BY source, tag_norm HAVING count(DISTINCT header) > 1"),
-    ("kd1", "SELECT source, 'key' AS type, tag, 'several columns of one tag' AS reason, list_sort(list(DISTINCT header)) AS members, 1 AS stage, tag_rank AS position FROM forms JOIN syn ON tag_norm = synonym GROUP BY source, tag, tag_rank HAVING count(DISTINCT header) > 1"),
+    ("jcol",
+        "SELECT source, position, header FROM (SELECT f.*, row_number() OVER (PARTITION BY f.source ORDER BY f.position) AS k FROM forms f "
+        "JOIN jshare s ON s.source = f.source AND s.position = f.position AND share >= 0.5 WHERE norm IN ('tags', 'resourcetags', "
+        "'labels') AND NOT EXISTS (SELECT 1 FROM roles r WHERE r.source = f.source AND r.position = f.position) AND NOT EXISTS (SELECT 1 "
+        "FROM tagged r WHERE r.source = f.source AND r.position = f.position)) WHERE k = 1"),
+    ("jtext",
+        "SELECT c.source, c.line, CASE WHEN trim(value) LIKE '{%' THEN trim(value) ELSE '{' || trim(value) || '}' END AS j FROM hcells c "
+        "JOIN jcol USING (source, position) WHERE trim(value) <> '' AND lower(trim(value)) <> 'null'"),
+    ("jkeys",
+        "SELECT source, key, min(row(line, place)) AS first FROM (SELECT source, line, unnest(json_keys(j)) AS key, "
+        "unnest(range(len(json_keys(j)))) AS place FROM jtext WHERE json_valid(j)) GROUP BY 1, 2"),
+    ("jmap",
+        f"SELECT source, tag, key FROM (SELECT k.source, tag, key, row_number() OVER (PARTITION BY k.source, tag ORDER BY first) AS n FROM "
+        f"jkeys k JOIN syn ON synonym = {header_norm('key')} WHERE NOT EXISTS (SELECT 1 FROM tagged t WHERE t.source = k.source AND t.tag = "
+        f"syn.tag)) WHERE n = 1"),
+    ("kd0",
+        "SELECT source, 'key' AS type, NULL::VARCHAR AS tag, 'same header form' AS reason, list_sort(list(DISTINCT header)) AS members, 0 "
+        "AS stage, min(position) AS position FROM forms WHERE tag_norm <> '' GROUP BY source, tag_norm HAVING count(DISTINCT header) > 1"),
+    ("kd1",
+        "SELECT source, 'key' AS type, tag, 'several columns of one tag' AS reason, list_sort(list(DISTINCT header)) AS members, 1 AS "
+        "stage, tag_rank AS position FROM forms JOIN syn ON tag_norm = synonym GROUP BY source, tag, tag_rank HAVING count(DISTINCT "
+        "header) > 1"),
 ]
 NAMES = [n for n, _ in CHAIN]
 
@@ -272,15 +338,26 @@ Q: dict[str, tuple] = {
     "is_null_token": (_scalar(S.is_null_token), sql(f"SELECT line_no, {norm('tag_team')} IN ({NULLS}) AS value FROM lines")),
     "is_placeholder": (_scalar(S.is_placeholder, "tag_environment"), sql(f"SELECT line_no, {norm('tag_environment')} IN ({HELD}) AS value FROM lines")),
     "parse_cost": (_scalar(lambda c: S.parse_cost(c).cast("double"), "cost_raw"), sql("SELECT line_no, cost::DOUBLE AS value FROM parsed")),
-    "normalize_currency": (_scalar(S.normalize_currency, "currency"), sql("SELECT line_no, CASE WHEN upper(trim(currency)) NOT IN ('', 'N/A', '-', 'NULL', 'NONE') THEN upper(trim(currency)) END AS value FROM lines")),
+    "normalize_currency": (_scalar(S.normalize_currency, "currency"), sql(
+        "SELECT line_no, CASE WHEN upper(trim(currency)) NOT IN ('', 'N/A', '-', 'NULL', 'NONE') THEN upper(trim(currency)) END AS value "
+        "FROM lines")),
     "is_untaggable_charge": (_scalar(S.is_untaggable_charge, "charge_type"), sql("SELECT line_no, untaggable AS value FROM routed")),
-    "parse_tag_object": (_scalar(lambda c: F.array_join(F.array_sort(F.map_keys(S.parse_tag_object(c))), "|"), "tags_json"), sql(f"SELECT line_no, CASE WHEN {JSON} IS NOT NULL AND json_valid({JSON}) THEN array_to_string(list_sort(json_keys({JSON})), '|') END AS value FROM lines")),
+    "parse_tag_object": (_scalar(lambda c: F.array_join(F.array_sort(F.map_keys(S.parse_tag_object(c))), "|"), "tags_json"), sql(
+        f"SELECT line_no, CASE WHEN {JSON} IS NOT NULL AND json_valid({JSON}) THEN array_to_string(list_sort(json_keys({JSON})), '|') END "
+        f"AS value FROM lines")),
     "tag_from_json": (_scalar(lambda c: S.tag_from_json(S.parse_tag_object(c), "cc"), "tags_json"), sql(f"SELECT line_no, {CC} AS value FROM lines")),
     "round2": (lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", S.round2(F.col("value") / 7 - 20).alias("value")), f"SELECT event_id, {r2('value / 7 - 20')} AS value FROM events"),
     "pct": (lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", S.pct(F.col("value"), F.col("user_id")).alias("value")), f"SELECT event_id, {pct('value', 'user_id')} AS value FROM events"),
-    "grade": (_grades, f"SELECT event_id, {G} AS grade, {_labels(SPEND_LABELS, G)} AS spend_label, {_labels(RESOURCE_LABELS, G)} AS resource_label FROM events"),
-    "display_id": (lambda s, d: table(s, d).select("rkey", S.display_id(F.concat("id", F.when(F.col("first_line") % 3 == 0, F.repeat(F.lit("xy"), F.lit(40))).otherwise(""))).alias("value")), sql("SELECT rkey, CASE WHEN regexp_matches(i, '^row-[0-9]+$') THEN '(no resource id — line ' || i[5:] || ')' WHEN length(i) > 64 THEN i[:26] || '…' || right(i, 34) ELSE i END AS value FROM (SELECT rkey, id || CASE WHEN first_line % 3 = 0 THEN repeat('xy', 40) ELSE '' END AS i FROM res)")),
-    "token_set": (_scalar(lambda c: F.array_join(S.token_set(c), "|")), sql("SELECT line_no, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(tag_team, '[\\s\\-_./]+'), lambda x: x <> ''))), '|') AS value FROM lines")),
+    "grade": (_grades,
+        f"SELECT event_id, {G} AS grade, {_labels(SPEND_LABELS, G)} AS spend_label, {_labels(RESOURCE_LABELS, G)} AS resource_label FROM "
+        f"events"),
+    "display_id": (lambda s, d: table(s, d).select("rkey", S.display_id(F.concat("id", F.when(F.col("first_line") % 3 == 0, F.repeat(F.lit("xy"), F.lit(40))).otherwise(""))).alias("value")), sql(
+        "SELECT rkey, CASE WHEN regexp_matches(i, '^row-[0-9]+$') THEN '(no resource id — line ' || i[5:] || ')' WHEN length(i) > 64 THEN "
+        "i[:26] || '…' || right(i, 34) ELSE i END AS value FROM (SELECT rkey, id || CASE WHEN first_line % 3 = 0 THEN repeat('xy', 40) "
+        "ELSE '' END AS i FROM res)")),
+    "token_set": (_scalar(lambda c: F.array_join(S.token_set(c), "|")), sql(
+        "SELECT line_no, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(tag_team, '[\\s\\-_./]+'), lambda x: x <> "
+        "''))), '|') AS value FROM lines")),
     "digit_skeleton": (_scalar(S.digit_skeleton), sql("SELECT line_no, regexp_replace(tag_team, '[0-9]+', '#', 'g') AS value FROM lines")),
     "levenshtein": (lambda s, d: tables.event_lines(s, d).select("line_no", S.levenshtein(F.col("tag_team"), F.col("tag_environment")).cast("long").alias("value")), sql("SELECT line_no, levenshtein(tag_team, tag_environment) AS value FROM lines")),
     "classify_lines": (lambda s, d: classified(s, d).select("line_no", "bucket", "rkey", "has_id", F.col("cost").cast("double").alias("cost")), sql("SELECT line_no, bucket, rkey, has_id, cost::DOUBLE AS cost FROM classified")),
@@ -297,18 +374,38 @@ Q: dict[str, tuple] = {
     "compliance": (_res(lambda t: t), sql(f"SELECT {RES} FROM res")),
     "audit_summary": (summary, sql("SELECT * FROM summary")),
     "spend_score": (lambda s, d: coverage.spend_score(table(s, d), M), sql(f"SELECT spend AS spend_score, {grade('spend')} AS grade, {_labels(SPEND_LABELS, grade('spend'))} AS label FROM scores")),
-    "resource_score": (lambda s, d: coverage.resource_score(table(s, d), M), sql(f"SELECT resource AS resource_score, {grade('resource')} AS grade, {_labels(RESOURCE_LABELS, grade('resource'))} AS label FROM scores")),
-    "grade_divergence": (lambda s, d: coverage.grade_divergence(table(s, d), M), sql("SELECT spend AS spend_score, resource AS resource_score, coalesce(abs(spend - resource) >= 15, false) AS diverges, CASE WHEN spend - resource >= 15 THEN 'spend' WHEN resource - spend >= 15 THEN 'resources' END AS higher FROM scores")),
-    "tag_coverage": (lambda s, d: coverage.tag_coverage(table(s, d), M), sql(" UNION ALL ".join(f"SELECT {i} AS position, '{k}' AS tag, '{lab}' AS label, {pct('w', 'n')} AS resource_pct, CASE WHEN total > 0 THEN {pct('c', 'total')} END AS cost_pct, n - w AS missing_count, h AS placeholder_count, {r2('s')} AS solo_recoverable_cost FROM (SELECT count(*) AS n, sum(cost) AS total, count(*) FILTER (NOT list_contains(missing, '{k}')) AS w, coalesce(sum(cost) FILTER (NOT list_contains(missing, '{k}')), 0) AS c, count(*) FILTER ({norm(k)} IN ({HELD})) AS h, coalesce(sum(cost) FILTER (missing = ['{k}']), 0) AS s FROM res)" for i, (k, lab, _) in enumerate(DEFAULT_TAGS)))),
+    "resource_score": (lambda s, d: coverage.resource_score(table(s, d), M), sql(
+        f"SELECT resource AS resource_score, {grade('resource')} AS grade, {_labels(RESOURCE_LABELS, grade('resource'))} AS label FROM "
+        f"scores")),
+    "grade_divergence": (lambda s, d: coverage.grade_divergence(table(s, d), M), sql(
+        "SELECT spend AS spend_score, resource AS resource_score, coalesce(abs(spend - resource) >= 15, false) AS diverges, CASE WHEN "
+        "spend - resource >= 15 THEN 'spend' WHEN resource - spend >= 15 THEN 'resources' END AS higher FROM scores")),
+    "tag_coverage": (lambda s, d: coverage.tag_coverage(table(s, d), M), sql(" UNION ALL ".join(
+        f"SELECT {i} AS position, '{k}' AS tag, '{lab}' AS label, {pct('w', 'n')} AS resource_pct, CASE WHEN total > 0 THEN "
+        f"{pct('c', 'total')} END AS cost_pct, n - w AS missing_count, h AS placeholder_count, {r2('s')} AS solo_recoverable_cost FROM "
+        f"(SELECT count(*) AS n, sum(cost) AS total, count(*) FILTER (NOT list_contains(missing, '{k}')) AS w, coalesce(sum(cost) FILTER "
+        f"(NOT list_contains(missing, '{k}')), 0) AS c, count(*) FILTER ({norm(k)} IN ({HELD})) AS h, coalesce(sum(cost) FILTER (missing = "
+        f"['{k}']), 0) AS s FROM res)" for i, (k, lab, _) in enumerate(DEFAULT_TAGS)))),
     "solo_recoverable": (lambda s, d: coverage.solo_recoverable(table(s, d)), sql(f"SELECT missing[1] AS tag, {r2('sum(cost)')} AS solo_cost FROM res WHERE len(missing) = 1 GROUP BY 1")),
     "placeholder_values": (lambda s, d: coverage.placeholder_values(table(s, d), M), sql("SELECT value, count(*) AS occurrences, count(DISTINCT rkey) AS resources FROM holders GROUP BY 1")),
     "placeholder_totals": (lambda s, d: coverage.placeholder_totals(table(s, d), M), sql("SELECT * FROM held")),
-    "service_breakdown": (lambda s, d: coverage.service_breakdown(table(s, d)), sql(f"SELECT coalesce(service, '(no service)') AS service, {r2('sum(cost)')} AS total_cost, {r2('coalesce(sum(cost) FILTER (NOT compliant), 0)')} AS unallocated_cost, count(*) AS resource_count, count(*) FILTER (NOT compliant) AS non_compliant_count FROM res GROUP BY 1")),
-    "spend_composition": (lambda s, d: coverage.spend_composition(summary(s, d)), sql(f"SELECT part, {r2('amount')} AS amount, {pct('amount', 'whole')} AS share FROM (SELECT part, amount, sum(amount) OVER () AS whole FROM (SELECT unnest(['allocatable', 'unallocated', 'untaggable']) AS part, unnest([greatest(0, total_cost - unallocated_cost), unallocated_cost, greatest(0, untaggable_cost)]) AS amount FROM summary)) WHERE amount > 0 AND whole > 0")),
-    "data_quality_notes": (lambda s, d: coverage.data_quality_notes(summary(s, d)), sql("SELECT * FROM (SELECT unnest(['untaggable', 'credits', 'netted', 'negative_resources', 'cost_missing', 'merged_lines']) AS note, unnest([untaggable_count, credit_count, netted_count, negative_count, cost_missing_count, merged_lines]) AS count, unnest([untaggable_cost, credit_total, NULL, NULL, NULL, NULL]) AS amount FROM summary) WHERE count > 0")),
+    "service_breakdown": (lambda s, d: coverage.service_breakdown(table(s, d)), sql(
+        f"SELECT coalesce(service, '(no service)') AS service, {r2('sum(cost)')} AS total_cost, "
+        f"{r2('coalesce(sum(cost) FILTER (NOT compliant), 0)')} AS unallocated_cost, count(*) AS resource_count, count(*) FILTER (NOT "
+        f"compliant) AS non_compliant_count FROM res GROUP BY 1")),
+    "spend_composition": (lambda s, d: coverage.spend_composition(summary(s, d)), sql(
+        f"SELECT part, {r2('amount')} AS amount, {pct('amount', 'whole')} AS share FROM (SELECT part, amount, sum(amount) OVER () AS whole "
+        f"FROM (SELECT unnest(['allocatable', 'unallocated', 'untaggable']) AS part, unnest([greatest(0, total_cost - unallocated_cost), "
+        f"unallocated_cost, greatest(0, untaggable_cost)]) AS amount FROM summary)) WHERE amount > 0 AND whole > 0")),
+    "data_quality_notes": (lambda s, d: coverage.data_quality_notes(summary(s, d)), sql(
+        "SELECT * FROM (SELECT unnest(['untaggable', 'credits', 'netted', 'negative_resources', 'cost_missing', 'merged_lines']) AS note, "
+        "unnest([untaggable_count, credit_count, netted_count, negative_count, cost_missing_count, merged_lines]) AS count, "
+        "unnest([untaggable_cost, credit_total, NULL, NULL, NULL, NULL]) AS amount FROM summary) WHERE count > 0")),
     "top_offenders": (_res(explore.top_offenders), sql(f"SELECT {RES} FROM res WHERE NOT compliant ORDER BY res.cost DESC, first_line LIMIT 100")),
     "top_resources": (_res(explore.top_resources), sql(f"SELECT {RES} FROM res ORDER BY res.cost DESC, first_line LIMIT 5000")),
-    "fix_first": (lambda s, d: _joined(explore.fix_first(table(s, d)).select(*RES_COLUMNS, "negligible")), sql(f"SELECT {RES}, (SELECT count(*) FILTER (cost < 0.01) FROM (SELECT cost FROM res WHERE NOT compliant ORDER BY cost DESC, first_line LIMIT 100)) AS negligible FROM res WHERE NOT compliant AND res.cost >= 0.01 ORDER BY res.cost DESC, first_line LIMIT 20")),
+    "fix_first": (lambda s, d: _joined(explore.fix_first(table(s, d)).select(*RES_COLUMNS, "negligible")), sql(
+        f"SELECT {RES}, (SELECT count(*) FILTER (cost < 0.01) FROM (SELECT cost FROM res WHERE NOT compliant ORDER BY cost DESC, first_line "
+        f"LIMIT 100)) AS negligible FROM res WHERE NOT compliant AND res.cost >= 0.01 ORDER BY res.cost DESC, first_line LIMIT 20")),
     "report_offenders": (_res(explore.report_offenders), sql(f"SELECT {RES} FROM res WHERE NOT compliant ORDER BY res.cost DESC, first_line LIMIT 10")),
     "search_resources": (_res(lambda t: explore.search_resources(t, " ES-2")), sql(f"SELECT {RES} FROM res WHERE contains(lower(id), 'es-2') OR contains(lower(coalesce(service, '')), 'es-2')")),
     "filter_status": (_res(lambda t: explore.filter_status(t, "compliant")), sql(f"SELECT {RES} FROM res WHERE compliant")),
@@ -316,7 +413,9 @@ Q: dict[str, tuple] = {
     "filter_service": (_res(lambda t: explore.filter_service(t, "(no service)")), sql(f"SELECT {RES} FROM res WHERE service IS NULL")),
     "sort_resources": (_res(lambda t: explore.sort_resources(t, "id", False)), sql(f"SELECT {RES} FROM res ORDER BY id, first_line")),
     "list_services": (lambda s, d: explore.list_services(table(s, d)), sql("SELECT DISTINCT coalesce(service, '(no service)') AS service FROM res")),
-    "explore_resources": (_explore, sql(f"SELECT {RES}, count(*) OVER () AS matches FROM res WHERE contains(lower(id), 'res-1') AND NOT compliant AND list_contains(res.missing, 'owner') ORDER BY res.cost DESC, first_line LIMIT 200")),
+    "explore_resources": (_explore, sql(
+        f"SELECT {RES}, count(*) OVER () AS matches FROM res WHERE contains(lower(id), 'res-1') AND NOT compliant AND "
+        f"list_contains(res.missing, 'owner') ORDER BY res.cost DESC, first_line LIMIT 200")),
     "write_resources_csv": (_resources_csv, sql("SELECT id AS resource_id, coalesce(service, '') AS service, cost::DOUBLE AS \"cost_USD\", line_items, " + ", ".join(f"CASE WHEN list_contains(missing, '{k}') THEN '' ELSE {k} END AS {k}" for k in TAGS) + " FROM res")),
     "write_report": (_report, sql(REPORT)),
     "key_drift_normalized": (lambda s, d: _joined(drift.key_drift_normalized(tables.event_headers(s, d))), sql(f"SELECT source, {F_COLS} FROM kd0")),
@@ -327,23 +426,47 @@ Q: dict[str, tuple] = {
     "value_drift_prefix": (_pair(drift.value_drift_prefix), sql("SELECT tag, norm_a, norm_b, 'one is a prefix of the other' AS reason FROM near WHERE r1")),
     "value_drift_typo": (_pair(drift.value_drift_typo), sql("SELECT tag, norm_a, norm_b, 'differs by one character' AS reason FROM near WHERE r2")),
     "value_drift_pairs": (_find(drift.value_drift_pairs), sql(f"SELECT {F_COLS} FROM pairs")),
-    "drift_findings": (_all_drift, sql(f"SELECT {F_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY type, tag, members ORDER BY stage, position, reason) AS k FROM (SELECT type, tag, reason, members, stage, position FROM kd0 WHERE source = 'export-3' UNION ALL SELECT type, tag, reason, members, stage, position FROM kd1 WHERE source = 'export-3' UNION ALL SELECT * FROM variants UNION ALL SELECT * FROM aliases UNION ALL SELECT * FROM pairs)) WHERE k = 1")),
-    "earliest_finding": (lambda s, d: _joined(drift.earliest_finding(drift.key_drift_normalized(tables.event_headers(s, d)).unionByName(drift.key_drift_synonyms(tables.event_headers(s, d))), ["source", "members"])), sql(f"SELECT source, {F_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY source, members ORDER BY stage, position, reason) AS k FROM (SELECT * FROM kd0 UNION ALL SELECT * FROM kd1)) WHERE k = 1")),
+    "drift_findings": (_all_drift, sql(
+        f"SELECT {F_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY type, tag, members ORDER BY stage, position, reason) AS k FROM "
+        f"(SELECT type, tag, reason, members, stage, position FROM kd0 WHERE source = 'export-3' UNION ALL SELECT type, tag, reason, "
+        f"members, stage, position FROM kd1 WHERE source = 'export-3' UNION ALL SELECT * FROM variants UNION ALL SELECT * FROM aliases "
+        f"UNION ALL SELECT * FROM pairs)) WHERE k = 1")),
+    "earliest_finding": (lambda s, d: _joined(drift.earliest_finding(drift.key_drift_normalized(tables.event_headers(s, d)).unionByName(drift.key_drift_synonyms(tables.event_headers(s, d))), ["source", "members"])), sql(
+        f"SELECT source, {F_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY source, members ORDER BY stage, position, reason) AS k "
+        f"FROM (SELECT * FROM kd0 UNION ALL SELECT * FROM kd1)) WHERE k = 1")),
     "map_roles": (_head(lambda h, c: mapping.map_roles(h)), sql("SELECT * FROM roles")),
-    "best_per_group": (_best, sql("SELECT source, role AS name, position, header FROM roles UNION ALL SELECT source, 'filled', position, header FROM (SELECT h.source, h.position, header, row_number() OVER (PARTITION BY h.source ORDER BY filled DESC, h.position) AS k FROM headers h JOIN fill USING (source, position)) WHERE k = 1")),
+    "best_per_group": (_best, sql(
+        "SELECT source, role AS name, position, header FROM roles UNION ALL SELECT source, 'filled', position, header FROM (SELECT "
+        "h.source, h.position, header, row_number() OVER (PARTITION BY h.source ORDER BY filled DESC, h.position) AS k FROM headers h JOIN "
+        "fill USING (source, position)) WHERE k = 1")),
     "map_tags": (_head(lambda h, c: mapping.map_tags(h, c)), sql("SELECT * FROM tagged")),
     "column_fill_counts": (_head(lambda h, c: mapping.column_fill_counts(c)), sql("SELECT * FROM fill")),
     "detect_json_tag_column": (_head(mapping.detect_json_tag_column), sql("SELECT * FROM jcol")),
     "discover_json_keys": (lambda s, d: _jkeys(s, d)[0].select("source", "key"), sql("SELECT source, key FROM jkeys")),
     "map_json_tag_keys": (_map_json, sql("SELECT * FROM jmap")),
     "unmapped_json_keys": (_unmapped, sql("SELECT source, key FROM jkeys EXCEPT SELECT source, key FROM jmap")),
-    "classify_preset": (_head(lambda h, c: mapping.classify_preset(h)), sql("SELECT source, CASE WHEN bool_or(norm = 'billedcost') AND bool_or(norm IN ('chargecategory', 'providername')) THEN 'focus' WHEN bool_or(norm LIKE 'lineitem%') THEN 'aws-cur' WHEN bool_or(norm IN ('metercategory', 'pretaxcost', 'costinbillingcurrency', 'resourcelocation')) THEN 'azure-cost-mgmt' WHEN bool_or(norm IN ('unblendedcost', 'amortizedcost')) THEN 'aws-cost-explorer' ELSE 'generic' END AS preset FROM forms GROUP BY source")),
-    "mapping_confidence": (_head(mapping.mapping_confidence), sql("SELECT s.source, floor((coalesce((SELECT max(0.3::DOUBLE) FROM roles r WHERE r.source = s.source AND role = 'resourceId'), 0) + coalesce((SELECT max(0.3::DOUBLE) FROM roles r WHERE r.source = s.source AND role = 'cost'), 0) + 0.4::DOUBLE * ((SELECT count(*) FROM tagged t WHERE t.source = s.source)::DOUBLE / 4)) * 100 + 0.5) / 100 AS confidence FROM (SELECT DISTINCT source FROM headers) s")),
-    "read_line_items": (_read, f"""SELECT line_no, event_id, event_type AS type, CASE WHEN event_id % 4 = 1 THEN props || chr(10) || 'second line' ELSE props END AS props, '7' AS n FROM ({POSITIONS}) WHERE event_id % 10 <> 0"""),
+    "classify_preset": (_head(lambda h, c: mapping.classify_preset(h)), sql(
+        "SELECT source, CASE WHEN bool_or(norm = 'billedcost') AND bool_or(norm IN ('chargecategory', 'providername')) THEN 'focus' WHEN "
+        "bool_or(norm LIKE 'lineitem%') THEN 'aws-cur' WHEN bool_or(norm IN ('metercategory', 'pretaxcost', 'costinbillingcurrency', "
+        "'resourcelocation')) THEN 'azure-cost-mgmt' WHEN bool_or(norm IN ('unblendedcost', 'amortizedcost')) THEN 'aws-cost-explorer' "
+        "ELSE 'generic' END AS preset FROM forms GROUP BY source")),
+    "mapping_confidence": (_head(mapping.mapping_confidence), sql(
+        "SELECT s.source, floor((coalesce((SELECT max(0.3::DOUBLE) FROM roles r WHERE r.source = s.source AND role = 'resourceId'), 0) + "
+        "coalesce((SELECT max(0.3::DOUBLE) FROM roles r WHERE r.source = s.source AND role = 'cost'), 0) + 0.4::DOUBLE * ((SELECT count(*) "
+        "FROM tagged t WHERE t.source = s.source)::DOUBLE / 4)) * 100 + 0.5) / 100 AS confidence FROM (SELECT DISTINCT source FROM "
+        "headers) s")),
+    "read_line_items": (_read,
+        f"""SELECT line_no, event_id, event_type AS type, CASE WHEN event_id % 4 = 1 THEN props || chr(10) || 'second line' ELSE props END AS """
+        f"""props, '7' AS n FROM ({POSITIONS}) WHERE event_id % 10 <> 0"""),
     "split_malformed": (_rejected, f"SELECT line_no, event_id FROM ({POSITIONS}) WHERE event_id % 10 = 0"),
-    "input_guard": (_checks, "SELECT 'header' AS \"check\", true AS passed UNION ALL SELECT 'tags', true UNION ALL SELECT 'rows', count(*) > 0 FROM events WHERE event_id % 10 <> 0 UNION ALL SELECT 'empty header', false UNION ALL SELECT 'empty tags', false UNION ALL SELECT 'empty rows', count(*) < 0 FROM events"),
+    "input_guard": (_checks,
+        "SELECT 'header' AS \"check\", true AS passed UNION ALL SELECT 'tags', true UNION ALL SELECT 'rows', count(*) > 0 FROM events "
+        "WHERE event_id % 10 <> 0 UNION ALL SELECT 'empty header', false UNION ALL SELECT 'empty tags', false UNION ALL SELECT 'empty "
+        "rows', count(*) < 0 FROM events"),
     "sample_lines": (lambda s, d: billing_csv.sample_lines(tables.event_lines(s, d)).select("line_no", "resource_id"), sql("SELECT line_no, resource_id FROM lines ORDER BY line_no LIMIT 500")),
-    "volume_rollup": (lambda s, d: _joined(resources.resource_rollup(lines.kept_lines(lines.classify_lines(tables.lineitem_lines(s, d), tables.VOLUME_MAPPING)), tables.VOLUME_MAPPING).select("rkey", "cost", "line_items", "environment")), "SELECT concat('part-', l_partkey) AS rkey, sum(CAST(CAST(l_extendedprice AS STRING) AS DECIMAL(38,12)))::DOUBLE AS cost, count(*) AS line_items, CASE WHEN bool_or(l_returnflag <> 'R') THEN 'prod' ELSE 'n/a' END AS environment FROM lineitem GROUP BY 1"),
+    "volume_rollup": (lambda s, d: _joined(resources.resource_rollup(lines.kept_lines(lines.classify_lines(tables.lineitem_lines(s, d), tables.VOLUME_MAPPING)), tables.VOLUME_MAPPING).select("rkey", "cost", "line_items", "environment")),
+        "SELECT concat('part-', l_partkey) AS rkey, sum(CAST(CAST(l_extendedprice AS STRING) AS DECIMAL(38,12)))::DOUBLE AS cost, count(*) "
+        "AS line_items, CASE WHEN bool_or(l_returnflag <> 'R') THEN 'prod' ELSE 'n/a' END AS environment FROM lineitem GROUP BY 1"),
 }
 QUERIES = {k: q for k, (q, _) in Q.items()}
 SQL = {k: q for k, (_, q) in Q.items()}
