@@ -263,7 +263,7 @@ class Plan:
         else:
             answers = rows.groupBy("part").cogroup(levels.groupBy("part")).applyInArrow(lambda t, held: merge(t, held.column("body").to_pylist()), ROWS)
         # Dealt like the batches, so that each later step finds them where its batches are.
-        return self.radix.returned(answers, earlier, _joined, _dealt).withColumn("step", F.lit(step)).repartition(self.parts, "owner")
+        return self.radix.returned(answers, earlier, _joined, _dealt).repartition(self.parts, "owner").withColumn("step", F.lit(step))
 
     def finish(self, answers: DataFrame, last: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
         return self.batches.groupBy("b").cogroup(answers.groupBy("owner")).applyInArrow(lambda docs, a: last(docs, found_of(a)), schema)
