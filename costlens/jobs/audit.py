@@ -29,7 +29,10 @@ def audit_tables(canonical: DataFrame, headers: DataFrame, how: Mapping, policy:
     }
 
 
-def audit_csv(spark: SparkSession, path: str, sep: str = ",", how: Mapping | None = None, policy: Policy = Policy(), sample: int = 500, multi_line: bool | None = None) -> dict[str, DataFrame]:
+def audit_csv(
+    spark: SparkSession, path: str, sep: str = ",", how: Mapping | None = None, policy: Policy = Policy(), sample: int = 500,
+    multi_line: bool | None = None
+) -> dict[str, DataFrame]:
     """Read, map (unless how is given), audit. multi_line as in read_line_items. Several currencies raise ValueError, as does input without header, rows or mapped tag."""
     names = io.read_headers(spark, path, sep)
     if not any(names):

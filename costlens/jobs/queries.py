@@ -61,7 +61,10 @@ CHAIN: list[tuple[str, str]] = [
         "SELECT *, CASE WHEN untaggable THEN 'untaggable' WHEN neg AND NOT has_id THEN 'credit' WHEN neg THEN 'netted' ELSE 'usage' END AS "
         "bucket, CASE WHEN has_id THEN lower(resource_id) ELSE concat('row-', line_no) END AS rkey FROM routed"),
     ("kept", f"SELECT *, {CC} AS json_cc FROM classified WHERE bucket IN ('usage', 'netted')"),
-    ("offers", "SELECT rkey, line_no * 2 AS n, 'cost_center' AS tag, json_cc AS v FROM kept WHERE json_cc IS NOT NULL UNION ALL " + " UNION ALL ".join(f"SELECT rkey, line_no * 2 + 1, '{k}', tag_{k} FROM kept" for k in TAGS)),
+    (
+        "offers",
+        "SELECT rkey, line_no * 2 AS n, 'cost_center' AS tag, json_cc AS v FROM kept WHERE json_cc IS NOT NULL UNION ALL " + " UNION ALL ".join(f"SELECT rkey, line_no * 2 + 1, '{k}', tag_{k} FROM kept" for k in TAGS)
+    ),
     ("resolved", "SELECT rkey, " + ", ".join(
         f"coalesce(arg_min(v, n) FILTER (tag = '{k}' AND {norm('v')} NOT IN ({NULLS})), arg_min(v, n) FILTER (tag = '{k}' AND {norm('v')} "
         f"IN ({HELD}))) AS {k}" for k in TAGS) + " FROM offers GROUP BY rkey"),
@@ -77,7 +80,10 @@ CHAIN: list[tuple[str, str]] = [
         "SELECT rkey, id, service, provider, region, cost, line_items, first_line, owner, team, environment, cost_center FROM heads JOIN "
         "sums USING (rkey) JOIN resolved USING (rkey) LEFT JOIN dominant USING (rkey)"),
     ("clamped", f"SELECT * REPLACE (CASE WHEN cost < 0 THEN 0 ELSE {r2('cost')} END::DECIMAL(18,2) AS cost), cost < 0 AS negative FROM rolled"),
-    ("res", "SELECT *, list_filter([" + ", ".join(f"CASE WHEN {norm(k)} IN ({NULLS}) THEN '{k}' END" for k in TAGS) + "], lambda x: x IS NOT NULL) AS missing, len(missing) = 0 AS compliant FROM clamped"),
+    (
+        "res",
+        "SELECT *, list_filter([" + ", ".join(f"CASE WHEN {norm(k)} IN ({NULLS}) THEN '{k}' END" for k in TAGS) + "], lambda x: x IS NOT NULL) AS missing, len(missing) = 0 AS compliant FROM clamped"
+    ),
     ("totals",
         "SELECT count(*) AS n, count(*) FILTER (compliant) AS ok, coalesce(sum(cost), 0) AS total, coalesce(sum(cost) FILTER (compliant), "
         "0) AS okc, count(*) FILTER (negative) AS negatives FROM res"),
@@ -121,8 +127,16 @@ CHAIN: list[tuple[str, str]] = [
         "grouped WHERE tag = 'environment' AND g IS NOT NULL GROUP BY tag, g HAVING count(*) > 1"),
     ("headers", tables.HEADERS),
     ("hcells", tables.CELLS),
-    ("syn", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i}, '{s}')" for i, (k, _, names) in enumerate(DEFAULT_TAGS) for s in dict.fromkeys([k.replace("_", ""), *names])) + ") AS x(tag, tag_rank, synonym)"),
-    ("role_syn", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {i}, '{s}')" for r, names in ROLE_SYNONYMS.items() for i, s in enumerate(names)) + ") AS x(role, syn_rank, synonym)"),
+    (
+        "syn",
+        "SELECT * FROM (VALUES " + ", ".join(
+            f"('{k}', {i}, '{s}')" for i, (k, _, names) in enumerate(DEFAULT_TAGS) for s in dict.fromkeys([k.replace("_", ""), *names])
+        ) + ") AS x(tag, tag_rank, synonym)"
+    ),
+    (
+        "role_syn",
+        "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {i}, '{s}')" for r, names in ROLE_SYNONYMS.items() for i, s in enumerate(names)) + ") AS x(role, syn_rank, synonym)"
+    ),
     ("forms", f"SELECT source, position, header, {header_norm('header')} AS norm, {header_norm(stripped_prefix('header'))} AS tag_norm FROM headers"),
     ("roles",
         "SELECT source, role, position, header FROM (SELECT f.*, role, row_number() OVER (PARTITION BY source, role ORDER BY syn_rank, "
@@ -288,9 +302,15 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     parts = audit_tables(tables.event_lines(s, d), tables.event_headers(s, d).where(F.col("source") == "export-3"), M)
     path = shared_dir(s)
     billing_csv.write_report(parts, path)
-    amounts = {"summary": "total_cost", "coverage": "solo_recoverable_cost", "placeholders": "occurrences", "services": "total_cost", "resources": "cost", "offenders": "cost", "fix_first": "cost", "composition": "amount", "notes": "count", "drift": "stage"}
+    amounts = {
+        "summary": "total_cost", "coverage": "solo_recoverable_cost", "placeholders": "occurrences", "services": "total_cost",
+        "resources": "cost", "offenders": "cost", "fix_first": "cost", "composition": "amount", "notes": "count", "drift": "stage"
+    }
     total = lambda k: S.round2(F.sum(F.col(amounts[k]).cast("double")))
-    return reduce(DataFrame.unionByName, [s.read.parquet(f"{path}/{k}").agg(F.count("*").alias("n"), total(k).alias("amount")).select(F.lit(k).alias("part"), "n", "amount") for k in amounts])
+    return reduce(
+        DataFrame.unionByName,
+        [s.read.parquet(f"{path}/{k}").agg(F.count("*").alias("n"), total(k).alias("amount")).select(F.lit(k).alias("part"), "n", "amount") for k in amounts]
+    )
 
 
 def _resources_csv(s: SparkSession, d: str) -> DataFrame:
@@ -302,7 +322,10 @@ def _resources_csv(s: SparkSession, d: str) -> DataFrame:
 
 def _grades(s: SparkSession, d: str) -> DataFrame:
     score = (F.col("value") * 10 % 100).alias("score")
-    return s.read.parquet(f"{d}/events.parquet").select("event_id", S.grade(score).alias("grade"), S.grade_label(S.grade(score), "spend").alias("spend_label"), S.grade_label(S.grade(score), "resource").alias("resource_label"))
+    return s.read.parquet(f"{d}/events.parquet").select(
+        "event_id", S.grade(score).alias("grade"), S.grade_label(S.grade(score), "spend").alias("spend_label"),
+        S.grade_label(S.grade(score), "resource").alias("resource_label")
+    )
 
 
 def _labels(labels: dict[str, str], g: str) -> str:
@@ -326,14 +349,26 @@ NOTES = "SELECT unnest([untaggable_count, credit_count, netted_count, negative_c
 OFFENDERS = "SELECT cost FROM res WHERE NOT compliant ORDER BY res.cost DESC, first_line LIMIT 100"
 FINDINGS = "SELECT type, tag, members, min(stage) AS stage FROM (SELECT type, tag, members, stage FROM kd0 WHERE source = 'export-3' UNION ALL SELECT type, tag, members, stage FROM kd1 WHERE source = 'export-3' UNION ALL SELECT type, tag, members, stage FROM variants UNION ALL SELECT type, tag, members, stage FROM aliases UNION ALL SELECT type, tag, members, stage FROM pairs) GROUP BY type, tag, members"
 REPORT = " UNION ALL ".join(f"SELECT '{part}' AS part, count(*) AS n, {r2(f'sum({amount})')} AS amount FROM ({q}) AS q" for part, amount, q in [
-    ("summary", "total_cost", "SELECT * FROM summary"), ("coverage", "s", SOLO), ("placeholders", "occurrences", "SELECT value, count(*) AS occurrences FROM holders GROUP BY 1"), ("services", "total_cost", SERVICES), ("resources", "cost", "SELECT cost FROM res"),
-    ("offenders", "cost", OFFENDERS), ("fix_first", "cost", f"SELECT cost FROM ({OFFENDERS}) WHERE cost >= 0.01 ORDER BY cost DESC LIMIT 20"), ("composition", "amount", f"SELECT {r2('amount')} AS amount FROM ({PARTS}) WHERE amount > 0"), ("notes", "count", f"SELECT count FROM ({NOTES}) WHERE count > 0"), ("drift", "stage", FINDINGS),
+    ("summary", "total_cost", "SELECT * FROM summary"), ("coverage", "s", SOLO), (
+        "placeholders", "occurrences", "SELECT value, count(*) AS occurrences FROM holders GROUP BY 1"
+    ), ("services", "total_cost", SERVICES), ("resources", "cost", "SELECT cost FROM res"),
+    ("offenders", "cost", OFFENDERS), (
+        "fix_first", "cost", f"SELECT cost FROM ({OFFENDERS}) WHERE cost >= 0.01 ORDER BY cost DESC LIMIT 20"
+    ), (
+        "composition", "amount", f"SELECT {r2('amount')} AS amount FROM ({PARTS}) WHERE amount > 0"
+    ), ("notes", "count", f"SELECT count FROM ({NOTES}) WHERE count > 0"), ("drift", "stage", FINDINGS),
 ])
 G = grade("(value * 10 % 100)")
 Q: dict[str, tuple] = {
     "to_canonical": (lambda s, d: tables.event_lines(s, d), sql("SELECT * FROM lines")),
-    "normalize_header": (_head(lambda h, c: h.select("source", "position", S.normalize_header(F.col("header")).alias("value"))), sql("SELECT source, position, norm AS value FROM forms")),
-    "strip_tag_prefix": (_head(lambda h, c: h.select("source", "position", S.strip_tag_prefix(F.col("header")).alias("value"))), sql(f"SELECT source, position, {stripped_prefix('header')} AS value FROM headers")),
+    "normalize_header": (
+        _head(lambda h, c: h.select("source", "position", S.normalize_header(F.col("header")).alias("value"))),
+        sql("SELECT source, position, norm AS value FROM forms")
+    ),
+    "strip_tag_prefix": (
+        _head(lambda h, c: h.select("source", "position", S.strip_tag_prefix(F.col("header")).alias("value"))),
+        sql(f"SELECT source, position, {stripped_prefix('header')} AS value FROM headers")
+    ),
     "normalize_value": (_scalar(S.normalize_value), sql(f"SELECT line_no, {norm('tag_team')} AS value FROM lines")),
     "is_null_token": (_scalar(S.is_null_token), sql(f"SELECT line_no, {norm('tag_team')} IN ({NULLS}) AS value FROM lines")),
     "is_placeholder": (_scalar(S.is_placeholder, "tag_environment"), sql(f"SELECT line_no, {norm('tag_environment')} IN ({HELD}) AS value FROM lines")),
@@ -346,12 +381,21 @@ Q: dict[str, tuple] = {
         f"SELECT line_no, CASE WHEN {JSON} IS NOT NULL AND json_valid({JSON}) THEN array_to_string(list_sort(json_keys({JSON})), '|') END "
         f"AS value FROM lines")),
     "tag_from_json": (_scalar(lambda c: S.tag_from_json(S.parse_tag_object(c), "cc"), "tags_json"), sql(f"SELECT line_no, {CC} AS value FROM lines")),
-    "round2": (lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", S.round2(F.col("value") / 7 - 20).alias("value")), f"SELECT event_id, {r2('value / 7 - 20')} AS value FROM events"),
-    "pct": (lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", S.pct(F.col("value"), F.col("user_id")).alias("value")), f"SELECT event_id, {pct('value', 'user_id')} AS value FROM events"),
+    "round2": (
+        lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", S.round2(F.col("value") / 7 - 20).alias("value")),
+        f"SELECT event_id, {r2('value / 7 - 20')} AS value FROM events"
+    ),
+    "pct": (
+        lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", S.pct(F.col("value"), F.col("user_id")).alias("value")),
+        f"SELECT event_id, {pct('value', 'user_id')} AS value FROM events"
+    ),
     "grade": (_grades,
         f"SELECT event_id, {G} AS grade, {_labels(SPEND_LABELS, G)} AS spend_label, {_labels(RESOURCE_LABELS, G)} AS resource_label FROM "
         f"events"),
-    "display_id": (lambda s, d: table(s, d).select("rkey", S.display_id(F.concat("id", F.when(F.col("first_line") % 3 == 0, F.repeat(F.lit("xy"), F.lit(40))).otherwise(""))).alias("value")), sql(
+    "display_id": (lambda s, d: table(s, d).select(
+        "rkey",
+        S.display_id(F.concat("id", F.when(F.col("first_line") % 3 == 0, F.repeat(F.lit("xy"), F.lit(40))).otherwise(""))).alias("value")
+    ), sql(
         "SELECT rkey, CASE WHEN regexp_matches(i, '^row-[0-9]+$') THEN '(no resource id — line ' || i[5:] || ')' WHEN length(i) > 64 THEN "
         "i[:26] || '…' || right(i, 34) ELSE i END AS value FROM (SELECT rkey, id || CASE WHEN first_line % 3 = 0 THEN repeat('xy', 40) "
         "ELSE '' END AS i FROM res)")),
@@ -359,8 +403,15 @@ Q: dict[str, tuple] = {
         "SELECT line_no, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(tag_team, '[\\s\\-_./]+'), lambda x: x <> "
         "''))), '|') AS value FROM lines")),
     "digit_skeleton": (_scalar(S.digit_skeleton), sql("SELECT line_no, regexp_replace(tag_team, '[0-9]+', '#', 'g') AS value FROM lines")),
-    "levenshtein": (lambda s, d: tables.event_lines(s, d).select("line_no", S.levenshtein(F.col("tag_team"), F.col("tag_environment")).cast("long").alias("value")), sql("SELECT line_no, levenshtein(tag_team, tag_environment) AS value FROM lines")),
-    "classify_lines": (lambda s, d: classified(s, d).select("line_no", "bucket", "rkey", "has_id", F.col("cost").cast("double").alias("cost")), sql("SELECT line_no, bucket, rkey, has_id, cost::DOUBLE AS cost FROM classified")),
+    "levenshtein": (
+        lambda s,
+        d: tables.event_lines(s, d).select("line_no", S.levenshtein(F.col("tag_team"), F.col("tag_environment")).cast("long").alias("value")),
+        sql("SELECT line_no, levenshtein(tag_team, tag_environment) AS value FROM lines")
+    ),
+    "classify_lines": (
+        lambda s, d: classified(s, d).select("line_no", "bucket", "rkey", "has_id", F.col("cost").cast("double").alias("cost")),
+        sql("SELECT line_no, bucket, rkey, has_id, cost::DOUBLE AS cost FROM classified")
+    ),
     "resource_key": (lambda s, d: classified(s, d).select("line_no", "rkey"), sql("SELECT line_no, rkey FROM classified")),
     "cost_missing_flag": (lambda s, d: classified(s, d).select("line_no", "cost_missing"), sql("SELECT line_no, cost_missing FROM classified")),
     "line_totals": (lambda s, d: lines.line_totals(classified(s, d)), sql("SELECT * FROM lt")),
@@ -370,10 +421,16 @@ Q: dict[str, tuple] = {
     "resolve_tags": (lambda s, d: resources.resolve_tags(lines.kept_lines(classified(s, d)), M), sql("SELECT * FROM resolved")),
     "first_seen": (lambda s, d: resources.first_seen(lines.kept_lines(classified(s, d)), M), sql("SELECT rkey, id, provider, region, first_line FROM rolled")),
     "dominant_service": (lambda s, d: resources.dominant_service(lines.kept_lines(classified(s, d)), M), sql("SELECT * FROM dominant")),
-    "clamp_and_round": (lambda s, d: _joined(resources.clamp_and_round(rolled(s, d)).select("rkey", "cost", "negative")), sql("SELECT rkey, cost::DOUBLE AS cost, negative FROM clamped")),
+    "clamp_and_round": (
+        lambda s, d: _joined(resources.clamp_and_round(rolled(s, d)).select("rkey", "cost", "negative")),
+        sql("SELECT rkey, cost::DOUBLE AS cost, negative FROM clamped")
+    ),
     "compliance": (_res(lambda t: t), sql(f"SELECT {RES} FROM res")),
     "audit_summary": (summary, sql("SELECT * FROM summary")),
-    "spend_score": (lambda s, d: coverage.spend_score(table(s, d), M), sql(f"SELECT spend AS spend_score, {grade('spend')} AS grade, {_labels(SPEND_LABELS, grade('spend'))} AS label FROM scores")),
+    "spend_score": (
+        lambda s, d: coverage.spend_score(table(s, d), M),
+        sql(f"SELECT spend AS spend_score, {grade('spend')} AS grade, {_labels(SPEND_LABELS, grade('spend'))} AS label FROM scores")
+    ),
     "resource_score": (lambda s, d: coverage.resource_score(table(s, d), M), sql(
         f"SELECT resource AS resource_score, {grade('resource')} AS grade, {_labels(RESOURCE_LABELS, grade('resource'))} AS label FROM "
         f"scores")),
@@ -386,8 +443,14 @@ Q: dict[str, tuple] = {
         f"(SELECT count(*) AS n, sum(cost) AS total, count(*) FILTER (NOT list_contains(missing, '{k}')) AS w, coalesce(sum(cost) FILTER "
         f"(NOT list_contains(missing, '{k}')), 0) AS c, count(*) FILTER ({norm(k)} IN ({HELD})) AS h, coalesce(sum(cost) FILTER (missing = "
         f"['{k}']), 0) AS s FROM res)" for i, (k, lab, _) in enumerate(DEFAULT_TAGS)))),
-    "solo_recoverable": (lambda s, d: coverage.solo_recoverable(table(s, d)), sql(f"SELECT missing[1] AS tag, {r2('sum(cost)')} AS solo_cost FROM res WHERE len(missing) = 1 GROUP BY 1")),
-    "placeholder_values": (lambda s, d: coverage.placeholder_values(table(s, d), M), sql("SELECT value, count(*) AS occurrences, count(DISTINCT rkey) AS resources FROM holders GROUP BY 1")),
+    "solo_recoverable": (
+        lambda s, d: coverage.solo_recoverable(table(s, d)),
+        sql(f"SELECT missing[1] AS tag, {r2('sum(cost)')} AS solo_cost FROM res WHERE len(missing) = 1 GROUP BY 1")
+    ),
+    "placeholder_values": (
+        lambda s, d: coverage.placeholder_values(table(s, d), M),
+        sql("SELECT value, count(*) AS occurrences, count(DISTINCT rkey) AS resources FROM holders GROUP BY 1")
+    ),
     "placeholder_totals": (lambda s, d: coverage.placeholder_totals(table(s, d), M), sql("SELECT * FROM held")),
     "service_breakdown": (lambda s, d: coverage.service_breakdown(table(s, d)), sql(
         f"SELECT coalesce(service, '(no service)') AS service, {r2('sum(cost)')} AS total_cost, "
@@ -407,7 +470,10 @@ Q: dict[str, tuple] = {
         f"SELECT {RES}, (SELECT count(*) FILTER (cost < 0.01) FROM (SELECT cost FROM res WHERE NOT compliant ORDER BY cost DESC, first_line "
         f"LIMIT 100)) AS negligible FROM res WHERE NOT compliant AND res.cost >= 0.01 ORDER BY res.cost DESC, first_line LIMIT 20")),
     "report_offenders": (_res(explore.report_offenders), sql(f"SELECT {RES} FROM res WHERE NOT compliant ORDER BY res.cost DESC, first_line LIMIT 10")),
-    "search_resources": (_res(lambda t: explore.search_resources(t, " ES-2")), sql(f"SELECT {RES} FROM res WHERE contains(lower(id), 'es-2') OR contains(lower(coalesce(service, '')), 'es-2')")),
+    "search_resources": (
+        _res(lambda t: explore.search_resources(t, " ES-2")),
+        sql(f"SELECT {RES} FROM res WHERE contains(lower(id), 'es-2') OR contains(lower(coalesce(service, '')), 'es-2')")
+    ),
     "filter_status": (_res(lambda t: explore.filter_status(t, "compliant")), sql(f"SELECT {RES} FROM res WHERE compliant")),
     "filter_missing_tag": (_res(lambda t: explore.filter_missing_tag(t, "owner")), sql(f"SELECT {RES} FROM res WHERE list_contains(res.missing, 'owner')")),
     "filter_service": (_res(lambda t: explore.filter_service(t, "(no service)")), sql(f"SELECT {RES} FROM res WHERE service IS NULL")),
@@ -416,7 +482,10 @@ Q: dict[str, tuple] = {
     "explore_resources": (_explore, sql(
         f"SELECT {RES}, count(*) OVER () AS matches FROM res WHERE contains(lower(id), 'res-1') AND NOT compliant AND "
         f"list_contains(res.missing, 'owner') ORDER BY res.cost DESC, first_line LIMIT 200")),
-    "write_resources_csv": (_resources_csv, sql("SELECT id AS resource_id, coalesce(service, '') AS service, cost::DOUBLE AS \"cost_USD\", line_items, " + ", ".join(f"CASE WHEN list_contains(missing, '{k}') THEN '' ELSE {k} END AS {k}" for k in TAGS) + " FROM res")),
+    "write_resources_csv": (
+        _resources_csv,
+        sql("SELECT id AS resource_id, coalesce(service, '') AS service, cost::DOUBLE AS \"cost_USD\", line_items, " + ", ".join(f"CASE WHEN list_contains(missing, '{k}') THEN '' ELSE {k} END AS {k}" for k in TAGS) + " FROM res")
+    ),
     "write_report": (_report, sql(REPORT)),
     "key_drift_normalized": (lambda s, d: _joined(drift.key_drift_normalized(tables.event_headers(s, d))), sql(f"SELECT source, {F_COLS} FROM kd0")),
     "key_drift_synonyms": (lambda s, d: _joined(drift.key_drift_synonyms(tables.event_headers(s, d))), sql(f"SELECT source, {F_COLS} FROM kd1")),
@@ -431,7 +500,10 @@ Q: dict[str, tuple] = {
         f"(SELECT type, tag, reason, members, stage, position FROM kd0 WHERE source = 'export-3' UNION ALL SELECT type, tag, reason, "
         f"members, stage, position FROM kd1 WHERE source = 'export-3' UNION ALL SELECT * FROM variants UNION ALL SELECT * FROM aliases "
         f"UNION ALL SELECT * FROM pairs)) WHERE k = 1")),
-    "earliest_finding": (lambda s, d: _joined(drift.earliest_finding(drift.key_drift_normalized(tables.event_headers(s, d)).unionByName(drift.key_drift_synonyms(tables.event_headers(s, d))), ["source", "members"])), sql(
+    "earliest_finding": (lambda s, d: _joined(drift.earliest_finding(
+        drift.key_drift_normalized(tables.event_headers(s, d)).unionByName(drift.key_drift_synonyms(tables.event_headers(s, d))),
+        ["source", "members"]
+    )), sql(
         f"SELECT source, {F_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY source, members ORDER BY stage, position, reason) AS k "
         f"FROM (SELECT * FROM kd0 UNION ALL SELECT * FROM kd1)) WHERE k = 1")),
     "map_roles": (_head(lambda h, c: mapping.map_roles(h)), sql("SELECT * FROM roles")),
@@ -463,8 +535,13 @@ Q: dict[str, tuple] = {
         "SELECT 'header' AS \"check\", true AS passed UNION ALL SELECT 'tags', true UNION ALL SELECT 'rows', count(*) > 0 FROM events "
         "WHERE event_id % 10 <> 0 UNION ALL SELECT 'empty header', false UNION ALL SELECT 'empty tags', false UNION ALL SELECT 'empty "
         "rows', count(*) < 0 FROM events"),
-    "sample_lines": (lambda s, d: billing_csv.sample_lines(tables.event_lines(s, d)).select("line_no", "resource_id"), sql("SELECT line_no, resource_id FROM lines ORDER BY line_no LIMIT 500")),
-    "volume_rollup": (lambda s, d: _joined(resources.resource_rollup(lines.kept_lines(lines.classify_lines(tables.lineitem_lines(s, d), tables.VOLUME_MAPPING)), tables.VOLUME_MAPPING).select("rkey", "cost", "line_items", "environment")),
+    "sample_lines": (
+        lambda s, d: billing_csv.sample_lines(tables.event_lines(s, d)).select("line_no", "resource_id"),
+        sql("SELECT line_no, resource_id FROM lines ORDER BY line_no LIMIT 500")
+    ),
+    "volume_rollup": (lambda s, d: _joined(resources.resource_rollup(
+        lines.kept_lines(lines.classify_lines(tables.lineitem_lines(s, d), tables.VOLUME_MAPPING)), tables.VOLUME_MAPPING
+    ).select("rkey", "cost", "line_items", "environment")),
         "SELECT concat('part-', l_partkey) AS rkey, sum(CAST(CAST(l_extendedprice AS STRING) AS DECIMAL(38,12)))::DOUBLE AS cost, count(*) "
         "AS line_items, CASE WHEN bool_or(l_returnflag <> 'R') THEN 'prod' ELSE 'n/a' END AS environment FROM lineitem GROUP BY 1"),
 }

@@ -34,8 +34,12 @@ def resource_totals(resources: DataFrame, *more) -> DataFrame:
 
 def _scores(totals: DataFrame, mapping: Mapping) -> DataFrame:
     has = F.lit(bool(mapping.roles.get("cost")))
-    out = totals.withColumn("spend_score", F.when(has & (F.col("total") > 0), pct(F.col("compliant_cost"), F.col("total")))).withColumn("resource_score", pct(F.col("compliant_count"), F.col("analyzed_resources")))
-    return out.withColumn("unallocated_cost", F.when(has, round2(F.col("total") - F.col("compliant_cost"))).otherwise(F.lit(0.0))).withColumn("total_cost", F.col("total").cast("double"))
+    out = totals.withColumn(
+        "spend_score", F.when(has & (F.col("total") > 0), pct(F.col("compliant_cost"), F.col("total")))
+    ).withColumn("resource_score", pct(F.col("compliant_count"), F.col("analyzed_resources")))
+    return out.withColumn(
+        "unallocated_cost", F.when(has, round2(F.col("total") - F.col("compliant_cost"))).otherwise(F.lit(0.0))
+    ).withColumn("total_cost", F.col("total").cast("double"))
 
 
 def spend_score(resources: DataFrame, mapping: Mapping) -> DataFrame:
@@ -91,7 +95,13 @@ def tag_coverage(resources: DataFrame, mapping: Mapping, policy: Policy = Policy
         F.coalesce(F.sum(F.when((F.size("missing") == 1) & (F.get("missing", F.lit(0)) == k), cost)), F.lit(0)).cast(MONEY).alias(f"solo_{k}"),
     )]
     one = resources.agg(F.count("*").alias("n"), F.coalesce(F.sum(cost), F.lit(0)).cast(MONEY).alias("total"), *per_tag)
-    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(k).alias("tag"), F.lit(label[k]).alias("label"), F.col(f"with_{k}").alias("w"), F.col(f"cost_{k}").alias("c"), F.col(f"held_{k}").alias("h"), F.col(f"solo_{k}").alias("s")) for i, k in enumerate(tags)])
+    rows = F.array(*[
+        F.struct(
+            F.lit(i).alias("position"), F.lit(k).alias("tag"), F.lit(label[k]).alias("label"), F.col(f"with_{k}").alias("w"),
+            F.col(f"cost_{k}").alias("c"), F.col(f"held_{k}").alias("h"), F.col(f"solo_{k}").alias("s")
+        ) for i,
+        k in enumerate(tags)
+    ])
     return one.select("n", "total", F.explode(rows).alias("r")).select(
         "r.position", "r.tag", "r.label",
         pct(F.col("r.w"), F.col("n")).alias("resource_pct"),
@@ -131,14 +141,24 @@ def audit_summary(classified: DataFrame, resources: DataFrame, mapping: Mapping,
 def spend_composition(summary: DataFrame) -> DataFrame:
     """part, amount, share (percent of all parts); empty parts are left out."""
     a = F.greatest(F.lit(0.0), F.col("total_cost") - F.col("unallocated_cost"))
-    rows = F.array(F.struct(F.lit("allocatable").alias("part"), a.alias("amount")), F.struct(F.lit("unallocated").alias("part"), F.col("unallocated_cost").alias("amount")), F.struct(F.lit("untaggable").alias("part"), F.greatest(F.lit(0.0), F.col("untaggable_cost")).alias("amount")))
+    rows = F.array(
+        F.struct(F.lit("allocatable").alias("part"), a.alias("amount")),
+        F.struct(F.lit("unallocated").alias("part"), F.col("unallocated_cost").alias("amount")),
+        F.struct(F.lit("untaggable").alias("part"), F.greatest(F.lit(0.0), F.col("untaggable_cost")).alias("amount"))
+    )
     whole = a + F.col("unallocated_cost") + F.greatest(F.lit(0.0), F.col("untaggable_cost"))
-    return summary.select(whole.alias("whole"), F.explode(rows).alias("r")).where((F.col("r.amount") > 0) & (F.col("whole") > 0)).select("r.part", round2(F.col("r.amount")).alias("amount"), pct(F.col("r.amount"), F.col("whole")).alias("share"))
+    return summary.select(whole.alias("whole"), F.explode(rows).alias("r")).where((F.col("r.amount") > 0) & (F.col("whole") > 0)).select(
+        "r.part", round2(F.col("r.amount")).alias("amount"), pct(F.col("r.amount"), F.col("whole")).alias("share")
+    )
 
 
 def data_quality_notes(summary: DataFrame) -> DataFrame:
     """note, count, amount for each line counter that is not 0."""
     none = F.lit(None).cast("double")
     note = lambda name, count, amount: F.struct(F.lit(name).alias("note"), F.col(count).cast("long").alias("count"), amount.alias("amount"))
-    rows = F.array(note("untaggable", "untaggable_count", F.col("untaggable_cost")), note("credits", "credit_count", F.col("credit_total")), note("netted", "netted_count", none), note("negative_resources", "negative_count", none), note("cost_missing", "cost_missing_count", none), note("merged_lines", "merged_lines", none))
+    rows = F.array(
+        note("untaggable", "untaggable_count", F.col("untaggable_cost")), note("credits", "credit_count", F.col("credit_total")),
+        note("netted", "netted_count", none), note("negative_resources", "negative_count", none),
+        note("cost_missing", "cost_missing_count", none), note("merged_lines", "merged_lines", none)
+    )
     return summary.select(F.explode(rows).alias("r")).select("r.*").where(F.col("count") > 0)

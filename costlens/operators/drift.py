@@ -27,15 +27,23 @@ def synonym_table(spark: SparkSession, policy: Policy = Policy()) -> DataFrame:
 def key_drift_normalized(headers: DataFrame) -> DataFrame:
     """Headers (source, position, header) of one source that differ but have one prefix-stripped normal form."""
     norm = normalize_header(strip_tag_prefix(F.col("header")))
-    found = headers.withColumn("norm", norm).where(F.col("norm") != "").groupBy("source", "norm").agg(F.array_sort(F.collect_set("header")).alias("members"), F.min("position").alias("position"))
-    return found.where(F.size("members") > 1).select("source", F.lit("key").alias("type"), F.lit(None).cast("string").alias("tag"), F.lit("same header form").alias("reason"), "members", F.lit(0).alias("stage"), F.col("position").cast("long").alias("position"))
+    found = headers.withColumn("norm", norm).where(F.col("norm") != "").groupBy("source", "norm").agg(
+        F.array_sort(F.collect_set("header")).alias("members"), F.min("position").alias("position")
+    )
+    return found.where(F.size("members") > 1).select(
+        "source", F.lit("key").alias("type"), F.lit(None).cast("string").alias("tag"), F.lit("same header form").alias("reason"),
+        "members", F.lit(0).alias("stage"), F.col("position").cast("long").alias("position")
+    )
 
 
 def key_drift_synonyms(headers: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Headers of one source that all name one mandatory tag."""
     forms = headers.withColumn("synonym", normalize_header(strip_tag_prefix(F.col("header"))))
     found = forms.join(F.broadcast(synonym_table(headers.sparkSession, policy)), "synonym").groupBy("source", "tag", "tag_rank").agg(F.array_sort(F.collect_set("header")).alias("members"))
-    return found.where(F.size("members") > 1).select("source", F.lit("key").alias("type"), "tag", F.lit("several columns of one tag").alias("reason"), "members", F.lit(1).alias("stage"), F.col("tag_rank").cast("long").alias("position"))
+    return found.where(F.size("members") > 1).select(
+        "source", F.lit("key").alias("type"), "tag", F.lit("several columns of one tag").alias("reason"), "members",
+        F.lit(1).alias("stage"), F.col("tag_rank").cast("long").alias("position")
+    )
 
 
 def tag_values(resources: DataFrame, mapping: Mapping, policy: Policy = Policy()) -> DataFrame:
@@ -44,12 +52,18 @@ def tag_values(resources: DataFrame, mapping: Mapping, policy: Policy = Policy()
     cells = F.array(*[F.struct(F.lit(k).alias("tag"), F.col(k).alias("raw")) for k in tags])
     long = resources.select("first_line", F.explode(cells).alias("c")).select("first_line", "c.tag", "c.raw").where(F.col("raw").isNotNull() & ~is_null_token(F.col("raw"), policy.null_tokens))
     long = long.select("tag", "first_line", normalize_value(F.col("raw")).alias("norm"), stripped(F.col("raw")).alias("raw"))
-    return long.groupBy("tag", "norm").agg(F.array_sort(F.collect_set("raw")).alias("raws"), F.min_by("raw", F.struct("first_line", "raw")).alias("raw"), F.min("first_line").alias("first_line"))
+    return long.groupBy("tag", "norm").agg(
+        F.array_sort(F.collect_set("raw")).alias("raws"), F.min_by("raw", F.struct("first_line", "raw")).alias("raw"),
+        F.min("first_line").alias("first_line")
+    )
 
 
 def value_drift_variants(values: DataFrame) -> DataFrame:
     """Spellings of one normalised value."""
-    return values.where(F.size("raws") > 1).select(F.lit("value").alias("type"), "tag", F.lit("case or format variants").alias("reason"), F.col("raws").alias("members"), F.lit(2).alias("stage"), F.col("first_line").alias("position"))
+    return values.where(F.size("raws") > 1).select(
+        F.lit("value").alias("type"), "tag", F.lit("case or format variants").alias("reason"), F.col("raws").alias("members"),
+        F.lit(2).alias("stage"), F.col("first_line").alias("position")
+    )
 
 
 def _alias_group(c: Column) -> Column:
@@ -59,7 +73,10 @@ def _alias_group(c: Column) -> Column:
 def value_drift_env_aliases(values: DataFrame, tag: str = "environment") -> DataFrame:
     """Names of one environment, for that tag only."""
     found = values.where(F.col("tag") == tag).withColumn("group", _alias_group(F.col("norm"))).where(F.col("group").isNotNull()).groupBy("tag", "group").agg(F.array_sort(F.collect_list("raw")).alias("members"))
-    return found.where(F.size("members") > 1).select(F.lit("value").alias("type"), "tag", F.lit("environment aliases").alias("reason"), "members", F.lit(3).alias("stage"), F.col("group").cast("long").alias("position"))
+    return found.where(F.size("members") > 1).select(
+        F.lit("value").alias("type"), "tag", F.lit("environment aliases").alias("reason"), "members", F.lit(3).alias("stage"),
+        F.col("group").cast("long").alias("position")
+    )
 
 
 def _side(values: DataFrame, key: Column, s: str) -> DataFrame:
@@ -99,7 +116,11 @@ def value_drift_pairs(values: DataFrame) -> DataFrame:
     """All pairs, each with its first reason."""
     found = value_drift_token_order(values).unionByName(value_drift_prefix(values)).unionByName(value_drift_typo(values))
     best = found.groupBy("tag", "norm_a", "norm_b").agg(F.min(F.struct("rank", "reason", "raw_a", "raw_b", "line_a", "line_b")).alias("b"))
-    return best.select(F.lit("value").alias("type"), "tag", F.col("b.reason").alias("reason"), F.array_sort(F.array("b.raw_a", "b.raw_b")).alias("members"), F.lit(4).alias("stage"), F.least("b.line_a", "b.line_b").alias("position"))
+    return best.select(
+        F.lit("value").alias("type"), "tag", F.col("b.reason").alias("reason"),
+        F.array_sort(F.array("b.raw_a", "b.raw_b")).alias("members"), F.lit(4).alias("stage"),
+        F.least("b.line_a", "b.line_b").alias("position")
+    )
 
 
 def earliest_finding(findings: DataFrame, keys: list[str]) -> DataFrame:

@@ -58,7 +58,10 @@ def list_services(resources: DataFrame) -> DataFrame:
     return resources.select(F.coalesce("service", F.lit(NO_SERVICE)).alias("service")).distinct().orderBy("service")
 
 
-def explore_resources(resources: DataFrame, text: str = "", status: str = "all", tag: str | None = None, service: str | None = None, key: str = "cost", descending: bool = True, limit: int = 200) -> DataFrame:
+def explore_resources(
+    resources: DataFrame, text: str = "", status: str = "all", tag: str | None = None, service: str | None = None, key: str = "cost",
+    descending: bool = True, limit: int = 200
+) -> DataFrame:
     """All filters together over all resources; the first limit rows, each with the number of all matches. The matches are written once, to be counted and ranked."""
     found = filter_status(search_resources(resources, text), status)
     found = filter_missing_tag(found, tag) if tag else found

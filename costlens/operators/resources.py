@@ -65,7 +65,10 @@ def resource_rollup(kept: DataFrame, mapping: Mapping, policy: Policy = Policy()
         F.min("head").alias("head"),
         *[F.min(f"tag_{k}").alias(f"tag_{k}") for k in tags],
     )
-    out = merged.select("rkey", "head.id", F.col("best.v").alias("service"), "head.provider", "head.region", "cost", "line_items", F.col("head.line_no").alias("first_line"), *[F.col(f"tag_{k}.v").alias(k) for k in tags])
+    out = merged.select(
+        "rkey", "head.id", F.col("best.v").alias("service"), "head.provider", "head.region", "cost", "line_items",
+        F.col("head.line_no").alias("first_line"), *[F.col(f"tag_{k}.v").alias(k) for k in tags]
+    )
     return out if mapping.roles.get("cost") else out.withColumn("cost", F.lit(None).cast("decimal(38,12)"))
 
 

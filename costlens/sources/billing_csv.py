@@ -35,7 +35,10 @@ def read_line_items(spark: SparkSession, path: str, sep: str = ",", multi_line:
     names = read_headers(spark, path, sep)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(BAD, T.StringType())])
     # Pruned columns would hide malformed rows.
-    df = spark.read.options(header=True, enforceSchema=True, sep=sep, escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, columnPruning=False).schema(schema).csv(path)
+    df = spark.read.options(
+        header=True, enforceSchema=True, sep=sep, escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD,
+        columnPruning=False
+    ).schema(schema).csv(path)
     blank = F.col(BAD).isNotNull() & (F.trim(F.col(BAD)) == "")
     # A query that reads only the malformed column is refused: the first cell is always read too.
     rows = df.where(~blank & (F.coalesce(F.length("c0"), F.lit(0)) >= 0))
@@ -97,7 +100,10 @@ def input_guard(names: list[str], df: DataFrame, mapping: Mapping | None = None,
 def resources_for_csv(resources: DataFrame, tags: list[str], currency: str | None = None) -> DataFrame:
     """The columns of the exported list; missing tags are blank."""
     cost = f"cost_{currency}" if currency else "cost"
-    return resources.select(F.col("id").alias("resource_id"), F.coalesce("service", F.lit("")).alias("service"), F.col("cost").alias(cost), "line_items", *[F.when(F.array_contains("missing", k), "").otherwise(F.col(k)).alias(k) for k in tags])
+    return resources.select(
+        F.col("id").alias("resource_id"), F.coalesce("service", F.lit("")).alias("service"), F.col("cost").alias(cost), "line_items",
+        *[F.when(F.array_contains("missing", k), "").otherwise(F.col(k)).alias(k) for k in tags]
+    )
 
 
 def write_resources_csv(resources: DataFrame, path: str, tags: list[str], currency: str | None = None) -> None:

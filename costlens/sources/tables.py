@@ -48,7 +48,10 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_events(spark, sf_dir, EVENT_LINES)
 
 
-VOLUME_MAPPING = Mapping(roles={r: r for r in ("resourceId", "service", "provider", "region", "cost", "currency")}, tag_columns={"owner": "tag_owner", "environment": "tag_environment"})
+VOLUME_MAPPING = Mapping(
+    roles={r: r for r in ("resourceId", "service", "provider", "region", "cost", "currency")},
+    tag_columns={"owner": "tag_owner", "environment": "tag_environment"}
+)
 
 
 def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

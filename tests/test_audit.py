@@ -32,7 +32,11 @@ def table(spark, rows, how=M):
 
 
 def test_parse_cost(spark):
-    cases = {"$1,234.56": 1234.56, "1.234,56": 1234.56, "(123.45)": -123.45, "-5": -5, "$-5": 5, "5-": 5, "1.5E-5": 1.55, "5.": 5, ".5": 0.5, "1.2.3": None, "(-5)": -5, "12,5": 12.5, "1,234": 1234, "1,234,567": 1234567, "": None, " ": None, "abc": None, ".": None, ",": None, "USD 7": 7, None: None}
+    cases = {
+        "$1,234.56": 1234.56, "1.234,56": 1234.56, "(123.45)": -123.45, "-5": -5, "$-5": 5, "5-": 5, "1.5E-5": 1.55, "5.": 5, ".5": 0.5,
+        "1.2.3": None, "(-5)": -5, "12,5": 12.5, "1,234": 1234, "1,234,567": 1234567, "": None, " ": None, "abc": None, ".": None,
+        ",": None, "USD 7": 7, None: None
+    }
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", S.parse_cost(F.col("t")).cast("double")).collect()
     assert {t: v for t, v in got} == cases
 
@@ -40,7 +44,9 @@ def test_parse_cost(spark):
 def test_plain_numbers_and_blanks(spark):
     """Plain numbers take a short way; the blanks stripped are ASCII's and Unicode's, at the ends only."""
     cases = {"12": 12.0, "-12.50": -12.5, " 12\n": 12.0, "\u00a012.5\u3000": 12.5, "12\n": 12.0, "1.5E-5": 1.55, "--5": 5.0 * -1, "-": None, "12.": 12.0}
-    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", S.parse_cost(F.col("t")).cast("double"), S.stripped(F.concat(F.lit("\ufeff\x0b a b\u2009"), F.lit("\u2028")))).collect()
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select(
+        "t", S.parse_cost(F.col("t")).cast("double"), S.stripped(F.concat(F.lit("\ufeff\x0b a b\u2009"), F.lit("\u2028")))
+    ).collect()
     assert {r[0]: r[1] for r in got} == cases
     assert {r[2] for r in got} == {"a b"}
 
@@ -65,7 +71,11 @@ def test_tag_object(spark):
 
 
 def test_resolution_netting_and_clamp(spark):
-    rows = [("R1", "a", "100", "", "t", "prod", "c"), ("r1", "b", "-30", "anna", "t", "prod", "c"), ("r1", "b", "x", "n/a", "t", "prod", "c"), ("r2", "", "10", "tbd", "t", "p", "c"), ("r2", "", "-50", "", "t", "p", "c"), ("n/a", "s", "-7", "o", "t", "p", "c"), ("", "s", "0", "o", "t", "p", "c")]
+    rows = [
+        ("R1", "a", "100", "", "t", "prod", "c"), ("r1", "b", "-30", "anna", "t", "prod", "c"), ("r1", "b", "x", "n/a", "t", "prod", "c"),
+        ("r2", "", "10", "tbd", "t", "p", "c"), ("r2", "", "-50", "", "t", "p", "c"), ("n/a", "s", "-7", "o", "t", "p", "c"),
+        ("", "s", "0", "o", "t", "p", "c")
+    ]
     c, t = table(spark, rows)
     got = {r["rkey"]: r for r in t.collect()}
     assert set(got) == {"r1", "r2", "row-7"}
@@ -76,7 +86,10 @@ def test_resolution_netting_and_clamp(spark):
 
 
 def test_dominant_service_and_solo(spark):
-    rows = [("v", "Bandwidth", "5", "o", "t", "", "c"), ("v", "Virtual Machines", "100", "o", "t", "", "c"), ("v", "Storage", "2", "o", "t", "", "c"), ("w", "Storage", "9", "", "t", "", "c")]
+    rows = [
+        ("v", "Bandwidth", "5", "o", "t", "", "c"), ("v", "Virtual Machines", "100", "o", "t", "", "c"),
+        ("v", "Storage", "2", "o", "t", "", "c"), ("w", "Storage", "9", "", "t", "", "c")
+    ]
     _, t = table(spark, rows)
     assert {r["rkey"]: (r["service"], float(r["cost"])) for r in t.collect()} == {"v": ("Virtual Machines", 107.0), "w": ("Storage", 9.0)}
     assert [tuple(r) for r in coverage.solo_recoverable(t).collect()] == [("environment", 107.0)]
@@ -86,7 +99,10 @@ def test_drift(spark):
     teams = ["payments-team", "team-payments", "platform", "plaform", "CC-1042", "CC-1043", "n/a", "N/A", "prod", "production", "Platform"]
     _, t = table(spark, [(f"r{i}", "s", "1", "o", x, "prod" if i % 2 else "production", "c") for i, x in enumerate(teams)])
     found = drift.drift_findings(billing_csv.header_table(spark, ["env", "Environment", "tag:env", "owner"]), t, M).collect()
-    assert {(r["tag"], tuple(r["members"])) for r in found} == {(None, ("env", "tag:env")), ("environment", ("Environment", "env", "tag:env")), ("team", ("Platform", "platform")), ("team", ("payments-team", "team-payments")), ("team", ("plaform", "platform")), ("environment", ("prod", "production"))}
+    assert {(r["tag"], tuple(r["members"])) for r in found} == {
+        (None, ("env", "tag:env")), ("environment", ("Environment", "env", "tag:env")), ("team", ("Platform", "platform")),
+        ("team", ("payments-team", "team-payments")), ("team", ("plaform", "platform")), ("environment", ("prod", "production"))
+    }
 
 
 def test_empty_input(spark):
@@ -110,7 +126,10 @@ needs_samples = pytest.mark.skipif(not os.path.isdir(SAMPLES), reason="sample ex
 @needs_samples
 def test_sample_exports(spark):
     cur = audit_csv(spark, f"{SAMPLES}/aws-cur-sample.csv")["summary"].first()
-    assert (cur["untaggable_count"], cur["untaggable_cost"], cur["analyzed_resources"], cur["merged_lines"], cur["spend_score"], cur["resource_score"]) == (3, 41.54, 12, 0, 63.24, 75.0)
+    assert (
+        cur["untaggable_count"], cur["untaggable_cost"], cur["analyzed_resources"], cur["merged_lines"], cur["spend_score"],
+        cur["resource_score"]
+    ) == (3, 41.54, 12, 0, 63.24, 75.0)
     focus = audit_csv(spark, f"{SAMPLES}/focus-sample.csv")["summary"].first()
     assert (focus["total_rows"], focus["analyzed_resources"], focus["merged_lines"], focus["resource_score"], focus["spend_score"]) == (30, 28, 2, 50.0, 93.94)
 
