@@ -33,7 +33,9 @@ def valid_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "
     """vec_id and v (array<double>) of the rows that take part: id and vector not null, no null or non-finite component, not all zero."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull()).where(F.coalesce(fine, F.lit(False)))
+    return vectors.select(
+        F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")
+    ).where(F.col("vec_id").isNotNull() & v.isNotNull()).where(F.coalesce(fine, F.lit(False)))
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
@@ -86,7 +88,10 @@ class Block:
             yield qid, self.ids[near][best], score[best]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = PIVOTS, order: int = ORDER, rerank: float = RERANK, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = PIVOTS, order: int = ORDER, rerank: float = RERANK,
+    block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding"
+) -> DataFrame:
     """For each query the k rows found with the largest inner product: query_id, rank (from 1), vec_id, score.
 
     Every valid row is indexed (see valid_vectors). Vectors of several lengths have no inner product: they raise

@@ -43,7 +43,10 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, sp
     same = lambda a, b: [F.col(f"{a}{k}") == F.col(f"{b}{k}") for k in keys]
     met = left.join(F.broadcast(heavy), same("", "__hot_"), "left")
     cold = F.col("__hot").isNull()
-    met = met.select(*left.columns, "__hot", F.when(cold, F.xxhash64(*keys)).otherwise(F.xxhash64(*spread)).alias("__at"), *[F.when(cold, F.col(k)).alias(f"__own_{k}") for k in keys])
+    met = met.select(
+        *left.columns, "__hot", F.when(cold, F.xxhash64(*keys)).otherwise(F.xxhash64(*spread)).alias("__at"),
+        *[F.when(cold, F.col(k)).alias(f"__own_{k}") for k in keys]
+    )
     rest = right.select(*as_key("__cold_"), F.struct(*values).alias("__cold"), F.xxhash64(*keys).alias("__cold_at"))
     both = met.join(rest, [F.col("__at") == F.col("__cold_at"), *same("__own_", "__cold_")], "left")
     return both.select(*left.columns, *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in values])

@@ -104,7 +104,10 @@ def _scan_slice(texts: list[bytes], found: WindowSet) -> tuple[np.ndarray, np.nd
     return start, end, first, np.cumsum(marks)[:-1] > 0, items
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def scan_documents(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW,
+    max_windows: int = MAX_WINDOWS
+) -> DataFrame:
     """One row per document row: doc_id, text_hash, n_words, n_hit, hits (word numbers as [from, to) pairs in one array), items (sorted strings).
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. A window is `window` consecutive
@@ -128,11 +131,16 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
         parts = part if parts is None else parts.unionByName(part)
     if blocks == 1:
         return parts
-    numbered = parts.groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    numbered = parts.groupBy("doc_id", "text_hash").agg(
+        F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
     words = F.expr("array_distinct(flatten(transform(filter(sequence(0, size(hits) - 1), i -> i % 2 = 0 and size(hits) > 0), i -> sequence(hits[i], hits[i + 1] - 1))))")
     copies = source.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.count("*").alias("__n"))
     hit = F.size(F.when(F.size("hits") > 0, words).otherwise(F.array().cast("array<int>"))).cast("long")
-    united = numbered.select("doc_id", "text_hash", "n_words", hit.alias("n_hit"), "hits", "items").join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__h")))
+    united = numbered.select("doc_id", "text_hash", "n_words", hit.alias("n_hit"), "hits", "items").join(
+        copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__h"))
+    )
     return united.withColumn("__k", F.explode(F.expr("sequence(1L, __n)"))).drop("__id", "__h", "__n", "__k")
 
 
@@ -166,14 +174,20 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, min_share: float = 0
     """The rows and columns of docs whose share of hit words is not above min_share (with 0: documents without a hit)."""
     found = scan_documents(docs, benchmark, **options)
     bad = found.where(F.col("n_hit") > F.col("n_words") * min_share).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
-    return docs.join(bad, docs[options.get("doc_id", "doc_id")].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[options.get("text", "text")], F.lit(""))) == F.col("__h")), "left_anti")
+    return docs.join(
+        bad,
+        docs[options.get("doc_id", "doc_id")].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[options.get("text", "text")], F.lit(""))) == F.col("__h")),
+        "left_anti"
+    )
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows and columns of docs; hit words, and what stands between two hit words next to each other, are cut from the text. Null stays null. Hits are those of the texts as given, of all blocks together."""
     found = scan_documents(docs, benchmark, doc_id=doc_id, text=text, **options).where(F.col("n_hit") > 0)
     hits = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("hits").alias("__hits")).dropDuplicates(["__id", "__h"])
-    marked = docs.join(hits, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__h")), "left").select(*[docs[f"`{c}`"] for c in docs.columns], "__hits")
+    marked = docs.join(
+        hits, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__h")), "left"
+    ).select(*[docs[f"`{c}`"] for c in docs.columns], "__hits")
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +219,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scan_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     joined_items = F.array_join("items", ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined_items.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(joined_items.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 QUERIES = {"op7_decontaminate": op7_decontaminate}

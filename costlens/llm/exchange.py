@@ -153,7 +153,10 @@ class Radix:
 
         return deal
 
-    def returned(self, answers: DataFrame, before: list[DataFrame], join: Callable[[list[bytes]], bytes], deal: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
+    def returned(
+        self, answers: DataFrame, before: list[DataFrame], join: Callable[[list[bytes]], bytes],
+        deal: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], list[bytes]]
+    ) -> DataFrame:
         """Answers (owner, part, body) to the rows of step 0. join: one body of those of neighbouring ranges; deal: that body dealt to the runs united there."""
         for rows in reversed(before):
 
@@ -164,7 +167,10 @@ class Radix:
                 by_part = np.argsort(found.column("part").to_numpy(), kind="stable")
                 whole = join([found.column("body")[int(i)].as_py() for i in by_part])
                 out = deal(whole, place, first, np.cumsum([0, *[len(r.keys) for r in runs]]))
-                return pa.table([pa.array(owners, pa.int64()), pa.array([asked.column("part")[0].as_py()] * len(owners), pa.int32()), pa.array(out, pa.binary())], names=["owner", "part", "body"])
+                return pa.table(
+                    [pa.array(owners, pa.int64()), pa.array([asked.column("part")[0].as_py()] * len(owners), pa.int32()), pa.array(out, pa.binary())],
+                    names=["owner", "part", "body"]
+                )
 
             up = answers.withColumn("above", F.expr(f"cast(part div {self.fan} as int)"))
             answers = rows.groupBy("up", "part").cogroup(up.groupBy("owner", "above")).applyInArrow(back, ROWS)
@@ -203,7 +209,10 @@ def unpack_found(body: bytes) -> Found:
 
 def _joined(bodies: list[bytes]) -> bytes:
     found = [unpack_found(b) for b in bodies]
-    return pack_found(Found(np.concatenate([f.values for f in found]), np.concatenate([f.first for f in found]), np.concatenate([f.alone for f in found]), np.sum([f.totals for f in found], axis=0)))
+    return pack_found(Found(
+        np.concatenate([f.values for f in found]), np.concatenate([f.first for f in found]), np.concatenate([f.alone for f in found]),
+        np.sum([f.totals for f in found], axis=0)
+    ))
 
 
 def _dealt(body: bytes, place: np.ndarray, first: np.ndarray, edge: np.ndarray) -> list[bytes]:
@@ -243,7 +252,11 @@ class Plan:
             return self.batches.groupBy("b").applyInArrow(lambda docs: ask(docs, {}), ROWS)
         return self.batches.groupBy("b").cogroup(before.groupBy("owner")).applyInArrow(lambda docs, a: ask(docs, found_of(a)), ROWS)
 
-    def ask(self, question: Callable[[pa.Table, dict], Run], step: int, before: DataFrame | None = None, totals: Callable[[Run], np.ndarray] = nothing, levels: DataFrame | None = None, value: Callable[[Run, list[bytes]], np.ndarray] = same_counts) -> DataFrame:
+    def ask(
+        self, question: Callable[[pa.Table, dict], Run], step: int, before: DataFrame | None = None,
+        totals: Callable[[Run], np.ndarray] = nothing, levels: DataFrame | None = None,
+        value: Callable[[Run, list[bytes]], np.ndarray] = same_counts
+    ) -> DataFrame:
         """Rows (owner, step, part, body) of answers, a value for each key asked: its count over all batches, unless value says otherwise, which also gets the bodies of levels (part, body). question also gets the answers of the steps before."""
         rows, earlier = self.radix.narrowed(self.asked(question, before))
 

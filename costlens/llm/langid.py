@@ -96,7 +96,9 @@ class Filters:
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Filters of every language of the rows that are not held out and have text and language. At most max_docs ids a language are fitted on; whole texts, and every n-gram of them."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
+    source = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")
+    ).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
     # A language may hold most documents: the sizes of its hash ranges tell which ranges hold its first ids, and only there ids are ranked, range by range.
     source = source.withColumn("range", F.shiftright(F.xxhash64("doc_id"), 64 - RANGES))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
@@ -125,7 +127,10 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in slots(b.column("code").to_numpy(), bits):
-                yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array((at // U64(PAGE)).astype(np.int64)), pa.array((at % U64(PAGE)).astype(np.int64))], ["lang", "page", "bit"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("lang"), pa.array((at // U64(PAGE)).astype(np.int64)), pa.array((at % U64(PAGE)).astype(np.int64))],
+                    ["lang", "page", "bit"]
+                )
 
     # Each partition sets its bits in pages, and pages are united: what the driver gets is the table, however many n-grams there are.
     pages = seen.mapInArrow(place, "lang string, page long, bit long").groupBy("lang", "page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))

@@ -50,12 +50,17 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id
     cold = cold.withColumn("n_docs", F.count_if("starts").over(whole))
     lost = cold.where((F.col("n_docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("largest"))).select(*mine).unionByName(lost_hot)
     words = lost.groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return words.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
+    return words.groupBy("doc_id", "text_hash").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"),
+        F.sum(F.bit_count("bits")).cast("long").alias("n_dropped")
+    )
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of docs with the dropped lines taken out of the text, and n_lines, n_dropped (replacing columns of these names)."""
-    found = drop_bitmaps(docs, min_chars, min_docs, doc_id, text).select(F.struct("doc_id", "text_hash").alias("__k"), F.col("dropped").alias("__dropped"), F.col("n_dropped").alias("__n_dropped"))
+    found = drop_bitmaps(docs, min_chars, min_docs, doc_id, text).select(
+        F.struct("doc_id", "text_hash").alias("__k"), F.col("dropped").alias("__dropped"), F.col("n_dropped").alias("__n_dropped")
+    )
     own = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     pair = own.join(found, F.col(doc_id).eqNullSafe(F.col("__k.doc_id")) & (F.xxhash64("__text") == F.col("__k.text_hash")), "left")
     kept = F.expr("array_join(filter(split(__text, '\\n', -1), (x, i) -> (shiftrightunsigned(coalesce(__dropped[cast(i div 64 as int)], 0L), cast(i % 64 as int)) & 1L) = 0L), '\\n')")

@@ -154,7 +154,13 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
         n, distinct = found[0].totals.tolist()
         base, step = x.weights(n, distinct)
         known = per_document((x.count[1] > 0).astype(np.int64), x.first)
-        return pa.table([table.column("doc_id"), table.column("held_out"), pa.array(x.lengths), pa.array(known), pa.array(np.full(len(table), n, np.int64)), pa.array(_sums(base, x.first)), pa.array(_sums(step, x.first))], names=names)
+        return pa.table(
+            [
+                table.column("doc_id"), table.column("held_out"), pa.array(x.lengths), pa.array(known), pa.array(np.full(len(table), n, np.int64)),
+                pa.array(_sums(base, x.first)), pa.array(_sums(step, x.first))
+            ],
+            names=names
+        )
 
     return plan.finish(answers, walk, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

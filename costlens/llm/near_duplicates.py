@@ -110,7 +110,13 @@ def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 heads += [x if k else None for x, k in zip(h.astype(np.int64).tolist(), n.tolist(), strict=True)]
                 tails += [x if k else None for x, k in zip(t.tolist(), n.tolist(), strict=True)]
                 sizes += n.tolist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(tid, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "text_hash", "tid", "n_shingles", "heads", "tails"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), b.column("text_hash"), pa.array(tid, pa.binary()), pa.array(sizes, pa.int64()),
+                    pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))
+                ],
+                ["doc_id", "text_hash", "tid", "n_shingles", "heads", "tails"]
+            )
 
     return source.mapInArrow(run, f"doc_id {source.dtypes[0][1]}, text_hash long, tid binary, n_shingles long, heads array<long>, tails array<long>")
 
@@ -169,7 +175,9 @@ def _balls(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: flo
     # A text tries the large node whose first text is smallest; that text's set goes to as many places as the node is large.
     own = own.groupBy("tid").agg(F.min(F.struct("low", "node", "copies")).alias("at")).select("tid", "at.*")
     left = own.join(sets, "tid").withColumn("place", F.pmod(F.xxhash64("tid"), F.col("copies")).cast("int"))
-    right = large.join(sets.select(F.col("tid").alias("low"), F.col("shingles").alias("center")), "low").select("node", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("place"), "center")
+    right = large.join(sets.select(F.col("tid").alias("low"), F.col("shingles").alias("center")), "low").select(
+        "node", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("place"), "center"
+    )
     pairs = left.join(right.hint("merge"), ["node", "place"]).select("tid", F.col("low").alias("ball"), "shingles", "center")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +279,10 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
         key, rows = None, []
 
         def packed(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary()))], ["tid", "links", "a", "b"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary()))],
+                ["tid", "links", "a", "b"]
+            )
 
         for b in batches:
             out = []
@@ -305,9 +316,13 @@ def components(edges: DataFrame) -> DataFrame:
 def _forest(sig: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """texts (tid, doc_id and text_hash of one document, n_shingles, heads, tails, depths) that have candidates; nodes; and members (tid, node, n) of nodes."""
     # One document stands for each text: the smallest id.
-    texts = sig.where(F.col("heads").isNotNull()).groupBy("tid").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), *[F.any_value(c).alias(c) for c in ("n_shingles", "heads", "tails")])
+    texts = sig.where(F.col("heads").isNotNull()).groupBy("tid").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("one"), *[F.any_value(c).alias(c) for c in ("n_shingles", "heads", "tails")]
+    )
     texts = texts.select("tid", "one.doc_id", "one.text_hash", "n_shingles", "heads", "tails")
-    posts = texts.select("tid", "n_shingles", F.posexplode(F.arrays_zip("heads", "tails")).alias("tree", "label")).select("tid", "n_shingles", "tree", "label.heads", "label.tails").toDF("tid", "n_shingles", "tree", "head", "tail")
+    posts = texts.select(
+        "tid", "n_shingles", F.posexplode(F.arrays_zip("heads", "tails")).alias("tree", "label")
+    ).select("tid", "n_shingles", "tree", "label.heads", "label.tails").toDF("tid", "n_shingles", "tree", "head", "tail")
     shared = written(posts.groupBy("tree", "head").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     posts = written(join_hot(posts, shared.withColumn("weight", F.col("n")), ["tree", "head"], "weight", ["tid"]).where(F.col("n").isNotNull()))
     depths = written(_depths(posts, texts, threshold, recall))
@@ -316,12 +331,17 @@ def _forest(sig: DataFrame, threshold: float, recall: float) -> tuple[DataFrame,
     asked = asked.withColumn("depth", F.explode(F.sequence(F.lit(MIN_DEPTH), F.col("own")))).withColumn("asks", F.col("own") == F.col("depth"))
     asked = asked.select("tid", "n_shingles", "tree", "depth", "asks", F.xxhash64("tree", "depth", "head", _prefix("tail", "depth")).alias("node"))
     each = F.xxhash64("tid", "asks").cast("decimal(38,0)")
-    nodes = asked.groupBy("node").agg(F.first("tree").alias("tree"), F.first("depth").alias("depth"), F.count("*").alias("n"), F.count_if("asks").alias("n_asks"), F.sum("n_shingles").alias("shingles"), F.sum(each).alias("s"), F.min("tid").alias("low"))
+    nodes = asked.groupBy("node").agg(
+        F.first("tree").alias("tree"), F.first("depth").alias("depth"), F.count("*").alias("n"), F.count_if("asks").alias("n_asks"),
+        F.sum("n_shingles").alias("shingles"), F.sum(each).alias("s"), F.min("tid").alias("low")
+    )
     nodes = nodes.where((F.col("n") > 1) & (F.col("n_asks") > 0))
     # Of nodes with the same members the first tree's is left.
     nodes = nodes.groupBy("n", "n_asks", "s", "low").agg(F.min(F.struct("tree", "depth", "node", "shingles")).alias("at")).select("n", "low", "at.*")
     nodes = written(nodes)
-    members = written(join_hot(asked.select("tid", "n_shingles", "node"), nodes.select("node", "n", F.col("n").alias("weight")), ["node"], "weight", ["tid"]).where(F.col("n").isNotNull()))
+    members = written(join_hot(
+        asked.select("tid", "n_shingles", "node"), nodes.select("node", "n", F.col("n").alias("weight")), ["node"], "weight", ["tid"]
+    ).where(F.col("n").isNotNull()))
     active = texts.join(members.select("tid").distinct(), "tid", "left_semi").join(depths, "tid", "left")
     return written(active), nodes, members
 
@@ -346,10 +366,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     own = join_hot(members.select("tid", "node", "n_shingles"), big.select("node", F.lit(True).alias("big"), "n"), ["node"], "n", ["tid"]).where("big").join(balls, "tid", "left")
     kinds = own.groupBy("node", "ball").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("shingles"))
     parts = lambda n, shingles: F.greatest(F.ceil(n / (NODE // 2)), F.ceil(shingles * 8 / (NODE_BYTES // 2))).cast("int")
-    split = kinds.groupBy("node").agg(F.max(F.when(F.col("ball").isNotNull(), F.struct("m", "ball", "shingles"))).alias("top"), F.sum("m").alias("n"), F.sum("shingles").alias("shingles"))
+    split = kinds.groupBy("node").agg(
+        F.max(F.when(F.col("ball").isNotNull(), F.struct("m", "ball", "shingles"))).alias("top"), F.sum("m").alias("n"),
+        F.sum("shingles").alias("shingles")
+    )
     zero = F.lit(0).cast("long")
-    split = split.select("node", F.col("top.ball").alias("main"), parts(F.col("n") - F.coalesce("top.m", zero), F.col("shingles") - F.coalesce("top.shingles", zero)).alias("others"), parts(F.coalesce("top.m", zero), F.coalesce("top.shingles", zero)).alias("mains"))
-    nodes = written(nodes.join(split, "node", "left").select("node", "tree", "depth", "n", "main", F.coalesce("others", F.lit(1)).alias("others"), F.coalesce("mains", F.lit(0)).alias("mains")))
+    split = split.select(
+        "node", F.col("top.ball").alias("main"),
+        parts(F.col("n") - F.coalesce("top.m", zero), F.col("shingles") - F.coalesce("top.shingles", zero)).alias("others"),
+        parts(F.coalesce("top.m", zero), F.coalesce("top.shingles", zero)).alias("mains")
+    )
+    nodes = written(nodes.join(split, "node", "left").select(
+        "node", "tree", "depth", "n", "main", F.coalesce("others", F.lit(1)).alias("others"), F.coalesce("mains", F.lit(0)).alias("mains")
+    ))
     dealt = join_hot(members.select("tid", "node"), nodes, ["node"], "n", ["tid"]).join(balls, "tid", "left")
     is_main = F.coalesce(F.col("main") == F.col("ball"), F.lit(False))
     place = F.pmod(F.xxhash64("tid", F.lit(9)), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
@@ -373,9 +402,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     of_text = join_hot(linked.select("tid", "root", "n_links"), classes, ["root"], "n_texts", ["tid"]).drop("root")
     # Texts of one copy and no link need no partner: their documents are classes of their own.
     known = copies.join(of_text, "tid", "left").where((F.col("n_copies") > 1) | F.col("n_links").isNotNull())
-    known = written(known.select("tid", "n_copies", F.when(F.col("n_links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    known = written(known.select(
+        "tid", "n_copies", F.when(F.col("n_links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    ))
     out = join_hot(sig.select("doc_id", "text_hash", "tid"), known, ["tid"], "n_copies", ["doc_id", "text_hash"])
-    return out.select("doc_id", "text_hash", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select(
+        "doc_id", "text_hash", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -226,7 +226,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     trees = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, trees).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
+    return score(docs, trees).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted")
+    )
 
 
 QUERIES = {"op6_quality": op6_quality}

@@ -233,7 +233,9 @@ class SuffixIndex:
         rows.groupBy("part").applyInArrow(unite, "part int, body binary").write.parquet(f"{self.path}/{name}")
         self.levels, self.version = [*kept, (name, size)], self.version + 1
         family = [(self.version, k, n, b, self.buckets, self.job.width, self.job.core) for k, (n, b) in enumerate(self.levels)]
-        self.spark.createDataFrame(family, "version int, nth int, level string, bytes long, buckets int, width int, core int").coalesce(1).write.mode("append").parquet(f"{self.path}/family")
+        self.spark.createDataFrame(
+            family, "version int, nth int, level string, bytes long, buckets int, width int, core int"
+        ).coalesce(1).write.mode("append").parquet(f"{self.path}/family")
 
     def spans(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
         """As repeated_spans, for all documents of the index: those of earlier batches too lose what a later one repeats."""
@@ -246,7 +248,11 @@ class SuffixIndex:
         def last(table: pa.Table, found: dict) -> pa.Table:
             texts, spans = job.spans(table, found) if table.num_rows else ([], [])
             kept = [_kept(t, s) for t, s in zip(texts, spans, strict=True)]
-            columns = [table.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([s.ravel().tolist() for s in spans], pa.list_(pa.int64())), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            columns = [
+                table.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([s.ravel().tolist() for s in spans], pa.list_(pa.int64())),
+                pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+            ]
             return pa.table(columns + [pa.array(kept, pa.binary())] * with_kept, names=["doc_id", "n_bytes", "spans", "kept_sha256", *["kept"] * with_kept])
 
         return plan.finish(runs.unionByName(windows), last, f"doc_id {kind}, n_bytes long, spans array<long>, kept_sha256 string" + ", kept binary" * with_kept)

@@ -259,7 +259,10 @@ def test_packed_runs():
         keys = rng.integers(0, 2**64, n, dtype=np.uint64)
         counts = rng.integers(0, 400, n)
         for extra in (None, rng.integers(0, 2**32, n, dtype=np.uint64)):
-            run, place, _ = exchange.run_of(np.concatenate([keys, keys]), np.concatenate([counts, counts]), None if extra is None else np.concatenate([extra, extra + np.uint64(1)]))
+            run, place, _ = exchange.run_of(
+                np.concatenate([keys, keys]), np.concatenate([counts, counts]),
+                None if extra is None else np.concatenate([extra, extra + np.uint64(1)])
+            )
             back = exchange.unpack_run(exchange.pack_run(run))
             assert (back.keys == run.keys).all() and (back.counts == run.counts).all() and (extra is None) == (back.extra is None)
             assert extra is None or ((back.extra == run.extra).all() and len(run.keys) == 2 * n)
@@ -295,7 +298,9 @@ def test_lm(docs, empty, order):
         return sum_
 
     want = sorted((str(i), len(tok(t)), sum(c[w,] > 0 for w in tok(t)), total, round(sum(math.log10(p1(w)) for w in tok(t)), 4), round(walk(tok(t)), 3)) for i, t, *_ in rows)
-    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 3)) for r in lm.score(docs, held_out("doc_id", 5, 1), order=order).collect())
+    got = sorted((
+        str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 3)
+    ) for r in lm.score(docs, held_out("doc_id", 5, 1), order=order).collect())
     assert got == want
     known = [g[0] for g in c if len(g) == 1]
     for h in ((b"one",), (b"one", b"two"), (b"never",)):
@@ -362,7 +367,13 @@ def test_line_dedup(docs, empty):
         for x in {key(y) for y in (t or "").split("\n")}:
             holders[x].append((k, i))
     hot = {x: max((i for _, i in h if i is not None), default=None) for x, h in holders.items() if len(x) >= 40 and len(h) >= 5}
-    want = sorted((str(i), (t or "").count("\n") + 1, sum(key(y) in hot and hot[key(y)] != i for y in (t or "").split("\n")), "\n".join(y for y in (t or "").split("\n") if key(y) not in hot or hot[key(y)] == i)) for i, t, *_ in rows)
+    want = sorted(
+        (
+            str(i), (t or "").count("\n") + 1, sum(key(y) in hot and hot[key(y)] != i for y in (t or "").split("\n")),
+            "\n".join(y for y in (t or "").split("\n") if key(y) not in hot or hot[key(y)] == i)
+        ) for i,
+        t, *_ in rows
+    )
     got = line_dedup.dedup_lines(docs)
     assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == want
     assert "tid" in got.columns and line_dedup.dedup_lines(empty).count() == 0
@@ -494,7 +505,10 @@ def test_bpe_against_the_library(spark, docs):
     path = bpe.default_path()
     lib, mine = Tokenizer.from_file(path), bpe.Bpe(path, cache_size=50)
     rng = random.Random(3)
-    parts = ["a", "ab", "the", "ing", "É", "ß", "Σ", "İ", "日本", "12", "½", "_", "?!", "...", "'s", "don't", " ", "\n", "\x1c", "\x85", "​", "　", "<|endoftext|>", "</w>", "😀", "́", "ﬀ", "x" * 40]
+    parts = [
+        "a", "ab", "the", "ing", "É", "ß", "Σ", "İ", "日本", "12", "½", "_", "?!", "...", "'s", "don't", " ", "\n", "\x1c", "\x85", "​", "　",
+        "<|endoftext|>", "</w>", "😀", "́", "ﬀ", "x" * 40
+    ]
     for _ in range(3000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
         ids = np.frombuffer(b"".join(mine.encode(t)), "<u4")
@@ -599,7 +613,10 @@ def test_small_partitions_of_very_many_rows_are_dealt_evenly():
 def test_ann(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8)).round(2)
-    rows = [(k, [float(v) for v in r], 0) for k, r in enumerate(x)] + [(400, None, 0), (401, [0.0] * 8, 0), (402, [float("nan")] * 8, 0), (403, [None] + [1.0] * 7, 0), (None, [1.0] * 8, 0), (404, rows_404 := [float(v) for v in x[3]], 0)]
+    rows = [(k, [float(v) for v in r], 0) for k, r in enumerate(x)] + [
+        (400, None, 0), (401, [0.0] * 8, 0), (402, [float("nan")] * 8, 0), (403, [None] + [1.0] * 7, 0), (None, [1.0] * 8, 0),
+        (404, rows_404 := [float(v) for v in x[3]], 0)
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = collections.defaultdict(list)
     for r in sorted(ann.search(df, df.where("vec_id % 20 = 0"), 20, rerank=1.0).collect(), key=lambda r: (r["query_id"], r["rank"])):
