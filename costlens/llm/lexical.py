@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from costlens.llm.common import ASCII_LOWER, U64, as_bytes, joined, mix, prefix_sums, slices, spans_hash, tokens, written
 from costlens.llm.decontaminate import WORD
 
 K = 10
-#: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 1 << 23
+#: Bytes of text in a block, about; a longer document is a block of its own.
+BLOCK = 1 << 22
 #: Pairs of query and term that are broadcast at once: some 100 bytes each.
 MAX_PAIRS = 500_000
 #: Pairs of interval and term that a walk may reach at once: some 100 bytes each.
@@ -58,18 +59,18 @@ def _block(ids: pa.Array, texts: list[bytes]) -> tuple | None:
     return n_docs, len(h), ids.take(pa.array(order[size > 0])), size[size > 0], terms, starts, (key % n_docs).astype(np.int32), count.astype(np.int32)
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """The index, a row a block of documents (INDEX): write it once, search it often.
 
     Terms are runs of digits, letters (A-Z lower-cased) and non-ASCII characters, known by 64-bit hashes. Null, empty and
     termless texts are in no block; repeated rows are documents of their own; doc_ids are integers, null stands after
-    all; a very long text is a block of its own; an empty table has no blocks.
+    all; a very long text is a block of its own; an empty table has no blocks. block: bytes of text in a block, about.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(1))
-            for lo, hi in slices(texts, BLOCK):
+            for lo, hi in slices(texts, block):
                 if row := _block(b.column(0).slice(lo, hi - lo), texts[lo:hi]):
                     kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, *[pa.list_(pa.int32())] * 2)
                     cells = [pa.array([x], kind) if k < 2 else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for k, (x, kind) in enumerate(zip(row, kinds, strict=True))]
@@ -274,7 +275,7 @@ def search(index: DataFrame, queries: DataFrame, query_id: str = "item_id", text
     """
     spark = index.sparkSession
     pairs = written(query_terms(queries, query_id, text))
-    kind = dict(pairs.dtypes)["item"]
+    kind, arrow_kind = dict(pairs.dtypes)["item"], to_arrow_type(pairs.schema["item"].dataType)
     blocks = max(1, -(-pairs.count() // MAX_PAIRS))
     n_docs, n_terms = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     names = ["ids", "sizes", "terms", "starts", "places", "counts"]
@@ -292,7 +293,7 @@ def search(index: DataFrame, queries: DataFrame, query_id: str = "item_id", text
                     search_block(row, wanted, best)
             q, r = np.nonzero(best.score)
             doc = best.doc[q, r]
-            cells = [pa.array([wanted.items[i] for i in q.tolist()]), pa.array(doc, mask=doc == LAST), pa.array(best.score[q, r])]
+            cells = [pa.array([wanted.items[i] for i in q.tolist()], arrow_kind), pa.array(doc, mask=doc == LAST), pa.array(best.score[q, r])]
             if len(q):
                 yield pa.RecordBatch.from_arrays(cells, ["item", "doc_id", "score"])
 
