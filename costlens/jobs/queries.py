@@ -266,26 +266,29 @@ def _explore(s: SparkSession, d: str) -> DataFrame:
 
 
 def _export(s: SparkSession, d: str) -> str:
-    """Events as four CSV files in the shared folder, in order: quoted cells with quotes and, in one file, line breaks inside, and a field too many on every tenth row."""
+    """Events as four CSV files in the shared folder, in order: quoted cells with quotes, a field too many on every tenth row, in the second file line breaks inside cells, in the third the columns in another order, and in the fourth one column less and one more."""
     path = shared_dir(s)
     props = F.when(F.col("event_id") % 4 == 1, F.concat("props", F.lit("\nsecond line"))).otherwise(F.col("props"))
     quoted = F.concat(F.lit('"'), F.replace(props, F.lit('"'), F.lit('""')), F.lit('"'))
-    row = F.concat_ws(",", F.col("event_id").cast("string"), F.col("event_type"), quoted, F.when(F.col("event_id") % 10 == 0, F.lit("7,extra")).otherwise("7"))
+    file, event, last = F.col("event_id") % 4, F.col("event_id").cast("string"), F.when(F.col("event_id") % 10 == 0, F.lit("7,extra")).otherwise("7")
+    row = F.when(file == 2, F.concat_ws(",", event, quoted, last, "event_type")).when(file == 3, F.concat_ws(",", event, F.col("user_id").cast("string"), quoted, F.when(F.col("event_id") % 10 == 0, F.lit("x,extra")).otherwise("x")))
+    row = row.otherwise(F.concat_ws(",", event, F.col("event_type"), quoted, last))
     # Every file begins with the header: it sorts first in each partition.
-    body = s.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % 4).alias("p"), F.lit(1).alias("o"), F.col("event_id").alias("id"), row.alias("value"))
-    head = s.range(4).select(F.col("id").alias("p"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("id"), F.lit("Event Id,Type, Props ,n").alias("value"))
+    body = s.read.parquet(f"{d}/events.parquet").select(file.alias("p"), F.lit(1).alias("o"), F.col("event_id").alias("id"), row.alias("value"))
+    names = F.when(F.col("id") == 2, "Event Id, Props ,n,Type").when(F.col("id") == 3, "Event Id,User, Props ,Type").otherwise("Event Id,Type, Props ,n")
+    head = s.range(4).select(F.col("id").alias("p"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("id"), names.alias("value"))
     body.unionByName(head).repartition(4, "p").sortWithinPartitions("p", "o", "id").select("p", "value").write.partitionBy("p").text(path)
     return f"{path}/p=*"
 
 
 def _read(s: SparkSession, d: str) -> DataFrame:
     good, _ = billing_csv.split_malformed(billing_csv.read_line_items(s, _export(s, d)))
-    return good.select("line_no", F.col("c0").cast("long").alias("event_id"), F.col("c1").alias("type"), F.col("c2").alias("props"), F.col("c3").alias("n"))
+    return good.select("line_no", F.col("c0").cast("long").alias("event_id"), F.col("c1").alias("type"), F.col("c2").alias("props"), F.col("c3").alias("n"), F.col("c4").alias("user"))
 
 
 def _rejected(s: SparkSession, d: str) -> DataFrame:
     _, bad = billing_csv.split_malformed(billing_csv.read_line_items(s, _export(s, d)))
-    return bad.select("line_no", F.col("c0").cast("long").alias("event_id"))
+    return bad.select("line_no", F.col("c0").cast("long").alias("event_id"), F.regexp_extract("source", "p=([0-9])/", 1).alias("file"))
 
 
 def _checks(s: SparkSession, d: str) -> DataFrame:
@@ -528,9 +531,9 @@ Q: dict[str, tuple] = {
         "FROM tagged t WHERE t.source = s.source)::DOUBLE / 4)) * 100 + 0.5) / 100 AS confidence FROM (SELECT DISTINCT source FROM "
         "headers) s")),
     "read_line_items": (_read,
-        f"""SELECT line_no, event_id, event_type AS type, CASE WHEN event_id % 4 = 1 THEN props || chr(10) || 'second line' ELSE props END AS """
-        f"""props, '7' AS n FROM ({POSITIONS}) WHERE event_id % 10 <> 0"""),
-    "split_malformed": (_rejected, f"SELECT line_no, event_id FROM ({POSITIONS}) WHERE event_id % 10 = 0"),
+        f"""SELECT line_no, event_id, CASE WHEN event_id % 4 = 3 THEN 'x' ELSE event_type END AS type, CASE WHEN event_id % 4 = 1 THEN props || chr(10) || 'second line' ELSE props END AS """
+        f"""props, CASE WHEN event_id % 4 <> 3 THEN '7' END AS n, CASE WHEN event_id % 4 = 3 THEN user_id::VARCHAR END AS "user" FROM ({POSITIONS}) WHERE event_id % 10 <> 0"""),
+    "split_malformed": (_rejected, f"SELECT line_no, event_id, (event_id % 4)::VARCHAR AS file FROM ({POSITIONS}) WHERE event_id % 10 = 0"),
     "input_guard": (_checks,
         "SELECT 'header' AS \"check\", true AS passed UNION ALL SELECT 'tags', true UNION ALL SELECT 'rows', count(*) > 0 FROM events "
         "WHERE event_id % 10 <> 0 UNION ALL SELECT 'empty header', false UNION ALL SELECT 'empty tags', false UNION ALL SELECT 'empty "

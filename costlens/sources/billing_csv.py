@@ -2,59 +2,105 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costlens.functions.policy import Mapping, Policy
+from costlens.functions.scalars import stripped
+from costlens.sources.records import Records, read_records, split_cells
 from costlens.sources.shared import written
 
 BAD = "_malformed"
+#: Different columns of all files together: the driver holds their names.
+MAX_COLUMNS = 20_000
+#: Files (a path each) and layouts (a number for each column) that are broadcast; beyond them rows are shuffled to theirs.
+MAX_FILES, MAX_LAYOUTS = 100_000, 1_000
+
+
+@dataclass(frozen=True)
+class Export:
+    """One export in one file or many: names (of all files, in order of first appearance), headers (source, position, header: one row a column of a file) and records (sources.records)."""
+
+    names: list[str]
+    headers: DataFrame
+    records: Records
+    sep: str
+
+
+def open_export(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> Export:
+    """Reads the text of the files once and the header of each file. multi_line=False states that no cell holds a line break."""
+    records = read_records(spark, path, sep, multi_line is not False)
+    first = records.rows.where((F.col("record") == 1) & ~F.col("unclosed")).select("source", split_cells(F.regexp_replace("text", "^\ufeff", ""), sep).alias("cells"))
+    headers = written(first.select("source", F.posexplode("cells").alias("position", "header")).select("source", "position", stripped(F.col("header")).alias("header")))
+    return Export([n for n, _ in _columns(headers)], headers, records, sep)
+
+
+def _columns(headers: DataFrame) -> list[tuple[str, int]]:
+    """(name, how many of that name stand before it in its file) of all files' columns, by first appearance."""
+    nth = F.row_number().over(Window.partitionBy("source", "header").orderBy("position")) - 1
+    found = headers.select("source", "position", "header", nth.alias("nth")).groupBy("header", "nth").agg(F.min(F.struct("source", "position")).alias("first"))
+    rows = found.orderBy("first").limit(MAX_COLUMNS + 1).collect()
+    if len(rows) > MAX_COLUMNS:
+        raise ValueError(f"the files have more than {MAX_COLUMNS} different columns")
+    return [(r["header"], r["nth"]) for r in rows]
 
 
 def read_headers(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
-    """The trimmed names of the first line. Read as data, so names that differ only in case stay apart."""
-    row = spark.read.options(header=False, sep=sep, escape='"', multiLine=False).csv(path).first()
-    return [] if row is None else [(v or "").lstrip("﻿").strip() for v in row]
+    """The trimmed names of all files' columns, those of the first file first. Names that differ only in case stay apart."""
+    return open_export(spark, path, sep).names
 
 
-def has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether a cell may go on in the next line: some line has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def has_open_quotes(spark: SparkSession, path: str, sep: str = ",") -> bool:
+    """Whether some cell goes on in the next line."""
+    return read_records(spark, path, sep).broken
 
 
 def read_line_items(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
-    """All cells as text under c0, c1, ... with line_no and the malformed text of rows with another number of fields. The header names come from read_headers.
+    """lines_of the export that open_export reads."""
+    return lines_of(open_export(spark, path, sep, multi_line))
+
+
+def lines_of(export: Export, first: int | None = None) -> DataFrame:
+    """All cells (or those of the first data rows: only their splits are read) as text under c0, c1, ... (the export's names), with source (the file), line_no and the text of malformed rows.
 
-    line_no is the 1-based position among all data rows, malformed ones included and blank lines not, file after file by
-    path. multi_line: cells may hold line breaks, so each file is read by one task; None looks for such cells first, so
-    that files without them are split.
+    Each file's cells go by its own header, whatever the order of its columns; a column that a file has not is null. A
+    row with another number of cells than its file's header, or with a quote that is never closed, is malformed. line_no
+    is the 1-based position among all data rows, malformed ones included and blank lines not, file after file by path.
+    Files without a header have no rows.
     """
-    multi_line = has_open_quotes(spark, path) if multi_line is None else multi_line
-    names = read_headers(spark, path, sep)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(BAD, T.StringType())])
-    # Pruned columns would hide malformed rows.
-    df = spark.read.options(
-        header=True, enforceSchema=True, sep=sep, escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD,
-        columnPruning=False
-    ).schema(schema).csv(path)
-    blank = F.col(BAD).isNotNull() & (F.trim(F.col(BAD)) == "")
-    # A query that reads only the malformed column is refused: the first cell is always read too.
-    rows = df.where(~blank & (F.coalesce(F.length("c0"), F.lit(0)) >= 0))
-    # A split's rows are numbered as they are read; how many stand before it is known when all splits are counted.
-    split = ["_file", "_start"]
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_nth"))
-    sizes = rows.groupBy(*split).agg(F.count("*").alias("n"), F.min("_nth").alias("_first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = written(sizes.withColumn("_before", before).drop("n"))  # a row a split
-    numbered = rows.join(F.broadcast(offsets), split)
-    return numbered.select(*[c for c in df.columns], (F.col("_before") + F.col("_nth") - F.col("_first") + 1).alias("line_no"))
+    columns = _columns(export.headers)
+    nth = F.row_number().over(Window.partitionBy("source", "header").orderBy("position")) - 1
+    key = F.struct("header", nth.alias("nth"))
+    layouts = export.headers.select("source", "position", key.alias("key")).groupBy("source").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "position"))).alias("at"), F.count("*").alias("width")
+    )
+    places = F.array(*[F.col("at")[F.struct(F.lit(n).alias("header"), F.lit(k).alias("nth"))] for n, k in columns]) if columns else F.array().cast("array<int>")
+    files = written(layouts.select(F.col("source").alias("file"), "width", places.alias("places"), F.xxhash64("width", places).alias("layout")))
+    kinds = files.select("layout", "width", "places").dropDuplicates(["layout"])
+    n_files, n_kinds = files.count(), kinds.count()
+    rows = (export.records.rows if first is None else export.records.first_rows(first)).where(F.col("record") > 1)
+    if n_kinds == 1:  # as in most exports: all files have the same columns in the same order
+        one = kinds.first()
+        rows = rows.withColumn("width", F.lit(one["width"]))
+        cell = lambda i: F.get("cells", F.lit(one["places"][i]))
+    else:
+        # A row finds its file's layout, a number, and then the layout's places.
+        small = lambda df, n, most: F.broadcast(df) if n <= most else df
+        rows = rows.join(small(files.select("file", "layout"), n_files, MAX_FILES), F.col("source") == F.col("file"))
+        rows = rows.join(small(kinds, n_kinds, MAX_LAYOUTS), "layout")
+        cell = lambda i: F.get("cells", F.get("places", F.lit(i)))
+    rows = rows.withColumn("cells", split_cells(F.col("text"), export.sep))
+    fits = ~F.col("unclosed") & (F.size("cells") == F.col("width"))
+    cells = [(F.when(fits, cell(i)) if i else F.when(fits, cell(i)).otherwise(F.get("cells", F.lit(0)))).alias(f"c{i}") for i in range(len(columns))]
+    return rows.select("source", "line_no", *cells, F.when(~fits, F.col("text")).alias(BAD))
 
 
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and line_no with the text of the rejected ones."""
-    return df.where(F.col(BAD).isNull()).drop(BAD), df.where(F.col(BAD).isNotNull()).select("line_no", BAD, "c0")
+    """Good rows, and the rejected ones: source (the file), line_no, text and first cell."""
+    return df.where(F.col(BAD).isNull()).drop(BAD), df.where(F.col(BAD).isNotNull()).select("source", "line_no", BAD, "c0")
 
 
 def sample_lines(df: DataFrame, n: int = 500) -> DataFrame:
@@ -62,6 +108,16 @@ def sample_lines(df: DataFrame, n: int = 500) -> DataFrame:
     return df.orderBy("line_no").limit(n)
 
 
+def sample_export(export: Export, n: int = 500) -> DataFrame:
+    """The first good rows of an export: twice as many rows are looked at until n are good, so few splits are read however many there are."""
+    ahead, total = n, export.records.count()
+    while True:
+        good, _ = split_malformed(lines_of(export, ahead))
+        if ahead >= total or good.limit(n).count() >= n:
+            return sample_lines(good, n)
+        ahead *= 2
+
+
 def header_table(spark: SparkSession, names: list[str], source: str = "file") -> DataFrame:
     return spark.createDataFrame([(source, i, n) for i, n in enumerate(names)], "source string, position int, header string")
 
