@@ -14,7 +14,7 @@ from costlens.functions import scalars as S
 from costlens.functions.policy import DEFAULT_TAGS, ENV_ALIASES, NULL_TOKENS, RESOURCE_LABELS, ROLE_SYNONYMS, SPEND_LABELS, UNTAGGABLE, Mapping
 from costlens.operators import coverage, drift, explore, lines, mapping, resources
 from costlens.sources import billing_csv, tables
-from costlens.sources.shared import shared_dir
+from costlens.sources.shared import shared_dir, written
 
 M = tables.EVENT_MAPPING
 TAGS = ["owner", "team", "environment", "cost_center"]
@@ -51,7 +51,7 @@ CHAIN: list[tuple[str, str]] = [
         "dots > 0 THEN replace(d, ',', '') WHEN commas = 1 AND rc <= 3 THEN replace(d, ',', '.') ELSE replace(d, ',', '') END AS num FROM "
         "c4"),
     ("parsed",
-        "SELECT line_no, resource_id, service, provider, region, cost_raw, currency, charge_type, tag_owner, tag_team, tag_environment, "
+        "SELECT line_no, source, resource_id, service, provider, region, cost_raw, currency, charge_type, tag_owner, tag_team, tag_environment, "
         "tag_cost_center, tags_json, CASE WHEN regexp_matches(num, '[0-9]') THEN CASE WHEN neg THEN -try_cast(num AS DECIMAL(38,12)) ELSE "
         "try_cast(num AS DECIMAL(38,12)) END END AS cost FROM c5"),
     ("routed",
@@ -74,10 +74,10 @@ CHAIN: list[tuple[str, str]] = [
     ("dominant", "SELECT rkey, service FROM (SELECT *, row_number() OVER (PARTITION BY rkey ORDER BY w DESC, f) AS k FROM weights) WHERE k = 1"),
     ("heads",
         "SELECT rkey, nullif(provider, '') AS provider, nullif(region, '') AS region, CASE WHEN has_id THEN resource_id ELSE rkey END AS "
-        "id, line_no AS first_line FROM (SELECT *, row_number() OVER (PARTITION BY rkey ORDER BY line_no) AS k FROM kept) WHERE k = 1"),
+        "id, line_no AS first_line, source FROM (SELECT *, row_number() OVER (PARTITION BY rkey ORDER BY line_no) AS k FROM kept) WHERE k = 1"),
     ("sums", "SELECT rkey, sum(coalesce(cost, 0)) AS cost, count(*) AS line_items FROM kept GROUP BY rkey"),
     ("rolled",
-        "SELECT rkey, id, service, provider, region, cost, line_items, first_line, owner, team, environment, cost_center FROM heads JOIN "
+        "SELECT rkey, source, id, service, provider, region, cost, line_items, first_line, owner, team, environment, cost_center FROM heads JOIN "
         "sums USING (rkey) JOIN resolved USING (rkey) LEFT JOIN dominant USING (rkey)"),
     ("clamped", f"SELECT * REPLACE (CASE WHEN cost < 0 THEN 0 ELSE {r2('cost')} END::DECIMAL(18,2) AS cost), cost < 0 AS negative FROM rolled"),
     (
@@ -88,8 +88,8 @@ CHAIN: list[tuple[str, str]] = [
         "SELECT count(*) AS n, count(*) FILTER (compliant) AS ok, coalesce(sum(cost), 0) AS total, coalesce(sum(cost) FILTER (compliant), "
         "0) AS okc, count(*) FILTER (negative) AS negatives FROM res"),
     ("scores", f"SELECT *, CASE WHEN total > 0 THEN {pct('okc', 'total')} END AS spend, {pct('ok', 'n')} AS resource FROM totals"),
-    ("cells", " UNION ALL ".join(f"SELECT rkey, first_line, '{k}' AS tag, {k} AS raw FROM res" for k in TAGS)),
-    ("holders", f"SELECT rkey, tag, {norm('raw')} AS value FROM cells WHERE {norm('raw')} IN ({HELD})"),
+    ("cells", " UNION ALL ".join(f"SELECT rkey, source, first_line, '{k}' AS tag, {k} AS raw FROM res" for k in TAGS)),
+    ("holders", f"SELECT rkey, source, tag, {norm('raw')} AS value FROM cells WHERE {norm('raw')} IN ({HELD})"),
     ("lt",
         f"SELECT count(*) AS total_rows, count(*) FILTER (bucket = 'credit') AS credit_count, coalesce(sum(coalesce(cost, 0)) FILTER "
         f"(bucket = 'credit'), 0)::DOUBLE AS credit_total, count(*) FILTER (bucket = 'netted') AS netted_count, count(*) FILTER (bucket = "
@@ -171,6 +171,26 @@ CHAIN: list[tuple[str, str]] = [
         "stage, tag_rank AS position FROM forms JOIN syn ON tag_norm = synonym GROUP BY source, tag, tag_rank HAVING count(DISTINCT "
         "header) > 1"),
 ]
+# The same for each source by itself: views with the suffix _s.
+_of = dict(CHAIN)
+CHAIN += [
+    ("totals_s", _of["totals"].replace("SELECT", "SELECT source,", 1) + " GROUP BY source"),
+    ("lt_s", _of["lt"].replace("SELECT", "SELECT source,", 1) + " GROUP BY source"),
+    ("summary_s",
+        f"SELECT source, total::DOUBLE AS total_cost, {r2('total - okc')} AS unallocated_cost, {r2('untaggable_cost')} AS untaggable_cost, untaggable_count, credit_count, netted_count, negatives AS "
+        f"negative_count, cost_missing_count, kept_lines - n AS merged_lines FROM totals_s JOIN lt_s USING (source)"),
+    ("vals_s", _of["vals"].replace("SELECT tag", "SELECT source, tag", 1).replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")),
+    ("grouped_s", _of["grouped"].replace("FROM vals", "FROM vals_s")),
+    ("near_s", _of["near"].replace("SELECT a.tag", "SELECT a.source, a.tag", 1).replace("FROM grouped a JOIN grouped b ON", "FROM grouped_s a JOIN grouped_s b ON a.source = b.source AND")),
+    ("pairs_s", _of["pairs"].replace("SELECT", "SELECT source,", 1).replace("FROM near", "FROM near_s")),
+    ("variants_s", _of["variants"].replace("SELECT", "SELECT source,", 1).replace("FROM vals", "FROM vals_s")),
+    ("aliases_s", _of["aliases"].replace("SELECT", "SELECT source,", 1).replace("FROM grouped", "FROM grouped_s").replace("GROUP BY tag", "GROUP BY source, tag")),
+    ("found_s",
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, type, tag, members ORDER BY stage, position, reason) AS k FROM (SELECT * FROM kd0 UNION ALL SELECT * FROM kd1 UNION ALL SELECT "
+        "* FROM variants_s UNION ALL SELECT * FROM aliases_s UNION ALL SELECT * FROM pairs_s)) WHERE k = 1"),
+    ("offenders_s",
+        "SELECT source, cost, first_line FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cost DESC, first_line) AS k FROM res WHERE NOT compliant) WHERE k <= 100"),
+]
 NAMES = [n for n, _ in CHAIN]
 
 
@@ -230,11 +250,11 @@ def _res(f):
 
 
 def _find(f):
-    return lambda s, d: _joined(f(drift.tag_values(table(s, d), M)))
+    return lambda s, d: _joined(f(written(drift.tag_values(table(s, d), M))))
 
 
 def _pair(f):
-    return lambda s, d: f(drift.tag_values(table(s, d), M)).select("tag", "norm_a", "norm_b", "reason")
+    return lambda s, d: f(written(drift.tag_values(table(s, d), M))).select("tag", "norm_a", "norm_b", "reason")
 
 
 def _head(f):
@@ -256,9 +276,13 @@ def _unmapped(s: SparkSession, d: str) -> DataFrame:
     return mapping.unmapped_json_keys(keys, mapping.map_json_tag_keys(keys, tags))
 
 
+def source_table(spark: SparkSession, d: str) -> DataFrame:
+    """The audited resources of all exports."""
+    return resources.resource_table(classified(spark, d), M, by=["source"])
+
+
 def _all_drift(s: SparkSession, d: str) -> DataFrame:
-    h = tables.event_headers(s, d).where(F.col("source") == "export-3")
-    return _joined(drift.drift_findings(h, table(s, d), M))
+    return _joined(drift.drift_findings(tables.event_headers(s, d), source_table(s, d), M, by=["source"]))
 
 
 def _explore(s: SparkSession, d: str) -> DataFrame:
@@ -299,10 +323,10 @@ def _checks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
-    """All ten parts of the report written as tables; the number of rows of each and the sum of its amounts, read again."""
+    """All ten parts of the report on all exports written as tables; the number of rows of each and the sum of its amounts, read again."""
     from costlens.jobs.audit import audit_tables
 
-    parts = audit_tables(tables.event_lines(s, d), tables.event_headers(s, d).where(F.col("source") == "export-3"), M)
+    parts = audit_tables(tables.event_lines(s, d), tables.event_headers(s, d), M, by=["source"])
     path = shared_dir(s)
     billing_csv.write_report(parts, path)
     amounts = {
@@ -310,10 +334,8 @@ def _report(s: SparkSession, d: str) -> DataFrame:
         "resources": "cost", "offenders": "cost", "fix_first": "cost", "composition": "amount", "notes": "count", "drift": "stage"
     }
     total = lambda k: S.round2(F.sum(F.col(amounts[k]).cast("double")))
-    return reduce(
-        DataFrame.unionByName,
-        [s.read.parquet(f"{path}/{k}").agg(F.count("*").alias("n"), total(k).alias("amount")).select(F.lit(k).alias("part"), "n", "amount") for k in amounts]
-    )
+    back = billing_csv.read_report(s, path)
+    return reduce(DataFrame.unionByName, [back[k].agg(F.count("*").alias("n"), total(k).alias("amount")).select(F.lit(k).alias("part"), "n", "amount") for k in amounts])
 
 
 def _resources_csv(s: SparkSession, d: str) -> DataFrame:
@@ -344,22 +366,18 @@ def _best(s: SparkSession, d: str) -> DataFrame:
 
 #: Rows of the exported files, numbered file after file.
 POSITIONS = "SELECT *, row_number() OVER (ORDER BY event_id % 4, event_id) AS line_no FROM events"
-#: The parts of the report: rows and the sum of an amount.
-SOLO = " UNION ALL ".join(f"SELECT {r2('coalesce(sum(cost) FILTER (missing = [' + repr(k) + ']), 0)')} AS s FROM res" for k in TAGS)
-SERVICES = "SELECT coalesce(service, '(no service)') AS service, floor(sum(cost)::DOUBLE * 100 + 0.5) / 100 AS total_cost FROM res GROUP BY 1"
-PARTS = "SELECT unnest(['allocatable', 'unallocated', 'untaggable']) AS part, unnest([greatest(0, total_cost - unallocated_cost), unallocated_cost, greatest(0, untaggable_cost)]) AS amount FROM summary"
-NOTES = "SELECT unnest([untaggable_count, credit_count, netted_count, negative_count, cost_missing_count, merged_lines]) AS count FROM summary"
-OFFENDERS = "SELECT cost FROM res WHERE NOT compliant ORDER BY res.cost DESC, first_line LIMIT 100"
-FINDINGS = "SELECT type, tag, members, min(stage) AS stage FROM (SELECT type, tag, members, stage FROM kd0 WHERE source = 'export-3' UNION ALL SELECT type, tag, members, stage FROM kd1 WHERE source = 'export-3' UNION ALL SELECT type, tag, members, stage FROM variants UNION ALL SELECT type, tag, members, stage FROM aliases UNION ALL SELECT type, tag, members, stage FROM pairs) GROUP BY type, tag, members"
+#: The parts of the report on all exports: rows and the sum of an amount.
+SOLO = " UNION ALL ".join(f"SELECT {r2('coalesce(sum(cost) FILTER (missing = [' + repr(k) + ']), 0)')} AS s FROM res GROUP BY source" for k in TAGS)
+SERVICES = "SELECT source, coalesce(service, '(no service)') AS service, floor(sum(cost)::DOUBLE * 100 + 0.5) / 100 AS total_cost FROM res GROUP BY 1, 2"
+PARTS = "SELECT unnest(['allocatable', 'unallocated', 'untaggable']) AS part, unnest([greatest(0, total_cost - unallocated_cost), unallocated_cost, greatest(0, untaggable_cost)]) AS amount FROM summary_s"
+NOTES = "SELECT unnest([untaggable_count, credit_count, netted_count, negative_count, cost_missing_count, merged_lines]) AS count FROM summary_s"
+FIRST = "SELECT cost FROM (SELECT cost, row_number() OVER (PARTITION BY source ORDER BY cost DESC, first_line) AS k FROM offenders_s WHERE cost >= 0.01) WHERE k <= 20"
 REPORT = " UNION ALL ".join(f"SELECT '{part}' AS part, count(*) AS n, {r2(f'sum({amount})')} AS amount FROM ({q}) AS q" for part, amount, q in [
-    ("summary", "total_cost", "SELECT * FROM summary"), ("coverage", "s", SOLO), (
-        "placeholders", "occurrences", "SELECT value, count(*) AS occurrences FROM holders GROUP BY 1"
-    ), ("services", "total_cost", SERVICES), ("resources", "cost", "SELECT cost FROM res"),
-    ("offenders", "cost", OFFENDERS), (
-        "fix_first", "cost", f"SELECT cost FROM ({OFFENDERS}) WHERE cost >= 0.01 ORDER BY cost DESC LIMIT 20"
-    ), (
-        "composition", "amount", f"SELECT {r2('amount')} AS amount FROM ({PARTS}) WHERE amount > 0"
-    ), ("notes", "count", f"SELECT count FROM ({NOTES}) WHERE count > 0"), ("drift", "stage", FINDINGS),
+    ("summary", "total_cost", "SELECT total_cost FROM summary_s"), ("coverage", "s", SOLO),
+    ("placeholders", "occurrences", "SELECT source, value, count(*) AS occurrences FROM holders GROUP BY 1, 2"), ("services", "total_cost", SERVICES),
+    ("resources", "cost", "SELECT cost FROM res"), ("offenders", "cost", "SELECT cost FROM offenders_s"), ("fix_first", "cost", FIRST),
+    ("composition", "amount", f"SELECT {r2('amount')} AS amount FROM ({PARTS}) WHERE amount > 0"), ("notes", "count", f"SELECT count FROM ({NOTES}) WHERE count > 0"),
+    ("drift", "stage", "SELECT stage FROM found_s"),
 ])
 G = grade("(value * 10 % 100)")
 Q: dict[str, tuple] = {
@@ -420,7 +438,7 @@ Q: dict[str, tuple] = {
     "line_totals": (lambda s, d: lines.line_totals(classified(s, d)), sql("SELECT * FROM lt")),
     "currency_inventory": (lambda s, d: lines.currency_inventory(tables.event_lines(s, d)), sql("SELECT currency FROM cur WHERE currency IS NOT NULL")),
     "currency_guard": (lambda s, d: lines.currency_guard(tables.event_lines(s, d)), sql("SELECT * FROM curs")),
-    "resource_rollup": (lambda s, d: rolled(s, d).withColumn("cost", F.col("cost").cast("double")), sql("SELECT * REPLACE (cost::DOUBLE AS cost) FROM rolled")),
+    "resource_rollup": (lambda s, d: rolled(s, d).withColumn("cost", F.col("cost").cast("double")), sql("SELECT * EXCLUDE (source) REPLACE (cost::DOUBLE AS cost) FROM rolled")),
     "resolve_tags": (lambda s, d: resources.resolve_tags(lines.kept_lines(classified(s, d)), M), sql("SELECT * FROM resolved")),
     "first_seen": (lambda s, d: resources.first_seen(lines.kept_lines(classified(s, d)), M), sql("SELECT rkey, id, provider, region, first_line FROM rolled")),
     "dominant_service": (lambda s, d: resources.dominant_service(lines.kept_lines(classified(s, d)), M), sql("SELECT * FROM dominant")),
@@ -498,11 +516,7 @@ Q: dict[str, tuple] = {
     "value_drift_prefix": (_pair(drift.value_drift_prefix), sql("SELECT tag, norm_a, norm_b, 'one is a prefix of the other' AS reason FROM near WHERE r1")),
     "value_drift_typo": (_pair(drift.value_drift_typo), sql("SELECT tag, norm_a, norm_b, 'differs by one character' AS reason FROM near WHERE r2")),
     "value_drift_pairs": (_find(drift.value_drift_pairs), sql(f"SELECT {F_COLS} FROM pairs")),
-    "drift_findings": (_all_drift, sql(
-        f"SELECT {F_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY type, tag, members ORDER BY stage, position, reason) AS k FROM "
-        f"(SELECT type, tag, reason, members, stage, position FROM kd0 WHERE source = 'export-3' UNION ALL SELECT type, tag, reason, "
-        f"members, stage, position FROM kd1 WHERE source = 'export-3' UNION ALL SELECT * FROM variants UNION ALL SELECT * FROM aliases "
-        f"UNION ALL SELECT * FROM pairs)) WHERE k = 1")),
+    "drift_findings": (_all_drift, sql(f"SELECT source, {F_COLS} FROM found_s")),
     "earliest_finding": (lambda s, d: _joined(drift.earliest_finding(
         drift.key_drift_normalized(tables.event_headers(s, d)).unionByName(drift.key_drift_synonyms(tables.event_headers(s, d))),
         ["source", "members"]

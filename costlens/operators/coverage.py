@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions.policy import DIVERGENCE_POINTS, NO_SERVICE, Mapping, Policy
-from costlens.functions.scalars import grade, grade_label, is_placeholder, normalize_currency, normalize_value, pct, round2
-from costlens.operators.lines import line_aggregates
+from costlens.functions.scalars import grade, grade_label, is_placeholder, normalize_value, pct, round2
+from costlens.operators.lines import currency_guard, has_cost, line_totals, mapped_tag
 
 MONEY = "decimal(38,2)"
 
@@ -19,9 +20,15 @@ def _sum(condition=None):
     return F.coalesce(F.sum(c if condition is None else F.when(condition, c)), F.lit(0)).cast(MONEY)
 
 
-def resource_totals(resources: DataFrame, *more) -> DataFrame:
-    """One row of counts and sums over all resources; more: further aggregates."""
-    return resources.agg(
+def _marks(resources: DataFrame) -> list[Column]:
+    """What each source maps, where there are several."""
+    return [F.min(c).alias(c) for c in resources.columns if c == "mapped"]
+
+
+def resource_totals(resources: DataFrame, *more: Column, by: Sequence[str] = ()) -> DataFrame:
+    """One row of counts and sums over all resources (of each group by); more: further aggregates."""
+    return resources.groupBy(*by).agg(
+        *_marks(resources),
         F.count("*").alias("analyzed_resources"),
         F.count_if("compliant").alias("compliant_count"),
         F.count_if(~F.col("compliant")).alias("non_compliant_count"),
@@ -32,8 +39,8 @@ def resource_totals(resources: DataFrame, *more) -> DataFrame:
     )
 
 
-def _scores(totals: DataFrame, mapping: Mapping) -> DataFrame:
-    has = F.lit(bool(mapping.roles.get("cost")))
+def _scores(totals: DataFrame, mapping: Mapping, policy: Policy = Policy()) -> DataFrame:
+    has = F.lit(bool(mapping.roles.get("cost"))) & has_cost(totals, policy)
     out = totals.withColumn(
         "spend_score", F.when(has & (F.col("total") > 0), pct(F.col("compliant_cost"), F.col("total")))
     ).withColumn("resource_score", pct(F.col("compliant_count"), F.col("analyzed_resources")))
@@ -60,20 +67,28 @@ def grade_divergence(resources: DataFrame, mapping: Mapping) -> DataFrame:
     return s.select("spend_score", "resource_score", apart.alias("diverges"), F.when(apart & (gap > 0), "spend").when(apart, "resources").alias("higher"))
 
 
-def _placeholder_cells(resources: DataFrame, mapping: Mapping, policy: Policy) -> DataFrame:
+def _held(resources: DataFrame, mapping: Mapping, policy: Policy) -> Column:
+    """The normalised placeholders of a resource, one for each tag that has one."""
     tags = mapping.tracked(policy)
-    cells = F.array(*[F.struct(F.lit(k).alias("tag"), F.col(k).alias("raw")) for k in tags]) if tags else F.array().cast("array<struct<tag:string,raw:string>>")
-    return resources.select("rkey", F.explode(cells).alias("c")).select("rkey", "c.tag", "c.raw").where(is_placeholder(F.col("raw"), policy.null_tokens)).withColumn("value", normalize_value(F.col("raw")))
+    cells = F.array(*[F.when(is_placeholder(F.col(k), policy.null_tokens), normalize_value(F.col(k))) for k in tags]) if tags else F.array().cast("array<string>")
+    return F.filter(cells, lambda v: v.isNotNull())
 
 
-def placeholder_values(resources: DataFrame, mapping: Mapping, policy: Policy = Policy()) -> DataFrame:
-    cells = _placeholder_cells(resources, mapping, policy)
-    return cells.groupBy("value").agg(F.count("*").alias("occurrences"), F.countDistinct("rkey").alias("resources")).orderBy(F.desc("occurrences"), "value")
+def placeholder_values(resources: DataFrame, mapping: Mapping, policy: Policy = Policy(), by: Sequence[str] = ()) -> DataFrame:
+    """value, occurrences, resources: a resource is one row, so its distinct values are found in the row, and both are plain counts."""
+    one = resources.select(*by, _held(resources, mapping, policy).alias("held"))
+    one = one.select(*by, "held", F.explode(F.array_distinct("held")).alias("value"))
+    times = F.size(F.filter("held", lambda v: v == F.col("value"))).cast("long")
+    return one.groupBy(*by, "value").agg(F.sum(times).alias("occurrences"), F.count("*").alias("resources")).orderBy(*by, F.desc("occurrences"), "value")
 
 
-def placeholder_totals(resources: DataFrame, mapping: Mapping, policy: Policy = Policy()) -> DataFrame:
+def placeholder_totals(resources: DataFrame, mapping: Mapping, policy: Policy = Policy(), by: Sequence[str] = ()) -> DataFrame:
     """All occurrences and the exact union of the resources that have one."""
-    return _placeholder_cells(resources, mapping, policy).agg(F.count("*").alias("occurrences"), F.countDistinct("rkey").alias("resources"))
+    return resources.groupBy(*by).agg(*_placeholders(F.size(_held(resources, mapping, policy)).cast("long"), "occurrences", "resources"))
+
+
+def _placeholders(held: Column, occurrences: str, resources: str) -> list[Column]:
+    return [F.coalesce(F.sum(held), F.lit(0).cast("long")).alias(occurrences), F.count_if(held > 0).alias(resources)]
 
 
 def solo_recoverable(resources: DataFrame) -> DataFrame:
@@ -81,10 +96,11 @@ def solo_recoverable(resources: DataFrame) -> DataFrame:
     return resources.where(F.size("missing") == 1).groupBy(F.get("missing", F.lit(0)).alias("tag")).agg(round2(_sum()).alias("solo_cost"))
 
 
-def tag_coverage(resources: DataFrame, mapping: Mapping, policy: Policy = Policy()) -> DataFrame:
-    """One row for each tracked tag, in policy order (position)."""
+def tag_coverage(resources: DataFrame, mapping: Mapping, policy: Policy = Policy(), by: Sequence[str] = ()) -> DataFrame:
+    """One row for each tracked tag, in policy order (position); of a group by for the tags that it maps."""
     tags = mapping.tracked(policy)
     label = {t.key: t.label for t in policy.tags}
+    place = {t.key: i for i, t in enumerate(policy.tags)}
     cost = F.coalesce("cost", F.lit(0).cast("decimal(18,2)"))
     has = bool(mapping.roles.get("cost"))
     # All tags in one pass: an aggregate for each tag, then one row to a row for each tag.
@@ -94,51 +110,57 @@ def tag_coverage(resources: DataFrame, mapping: Mapping, policy: Policy = Policy
         F.count_if(is_placeholder(F.col(k), policy.null_tokens)).alias(f"held_{k}"),
         F.coalesce(F.sum(F.when((F.size("missing") == 1) & (F.get("missing", F.lit(0)) == k), cost)), F.lit(0)).cast(MONEY).alias(f"solo_{k}"),
     )]
-    one = resources.agg(F.count("*").alias("n"), F.coalesce(F.sum(cost), F.lit(0)).cast(MONEY).alias("total"), *per_tag)
+    one = resources.groupBy(*by).agg(*_marks(resources), F.count("*").alias("n"), F.coalesce(F.sum(cost), F.lit(0)).cast(MONEY).alias("total"), *per_tag)
+    has = F.lit(has) & has_cost(one, policy)
     rows = F.array(*[
-        F.struct(
+        F.when(mapped_tag(one, place[k]), F.struct(
             F.lit(i).alias("position"), F.lit(k).alias("tag"), F.lit(label[k]).alias("label"), F.col(f"with_{k}").alias("w"),
             F.col(f"cost_{k}").alias("c"), F.col(f"held_{k}").alias("h"), F.col(f"solo_{k}").alias("s")
-        ) for i,
+        )) for i,
         k in enumerate(tags)
     ])
-    return one.select("n", "total", F.explode(rows).alias("r")).select(
-        "r.position", "r.tag", "r.label",
+    return one.select(*by, "n", "total", has.alias("has"), F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select(
+        *by, "r.position", "r.tag", "r.label",
         pct(F.col("r.w"), F.col("n")).alias("resource_pct"),
-        F.when(F.lit(has) & (F.col("total") > 0), pct(F.col("r.c"), F.col("total"))).alias("cost_pct"),
+        F.when(F.col("has") & (F.col("total") > 0), pct(F.col("r.c"), F.col("total"))).alias("cost_pct"),
         (F.col("n") - F.col("r.w")).alias("missing_count"),
         F.col("r.h").alias("placeholder_count"),
-        F.when(F.lit(has), round2(F.col("r.s"))).alias("solo_recoverable_cost"),
+        F.when(F.col("has"), round2(F.col("r.s"))).alias("solo_recoverable_cost"),
     )
 
 
-def service_breakdown(resources: DataFrame) -> DataFrame:
+def service_breakdown(resources: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     bad = ~F.col("compliant")
-    rows = resources.groupBy(F.coalesce("service", F.lit(NO_SERVICE)).alias("service")).agg(
+    rows = resources.groupBy(*by, F.coalesce("service", F.lit(NO_SERVICE)).alias("service")).agg(
         round2(_sum()).alias("total_cost"), round2(_sum(bad)).alias("unallocated_cost"), F.count("*").alias("resource_count"), F.count_if(bad).alias("non_compliant_count")
     )
-    return rows.orderBy(F.desc("unallocated_cost"), "service")
+    return rows.orderBy(*by, F.desc("unallocated_cost"), "service")
 
 
-def audit_summary(classified: DataFrame, resources: DataFrame, mapping: Mapping, policy: Policy = Policy(), limit: int = 5000) -> DataFrame:
-    """One row: counts, costs, both scores and grades, line totals, placeholder totals, currencies. With several currencies the scores are null and refused is true: amounts are never added across currencies."""
+def audit_summary(classified: DataFrame, resources: DataFrame, mapping: Mapping, policy: Policy = Policy(), limit: int = 5000, by: Sequence[str] = ()) -> DataFrame:
+    """One row (of each group by): counts, costs, both scores and grades, line totals, placeholder totals, currencies. With several currencies the scores are null and refused is true: amounts are never added across currencies."""
     held = [is_placeholder(F.col(k), policy.null_tokens).cast("long") for k in mapping.tracked(policy)]
     per_resource = reduce(lambda a, b: a + b, [F.coalesce(h, F.lit(0).cast("long")) for h in held], F.lit(0).cast("long"))
-    placeholders = [F.coalesce(F.sum(per_resource), F.lit(0).cast("long")).alias("placeholder_count"), F.count_if(per_resource > 0).alias("placeholder_resources")]
-    found = F.array_sort(F.collect_set(normalize_currency(F.col("currency"))))
-    of_lines = classified.agg(*line_aggregates(), F.array_join(found, ",").alias("currencies"), (F.size(found) > 1).alias("refused"))
-    # Two one-row tables side by side: all resources and all lines are each read once.
-    one = _scores(resource_totals(resources, *placeholders), mapping).crossJoin(of_lines)
+    totals = resource_totals(resources, *_placeholders(per_resource, "placeholder_count", "placeholder_resources"), by=by)
+    of_lines, guard = line_totals(classified, by), currency_guard(classified, by)
+    if by:  # a group may have lines but no resource
+        marks = classified.groupBy(*by).agg(*_marks(classified)) if _marks(classified) else None
+        totals = totals.drop("mapped")
+        one = of_lines.join(totals, list(by), "left").fillna(0).join(guard, list(by), "left").fillna({"currencies": "", "refused": False})
+        one = one.join(marks, list(by)) if marks is not None else one
+    else:  # one-row tables side by side
+        one = totals.crossJoin(of_lines).crossJoin(guard)
+    one = _scores(one, mapping, policy)
     fine = ~F.col("refused")
     return one.select(
-        "total_rows", "analyzed_resources", "compliant_count", "non_compliant_count", F.when(fine, F.col("total_cost")).alias("total_cost"), F.when(fine, F.col("unallocated_cost")).alias("unallocated_cost"),
+        *by, "total_rows", "analyzed_resources", "compliant_count", "non_compliant_count", F.when(fine, F.col("total_cost")).alias("total_cost"), F.when(fine, F.col("unallocated_cost")).alias("unallocated_cost"),
         F.when(fine, F.col("spend_score")).alias("spend_score"), F.when(fine, F.col("resource_score")).alias("resource_score"), F.when(fine, grade(F.col("spend_score"))).alias("spend_grade"), F.when(fine, grade(F.col("resource_score"))).alias("resource_grade"),
         "credit_count", round2(F.col("credit_total")).alias("credit_total"), "netted_count", "negative_count", "untaggable_count", round2(F.col("untaggable_cost")).alias("untaggable_cost"), "cost_missing_count",
         (F.col("kept_lines") - F.col("analyzed_resources")).alias("merged_lines"), "placeholder_count", "placeholder_resources", (F.col("analyzed_resources") > limit).alias("truncated"), "currencies", "refused",
     )
 
 
-def spend_composition(summary: DataFrame) -> DataFrame:
+def spend_composition(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """part, amount, share (percent of all parts); empty parts are left out."""
     a = F.greatest(F.lit(0.0), F.col("total_cost") - F.col("unallocated_cost"))
     rows = F.array(
@@ -147,12 +169,12 @@ def spend_composition(summary: DataFrame) -> DataFrame:
         F.struct(F.lit("untaggable").alias("part"), F.greatest(F.lit(0.0), F.col("untaggable_cost")).alias("amount"))
     )
     whole = a + F.col("unallocated_cost") + F.greatest(F.lit(0.0), F.col("untaggable_cost"))
-    return summary.select(whole.alias("whole"), F.explode(rows).alias("r")).where((F.col("r.amount") > 0) & (F.col("whole") > 0)).select(
-        "r.part", round2(F.col("r.amount")).alias("amount"), pct(F.col("r.amount"), F.col("whole")).alias("share")
+    return summary.select(*by, whole.alias("whole"), F.explode(rows).alias("r")).where((F.col("r.amount") > 0) & (F.col("whole") > 0)).select(
+        *by, "r.part", round2(F.col("r.amount")).alias("amount"), pct(F.col("r.amount"), F.col("whole")).alias("share")
     )
 
 
-def data_quality_notes(summary: DataFrame) -> DataFrame:
+def data_quality_notes(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """note, count, amount for each line counter that is not 0."""
     none = F.lit(None).cast("double")
     note = lambda name, count, amount: F.struct(F.lit(name).alias("note"), F.col(count).cast("long").alias("count"), amount.alias("amount"))
@@ -161,4 +183,4 @@ def data_quality_notes(summary: DataFrame) -> DataFrame:
         note("netted", "netted_count", none), note("negative_resources", "negative_count", none),
         note("cost_missing", "cost_missing_count", none), note("merged_lines", "merged_lines", none)
     )
-    return summary.select(F.explode(rows).alias("r")).select("r.*").where(F.col("count") > 0)
+    return summary.select(*by, F.explode(rows).alias("r")).select(*by, "r.*").where(F.col("count") > 0)

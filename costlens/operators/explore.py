@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +15,26 @@ def _cost() -> Column:
     return F.coalesce("cost", F.lit(0).cast("decimal(18,2)"))
 
 
-def top_offenders(resources: DataFrame, limit: int = 100) -> DataFrame:
-    return resources.where(~F.col("compliant")).orderBy(_cost().desc(), "first_line").limit(limit)
+def _first(rows: DataFrame, limit: int, by: Sequence[str], *order: Column) -> DataFrame:
+    """The first rows in order, of each group by; groups are cut before they are shuffled."""
+    if not by:
+        return rows.orderBy(*order).limit(limit)
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= limit).drop("nth")
+
+
+def top_offenders(resources: DataFrame, limit: int = 100, by: Sequence[str] = ()) -> DataFrame:
+    return _first(resources.where(~F.col("compliant")), limit, by, _cost().desc(), F.col("first_line"))
 
 
 def top_resources(resources: DataFrame, limit: int = 5000) -> DataFrame:
     return resources.orderBy(_cost().desc(), "first_line").limit(limit)
 
 
-def fix_first(resources: DataFrame, limit: int = 20, within: int = 100, least: float = 0.01) -> DataFrame:
+def fix_first(resources: DataFrame, limit: int = 20, within: int = 100, least: float = 0.01, by: Sequence[str] = ()) -> DataFrame:
     """The costliest offenders worth fixing with their missing tags, and how many of the first offenders are below least."""
-    # The window is over the first offenders only, within (100) rows at most.
-    first = top_offenders(resources, within).withColumn("negligible", F.count_if(_cost() < least).over(Window.partitionBy(F.lit(0))))
-    return first.where(_cost() >= least).orderBy(_cost().desc(), "first_line").limit(limit)
+    # The window is over the first offenders only, within (100) rows a group at most.
+    first = top_offenders(resources, within, by).withColumn("negligible", F.count_if(_cost() < least).over(Window.partitionBy(*(by or [F.lit(0)]))))
+    return _first(first.where(_cost() >= least), limit, by, _cost().desc(), F.col("first_line"))
 
 
 def report_offenders(resources: DataFrame, limit: int = 10) -> DataFrame:

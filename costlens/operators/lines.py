@@ -6,7 +6,9 @@ for each mapped tag column, tags_json. Unmapped roles are null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costlens.functions.policy import Mapping, Policy
@@ -14,6 +16,19 @@ from costlens.functions.scalars import is_null_token, is_untaggable_charge, norm
 
 ROLES = {"resource_id": "resourceId", "service": "service", "provider": "provider", "region": "region", "cost_raw": "cost", "currency": "currency", "charge_type": "chargeType"}
 
+#: Currencies that the guard names.
+CURRENCIES = 50
+
+
+def mapped_tag(rows: DataFrame, k: int) -> Column:
+    """Whether the source of a row maps the k-th tag of the policy. Rows of many exports say so in the bits of ``mapped``; rows of one export have only mapped tags."""
+    return F.col("mapped").bitwiseAND(1 << k) != 0 if "mapped" in rows.columns else F.lit(True)
+
+
+def has_cost(rows: DataFrame, policy: Policy) -> Column:
+    """Whether the source of a row maps a cost column."""
+    return mapped_tag(rows, len(policy.tags))
+
 
 def to_canonical(df: DataFrame, mapping: Mapping, line_no: str | None = None) -> DataFrame:
     """Source columns under canonical names. Without a line_no column lines are numbered after the scan: unique, in order inside a file split, not gapless."""
@@ -36,7 +51,7 @@ def classify_lines(lines: DataFrame, mapping: Mapping, policy: Policy = Policy()
     untaggable = is_untaggable_charge(F.col("charge_type")) if mapping.roles.get("chargeType") else F.lit(False)
     return out.select(
         "*",
-        (F.col("cost").isNull() if mapping.roles.get("cost") else F.lit(False)).alias("cost_missing"),
+        (F.col("cost").isNull() & has_cost(lines, policy) if mapping.roles.get("cost") else F.lit(False)).alias("cost_missing"),
         has_id.alias("has_id"),
         untaggable.alias("untaggable"),
         F.when(untaggable, "untaggable").when(negative & ~has_id, "credit").when(negative, "netted").otherwise("usage").alias("bucket"),
@@ -65,16 +80,26 @@ def line_aggregates() -> list[Column]:
     ]
 
 
-def line_totals(classified: DataFrame) -> DataFrame:
-    """One row of counts and sums over all lines. merged lines are kept lines less resources: see audit_summary."""
-    return classified.agg(*line_aggregates())
+def line_totals(classified: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row of counts and sums over all lines (of each group by). merged lines are kept lines less resources: see audit_summary."""
+    return classified.groupBy(*by).agg(*line_aggregates())
 
 
-def currency_inventory(lines: DataFrame) -> DataFrame:
+def currency_inventory(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct normalised currencies of all lines."""
-    return lines.select(normalize_currency(F.col("currency")).alias("currency")).where(F.col("currency").isNotNull()).distinct()
-
-
-def currency_guard(lines: DataFrame) -> DataFrame:
-    """One row: the currencies, sorted, and whether the audit must be refused as there are several."""
-    return currency_inventory(lines).agg(F.array_join(F.array_sort(F.collect_set("currency")), ",").alias("currencies"), (F.count("*") > 1).alias("refused"))
+    return lines.select(*by, normalize_currency(F.col("currency")).alias("currency")).where(F.col("currency").isNotNull()).distinct()
+
+
+def currency_guard(lines: DataFrame, by: Sequence[str] = (), names: int = CURRENCIES) -> DataFrame:
+    """One row (for each group by that has a currency): the currencies, sorted, and whether the audit must be refused as there are several.
+
+    At most ``names`` of them are named, the first ones, with the number of the others: a column of other texts than
+    currencies does not fill a row. The distinct texts are counted where they are, and cut to the first before they meet.
+    """
+    found = currency_inventory(lines, by)
+    nth = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("currency"))
+    first = found.withColumn("nth", nth).where(F.col("nth") <= names).groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("currency")), ",").alias("first"))
+    count = found.groupBy(*by).agg(F.count("*").alias("n"))
+    both = first.join(count, list(by)) if by else first.crossJoin(count)  # one row each
+    more = F.when(F.col("n") > names, F.concat(F.lit(" and "), (F.col("n") - names).cast("string"), F.lit(" more"))).otherwise("")
+    return both.select(*by, F.concat("first", more).alias("currencies"), (F.col("n") > 1).alias("refused"))

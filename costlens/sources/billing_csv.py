@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -129,6 +131,14 @@ def cell_table(df: DataFrame, source: str = "file") -> DataFrame:
     return df.select(F.lit(source).alias("source"), F.col("line_no").alias("line"), F.explode(cells).alias("x")).select("source", "line", "x.position", "x.value")
 
 
+def cells_by_source(df: DataFrame, names: list[str], headers: DataFrame) -> DataFrame:
+    """source, line, position, value of the cells of lines_of many files, each at its place in its own file (of equal names the first)."""
+    first = {n: i for i, n in reversed(list(enumerate(names)))}
+    cells = F.array(*[F.struct(F.lit(n).alias("header"), F.col(f"c{i}").alias("value")) for n, i in first.items()])
+    at = headers.groupBy("source", "header").agg(F.min("position").alias("position"))
+    return df.select("source", F.col("line_no").alias("line"), F.explode(cells).alias("x")).select("source", "line", "x.*").join(at, ["source", "header"]).select("source", "line", "position", "value")
+
+
 def with_headers(df: DataFrame, names: list[str]) -> DataFrame:
     """Columns by header; of equal names the first."""
     first = {n: i for i, n in reversed(list(enumerate(names)))}
@@ -173,7 +183,26 @@ def read_resources_csv(spark: SparkSession, path: str, schema: T.StructType) ->
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) if kind == "string" else F.col(c) for c, kind in back.dtypes])
 
 
-def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table for each part of the report."""
+def write_report(tables: dict[str, DataFrame], path: str) -> str:
+    """One Parquet table for each part of the report, in a new folder; then the manifest that names them. Returns the version.
+
+    What fails before the manifest is there leaves the report before as it is: read_report reads the parts of the
+    newest manifest, so never parts of two reports.
+    """
+    root, version = path.rstrip("/"), f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        df.write.parquet(f"{root}/parts/{version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(version, name) for name in tables], "version string, part string").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return version
+
+
+def read_report(spark: SparkSession, path: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The parts of the newest report under path, or of the version given."""
+    root = path.rstrip("/")
+    manifest = spark.read.schema("version string, part string").parquet(f"{root}/manifest")
+    version = version or manifest.agg(F.max("version")).first()[0]
+    names = sorted(r["part"] for r in manifest.where(F.col("version") == version).collect())
+    if not names:
+        raise ValueError(f"no report {version} in {path}")
+    return {name: spark.read.parquet(f"{root}/parts/{version}/{name}") for name in names}

@@ -12,7 +12,7 @@ from costlens.functions.policy import Mapping
 
 #: Events as billing lines: ids in mixed case, costs in several notations, tags that differ by resource and have gaps.
 EVENT_LINES = """
-SELECT event_id + 1 AS line_no,
+SELECT event_id + 1 AS line_no, concat('export-', CAST(user_id % 7 AS STRING)) AS source,
   CASE WHEN event_id % 23 = 0 THEN 'N/A' WHEN event_id % 29 = 0 THEN '' WHEN event_id % 2 = 1 THEN concat('RES-', CAST(user_id AS STRING)) ELSE concat('Res-', CAST(user_id AS STRING)) END AS resource_id,
   CASE WHEN event_id % 31 = 0 THEN '' ELSE event_type END AS service,
   CASE WHEN user_id % 3 = 0 THEN 'aws' WHEN user_id % 3 = 1 THEN 'azure' ELSE '' END AS provider,
@@ -44,7 +44,7 @@ def _from_events(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical lines from the events table."""
+    """Canonical lines from the events table, of seven exports (source)."""
     return _from_events(spark, sf_dir, EVENT_LINES)
 
 
