@@ -83,7 +83,7 @@ class Block:
             else:
                 near = np.arange(len(saved))
             near = near[self.ids[near] != qid]
-            score = self.x[near] @ vec
+            score = (self.x[near] * vec).sum(axis=1)  # row by row, so equal vectors have equal scores wherever they stand
             best = np.lexsort((self.ids[near], -score))[:k]
             yield qid, self.ids[near][best], score[best]
 
