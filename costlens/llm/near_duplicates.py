@@ -353,8 +353,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     the smallest doc_id among all documents whose texts hang together by links. n_links: how many other texts the text
     is linked with. Copies of a text share both. Null, empty and blank texts have no shingles, hence no links; such
     equal texts are copies of each other. A null doc_id is never a class_id unless all of its class are null. A pair at
-    the threshold is missed with a chance of 1 - recall at most, a closer one with less.
+    the threshold is missed with a chance of 1 - recall at most, a closer one with less; a threshold at which the
+    shortest prefixes cannot reach the recall (below 0.74 for 0.998) raises ValueError. Very long texts are compared
+    whole; an empty table gives no rows.
     """
+    least = (1 - (1 - recall) ** (1 / TREES)) ** (1 / MIN_DEPTH)
+    if threshold < least:
+        raise ValueError(f"a recall of {recall} is reached from a threshold of {least:.3f} on: the shortest prefixes of all trees meet fewer pairs at {threshold}")
     sig = written(_signatures(docs, doc_id, text))
     active, nodes, members = _forest(sig, threshold, recall)
     sets = written(_sets(docs, active, doc_id, text))
