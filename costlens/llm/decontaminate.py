@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm.common import ASCII_LOWER, U64, as_bytes, grams, inside_documents, joined, per_document, prefix_sums, slices, spans_hash, tokens
+from costlens.llm.common import ASCII_LOWER, U64, as_bytes, grams, inside_documents, joined, per_document, prefix_sums, slices, spans_hash, tokens, written
 
 WINDOW = 10
 #: Windows broadcast at once: some 100 bytes each, so some 50 MB.
@@ -95,12 +95,16 @@ def _scan_slice(texts: list[bytes], found: WindowSet) -> tuple[np.ndarray, np.nd
         g = grams(h, n)
         at = found.find(n, g)
         at = at[inside_documents(first, n)[at]]
-        for i in at.tolist():
-            words = b" ".join(raw[start[k] : end[k]] for k in range(i, i + n))
-            if own := found.items.get(words):  # verified
-                marks[i] += 1
-                marks[i + n] -= 1
-                items[int(np.searchsorted(first, i, "right")) - 1].update(own)
+        # Each distinct hash is verified once in the slice, at its first place; the rest is marked by arrays.
+        _, place, which = np.unique(g[at], return_index=True, return_inverse=True)
+        own = [found.items.get(b" ".join(raw[start[k] : end[k]] for k in range(i, i + n))) for i in at[place].tolist()]
+        good = np.array([x is not None for x in own], bool)[which] if len(at) else np.zeros(0, bool)
+        at, which = at[good], which[good]
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + n, -1)
+        doc = np.searchsorted(first, at, "right") - 1
+        for d, w in np.unique(np.column_stack((doc, which)), axis=0).tolist():
+            items[d].update(own[w])
     return start, end, first, np.cumsum(marks)[:-1] > 0, items
 
 
@@ -116,7 +120,7 @@ def scan_documents(
     document rows give a row each; item ids are compared as strings and null is the empty string.
     """
     spark = docs.sparkSession
-    windows = item_windows(benchmark, item_id, "text", window)
+    windows = written(item_windows(benchmark, item_id, "text", window))  # the benchmark is read once, however many blocks there are
     total = windows.count()
     blocks = max(1, -(-total // max_windows))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(blocks)))
