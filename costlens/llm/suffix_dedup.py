@@ -238,7 +238,17 @@ class SuffixIndex:
         ).coalesce(1).write.mode("append").parquet(f"{self.path}/family")
 
     def spans(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
-        """As repeated_spans, for all documents of the index: those of earlier batches too lose what a later one repeats."""
+        """As repeated_spans, for all documents of the index: those of earlier batches too lose what a later one repeats.
+
+        docs are all documents of all batches: windows at the end of a match are counted among them. Others raise
+        ValueError, known by their bytes.
+        """
+        size, held = text_bytes(docs, text), sum(b for _, b in self.levels)
+        if size != held:
+            raise ValueError(f"the documents have {size} bytes, those of the index {held}: give all of the index's documents and no others")
+        return self._spans(docs, doc_id, text, with_kept)
+
+    def _spans(self, docs: DataFrame, doc_id: str, text: str, with_kept: bool) -> DataFrame:
         columns = {"doc_id": F.col(doc_id), "text": F.coalesce(F.col(text), F.lit(""))}
         plan, job = Plan(docs, columns, text, buckets=self.buckets), self.job
         runs = plan.ask(job.ask_runs, 0, levels=self.rows(self.levels), value=job.codes)
@@ -270,7 +280,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     index = SuffixIndex.create(spark, shared_dir(spark), text_bytes(docs, text), width, core)
     for k in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(batches)) == k), text)
-    return index.spans(docs, doc_id, text, with_kept)
+    return index._spans(docs, doc_id, text, with_kept)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
