@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from costlens.functions import scalars as S
 from costlens.functions.policy import DEFAULT_TAGS, ENV_ALIASES, NULL_TOKENS, RESOURCE_LABELS, ROLE_SYNONYMS, SPEND_LABELS, UNTAGGABLE, Mapping
 from costlens.operators import coverage, drift, explore, lines, mapping, resources
+from costlens.operators.search_index import ResourceIndex
 from costlens.sources import billing_csv, tables
 from costlens.sources.shared import shared_dir, written
 
@@ -495,6 +496,10 @@ Q: dict[str, tuple] = {
         _res(lambda t: explore.search_resources(t, " ES-2")),
         sql(f"SELECT {RES} FROM res WHERE contains(lower(id), 'es-2') OR contains(lower(coalesce(service, '')), 'es-2')")
     ),
+    "search_index": (
+        lambda s, d: _joined(ResourceIndex.build(table(s, d), shared_dir(s), 200).search(" ES-2").select(*RES_COLUMNS)),
+        sql(f"SELECT {RES} FROM res WHERE contains(lower(id), 'es-2') OR contains(lower(coalesce(service, '')), 'es-2')")
+    ),
     "filter_status": (_res(lambda t: explore.filter_status(t, "compliant")), sql(f"SELECT {RES} FROM res WHERE compliant")),
     "filter_missing_tag": (_res(lambda t: explore.filter_missing_tag(t, "owner")), sql(f"SELECT {RES} FROM res WHERE list_contains(res.missing, 'owner')")),
     "filter_service": (_res(lambda t: explore.filter_service(t, "(no service)")), sql(f"SELECT {RES} FROM res WHERE service IS NULL")),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from costlens.functions.policy import ROLE_SYNONYMS, Mapping, Policy
 from costlens.functions.scalars import normalize_header, parse_tag_object, plain_header, strip_tag_prefix, stripped
 from costlens.operators.drift import synonym_table
-from costlens.sources.shared import written
 
 JSON_HEADERS = ["tags", "resourcetags", "labels"]
 
@@ -48,14 +47,13 @@ def map_tags(headers: DataFrame, cells: DataFrame, policy: Policy = Policy()) ->
     best = lambda rows: best_per_group(rows, ["source", "tag"], F.desc("filled"), "position")
     if not _overlapping(policy):
         return best(found).select("source", "tag", "position", "header")
-    # Tags in policy order, each from the headers that are left: as many steps as the policy has tags.
-    found, out = written(found), None
-    for k in range(len(policy.tags)):
-        rows = found.where(F.col("tag_rank") == k)
-        rows = rows.join(out.select("source", "header"), ["source", "header"], "left_anti") if out is not None else rows
-        chosen = best(rows).select("source", "tag", "position", "header")
-        out = chosen if out is None else out.unionByName(chosen)
-    return out
+    # Tags in policy order, each from the headers that are left: one fold over a source's candidates, best first.
+    kind = "array<struct<tag:string,position:int,header:string>>"
+    candidates = F.array_sort(F.collect_list(F.struct("tag_rank", (-F.col("filled")).alias("empty"), "position", "header", "tag")))
+    free = lambda chosen, x: ~F.exists(chosen, lambda c: (c.tag == x.tag) | (c.header == x.header))
+    take = lambda chosen, x: F.when(free(chosen, x), F.concat(chosen, F.array(F.struct(x.tag.alias("tag"), x.position.alias("position"), x.header.alias("header"))))).otherwise(chosen)
+    chosen = found.groupBy("source").agg(F.aggregate(candidates, F.array().cast(kind), take).alias("chosen"))
+    return chosen.select("source", F.explode("chosen").alias("c")).select("source", "c.tag", "c.position", "c.header")
 
 
 def _free(headers: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """What must stay bounded however the data are: drift pairs of large groups, currencies that are none, hot keys."""
 
 import itertools
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from costlens.operators import drift, lines
+from costlens.functions.policy import Policy, Tag
+from costlens.operators import drift, explore, lines, mapping
+from costlens.operators.search_index import ResourceIndex
 
 
 def table(spark, names, tag="team"):
@@ -79,3 +82,40 @@ def test_many_texts_in_the_currency_column(spark):
     got = {r["source"]: (r["currencies"], r["refused"]) for r in lines.currency_guard(rows, ["source"], 3).collect()}
     assert got == {"a": ("CELL 0,CELL 1,CELL 10 and 29997 more", True), "b": ("USD", False), "d": ("EUR,USD", True)}
     assert tuple(lines.currency_guard(rows.where("source = 'c'")).first()) == ("", False)
+
+
+def test_search_by_trigrams_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"r{k}", f"{rng.choice(['i', 'Vol', 'ARN:aws'])}-{rng.randrange(10**6):06x}-{k}", rng.choice([None, "Compute", "Object Storage", "ñandú"]), k) for k in range(3000)]
+    rows += [("x", "", None, 1), ("y", "ab", "s", 2)]
+    resources = spark.createDataFrame(rows, "rkey string, id string, service string, first_line long").repartition(3)
+    index = ResourceIndex.build(resources, f"file://{tmp_path}/index", 100)
+    again = ResourceIndex(spark, f"file://{tmp_path}/index")
+    for text in ("", " ", "i", "ab", "VOL-", "arn:aws-0", " storage", "ñandú", "-2999", "no such text", "e s", "compute", rows[7][1], "%_", "-1"):
+        want = sorted(r["rkey"] for r in explore.search_resources(resources, text).collect())
+        assert sorted(r["rkey"] for r in again.search(text).collect()) == want, text
+    assert len(index.buckets(rows[7][1])) == 1 and len(index.buckets("vol-")) < 20 and index.buckets("no such text") == []
+    none = ResourceIndex.build(resources.limit(0), f"file://{tmp_path}/none")
+    assert none.search("vol").count() == 0
+
+
+def test_a_policy_of_fifty_overlapping_tags(spark):
+    """As a plain loop over tags in policy order; one plan, whatever the number of tags."""
+    rng = random.Random(5)
+    names = [f"name{k}" for k in range(60)]
+    policy = Policy(tuple(Tag(f"tag{k}", "", tuple(rng.sample(names, 4))) for k in range(50)))
+    heads = [(s, i, rng.choice(["", "tags/"]) + n) for s in ("a", "b", "c") for i, n in enumerate(rng.sample(names, 40))]
+    fills = {(s, i): rng.randrange(3) for s, i, _ in heads}
+    headers = spark.createDataFrame(heads, "source string, position int, header string")
+    cells = spark.createDataFrame([(s, k, i, "x") for (s, i), n in fills.items() for k in range(n)], "source string, line long, position int, value string")
+    want = set()
+    for source in "abc":
+        used = set()
+        for tag in policy.tags:
+            own = sorted((-fills[s, i], i, h) for s, i, h in heads if s == source and h not in used and h.removeprefix("tags/") in (tag.key, *tag.synonyms))
+            if own:
+                used.add(own[0][2])
+                want.add((source, tag.key, own[0][1], own[0][2]))
+    found = mapping.map_tags(headers, cells, policy)
+    assert set(map(tuple, found.collect())) == want and len(want) > 60
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") < 8
