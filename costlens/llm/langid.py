@@ -25,7 +25,7 @@ MAX_DOCS = 3_000
 RANGES = 16
 #: Chosen ids up to this number are broadcast to find their texts; more meet the texts by a merge join.
 BROADCAST_IDS = 500_000
-#: Each language's filter has 2**BITS slots at least, and ROOM for each n-gram of the language that has most.
+#: Each language's filter has 2**BITS slots, if the table has room, and ROOM for each n-gram of the language that has most.
 BITS, HASHES, ROOM = 20, 2, 16
 #: The table grows to 2**MOST_BITS words (128 MB); beyond that no n-gram is left out, but the corrected false positives rise.
 MOST_BITS = 24
@@ -59,7 +59,10 @@ def slots(code: np.ndarray, bits: int) -> list[np.ndarray]:
 def bits_for(n_languages: int, most_grams: int) -> int:
     """Slots, as a power of two, for filters of up to most_grams n-grams."""
     words = max(1, -(-n_languages // 64))
-    return max(BITS, min((ROOM * most_grams - 1).bit_length() if most_grams else 0, MOST_BITS - (words - 1).bit_length()))
+    most = MOST_BITS - (words - 1).bit_length()
+    if 1 << most < PAGE:
+        raise ValueError(f"{n_languages} languages: filters of so many do not fit into a table of 2**{MOST_BITS} words")
+    return min(max(BITS, (ROOM * most_grams - 1).bit_length() if most_grams else 0), most)
 
 
 class Filters:
@@ -104,7 +107,9 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text:
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     first = source.groupBy("lang", "range").agg(F.count("*").alias("n")).select("lang", "range", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < max_docs)
     nth = F.row_number().over(Window.partitionBy("lang", "range").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    near = source.select("doc_id", "lang", "range").join(F.broadcast(first), ["lang", "range"])  # max_docs ranges a language at most
+    first = written(first)  # max_docs ranges a language at most
+    first = F.broadcast(first) if first.count() <= BROADCAST_IDS else first.hint("merge")
+    near = source.select("doc_id", "lang", "range").join(first, ["lang", "range"])
     chosen = near.withColumn("nth", nth).where(F.col("nth") + F.col("before") <= max_docs).select("doc_id", "lang").distinct()
     chosen = written(chosen)
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen.hint("merge")
