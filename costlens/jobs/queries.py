@@ -21,7 +21,9 @@ M = tables.EVENT_MAPPING
 TAGS = ["owner", "team", "environment", "cost_center"]
 quote = lambda xs: ", ".join("'" + x + "'" for x in xs)
 NULLS, HELD = quote(NULL_TOKENS), quote(t for t in NULL_TOKENS if t)
-norm = lambda c: f"lower(trim(coalesce({c}, ''), ' ' || chr(9) || chr(10) || chr(13)))"
+BLANKS = " || ".join(f"chr({ord(c)})" for c in S.BLANK)
+strip = lambda c: f"trim({c}, {BLANKS})"
+norm = lambda c: "lower(" + strip(f"coalesce({c}, '')") + ")"
 r2 = lambda x: f"(floor(({x})::DOUBLE * 100 + 0.5) / 100)"
 pct = lambda a, b: f"(CASE WHEN ({b}) = 0 THEN 100.0 ELSE floor(({a})::DOUBLE / ({b})::DOUBLE * 100 * 100 + 0.5) / 100 END)"
 header_norm = lambda c: f"regexp_replace(lower({c}), '{S.HEADER_MARKS}', '', 'g')"
@@ -104,7 +106,7 @@ CHAIN: list[tuple[str, str]] = [
         {grade('spend')} AS spend_grade, {grade('resource')} AS resource_grade, credit_count, {r2('credit_total')} AS credit_total, netted_count, negatives AS negative_count, untaggable_count, {r2('untaggable_cost')} AS untaggable_cost, cost_missing_count,
         kept_lines - n AS merged_lines, occurrences AS placeholder_count, resources AS placeholder_resources, n > 5000 AS truncated, currencies, refused FROM scores, lt, held, curs"""),
     ("vals",
-        f"SELECT tag, {norm('raw')} AS norm, list_sort(list(DISTINCT trim(raw))) AS raws, arg_min(trim(raw), row(first_line, trim(raw))) AS "
+        f"SELECT tag, {norm('raw')} AS norm, list_sort(list(DISTINCT {strip('raw')})) AS raws, arg_min({strip('raw')}, row(first_line, {strip('raw')})) AS "
         f"raw, min(first_line) AS first_line FROM cells WHERE raw IS NOT NULL AND {norm('raw')} NOT IN ({NULLS}) GROUP BY 1, 2"),
     ("grouped", "SELECT *, CASE " + " ".join(f"WHEN norm IN ({quote(g)}) THEN {i}" for i, g in enumerate(ENV_ALIASES)) +
         " END AS g, regexp_replace(norm, '[0-9]+', '#', 'g') AS skel, "

@@ -23,8 +23,8 @@ SELECT event_id + 1 AS line_no, concat('export-', CAST(user_id % 7 AS STRING)) A
   CASE WHEN event_id % 7 = 0 THEN ' usd ' WHEN event_id % 47 = 0 THEN 'N/A' ELSE 'USD' END AS currency,
   CASE WHEN event_id % 53 = 0 THEN 'Tax' WHEN event_id % 53 = 1 THEN 'Credit' WHEN event_id % 53 = 2 THEN 'RI Fee' ELSE 'Usage' END AS charge_type,
   CASE WHEN user_id % 4 = 0 THEN CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE '' END WHEN event_id % 3 = 0 THEN '' ELSE concat('owner-', CAST(user_id % 10 AS STRING)) END AS tag_owner,
-  CASE user_id % 13 WHEN 0 THEN 'payments-team' WHEN 1 THEN 'team-payments' WHEN 2 THEN 'platform' WHEN 3 THEN 'plaform' WHEN 4 THEN 'CC-1042' WHEN 5 THEN 'CC-1043' WHEN 6 THEN 'Platform ' WHEN 7 THEN 'TBD' WHEN 8 THEN '' WHEN 9 THEN 'data' WHEN 10 THEN 'database' ELSE concat('squad-', CAST(user_id % 3 AS STRING)) END AS tag_team,
-  CASE user_id % 9 WHEN 0 THEN 'prod' WHEN 1 THEN 'PROD' WHEN 2 THEN 'production' WHEN 3 THEN 'dev' WHEN 4 THEN 'development' WHEN 5 THEN 'stage' WHEN 6 THEN 'unknown' WHEN 7 THEN ' prod' ELSE 'staging' END AS tag_environment,
+  CASE user_id % 13 WHEN 0 THEN 'payments-team' WHEN 1 THEN 'team-payments' WHEN 2 THEN 'platform' WHEN 3 THEN 'plaform' WHEN 4 THEN 'CC-1042' WHEN 5 THEN 'CC-1043' WHEN 6 THEN concat('Platform', chr(160), ' ') WHEN 7 THEN 'TBD' WHEN 8 THEN '' WHEN 9 THEN 'data' WHEN 10 THEN 'database' ELSE concat('squad-', CAST(user_id % 3 AS STRING)) END AS tag_team,
+  CASE user_id % 9 WHEN 0 THEN 'prod' WHEN 1 THEN 'PROD' WHEN 2 THEN 'production' WHEN 3 THEN 'dev' WHEN 4 THEN 'development' WHEN 5 THEN 'stage' WHEN 6 THEN 'unknown' WHEN 7 THEN concat(chr(160), ' prod') ELSE 'staging' END AS tag_environment,
   CASE WHEN user_id % 6 = 0 THEN '' WHEN event_id % 4 = 0 THEN '-' ELSE concat('CC-', CAST(1040 + user_id % 6 AS STRING)) END AS tag_cost_center,
   CASE WHEN event_id % 50 = 0 THEN '{"cc": "CC-77", "app": "shop"}' WHEN event_id % 50 = 1 THEN '"cc": "none","env": "prod"' WHEN event_id % 50 = 2 THEN 'null' WHEN event_id % 50 = 3 THEN '{broken' ELSE '' END AS tags_json
 FROM events

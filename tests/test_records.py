@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from costlens.sources import billing_csv, records
+from costlens.sources import billing_csv, records, shared
 
 
 def read_plainly(text, sep=","):
@@ -160,3 +160,18 @@ def test_each_file_goes_by_its_own_header(spark, tmp_path):
         assert sorted(tuple(r)[1:] for r in good.collect()) == [(1, "r1", "1", "x", None, None), (3, "r3", "3", "y", None, None), (4, "r4", "4", None, "e", "second")]
         assert sorted((r["line_no"], os.path.basename(r["source"])) for r in bad.collect()) == [(2, "a.csv"), (5, "c.csv")]
     billing_csv.MAX_FILES, billing_csv.MAX_LAYOUTS = 100_000, 1_000
+
+
+def test_shared_tables_go_with_their_scope(spark):
+    there = lambda p: os.path.exists(p.removeprefix("file://"))
+    outside = shared.shared_dir(spark)
+    with pytest.raises(KeyError), shared.shared_scope(spark):
+        paths = [shared.shared_dir(spark)]
+        spark.range(3).write.parquet(paths[0])
+        with shared.shared_scope(spark):
+            paths.append(shared.shared_dir(spark))
+            spark.range(3).write.parquet(paths[1])
+        assert there(paths[0]) and not there(paths[1])
+        raise KeyError
+    spark.range(3).write.parquet(outside)
+    assert not there(paths[0]) and there(outside)
