@@ -51,7 +51,7 @@ def depths_for(sizes: list[list[int] | None], threshold: float, recall: float) -
 def shingles(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word shingles of each text (a text of fewer words, but not none, has one of all its words), and each text's first (one more entry). Words are runs of non-blank bytes with A-Z lower-cased."""
     out, counts = [np.empty(0, U64)], [np.zeros(1, np.int64)]
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, 1 << 20):
         buf, off = joined(texts[lo:hi])
         buf = ASCII_LOWER[buf]
         start, end, first = tokens(buf, off, ~SPACE)

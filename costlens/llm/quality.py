@@ -37,7 +37,7 @@ FEATURES = [
 def statistics(texts: list[bytes]) -> np.ndarray:
     """FEATURES of each text; a text without words has zero shares."""
     out = [np.zeros((0, len(FEATURES)))]
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, 1 << 20):  # some twenty arrays of eight bytes a byte
         out.append(_slice_statistics(texts[lo:hi]))
     return np.concatenate(out)
 
