@@ -14,7 +14,10 @@ from costlens.sources.shared import written
 
 
 def audit_tables(canonical: DataFrame, headers: DataFrame, how: Mapping, policy: Policy = Policy(), by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """All parts of the report; with by (source) each part has the column and holds for each source by itself. The resource table and the summary are written once to the shared folder: other parts read them."""
+    """All parts of the report; with by (source) each part has the column and holds for each source by itself.
+
+    The resource table and the summary are written once to the shared folder: other parts read them.
+    """
     classified = lines.classify_lines(canonical, how, policy)
     table = written(resources.resource_table(classified, how, policy, by))
     summary = written(coverage.audit_summary(classified, table, how, policy, by=by))
@@ -92,7 +95,10 @@ def map_exports(headers: DataFrame, cells: DataFrame, policy: Policy = Policy())
 
 
 def canonical_of_exports(good: DataFrame, names: list[str], maps: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Canonical lines of many exports (lines_of), each by its own mapping (map_exports): with source and mapped, and for each tag the value that its source offers first: of the JSON column, then of the tag's own."""
+    """Canonical lines of many exports (lines_of), each by its own mapping (map_exports).
+
+    Besides the columns of to_canonical they have source, mapped, and the JSON keys of the source's tags.
+    """
     place = {n: i for i, n in reversed(list(enumerate(names)))}
     cells = F.array(*[F.col(f"c{i}") for i in range(len(names))])
     at = F.create_map(*[x for n, i in place.items() for x in (F.lit(n), F.lit(i))])

@@ -138,7 +138,10 @@ def service_breakdown(resources: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 def audit_summary(classified: DataFrame, resources: DataFrame, mapping: Mapping, policy: Policy = Policy(), limit: int = 5000, by: Sequence[str] = ()) -> DataFrame:
-    """One row (of each group by): counts, costs, both scores and grades, line totals, placeholder totals, currencies. With several currencies the scores are null and refused is true: amounts are never added across currencies."""
+    """One row (of each group by): counts, costs, both scores and grades, line totals, placeholder totals, currencies.
+
+    With several currencies the scores are null and refused is true: amounts are never added across currencies.
+    """
     held = [is_placeholder(F.col(k), policy.null_tokens).cast("long") for k in mapping.tracked(policy)]
     per_resource = reduce(lambda a, b: a + b, [F.coalesce(h, F.lit(0).cast("long")) for h in held], F.lit(0).cast("long"))
     totals = resource_totals(resources, *_placeholders(per_resource, "placeholder_count", "placeholder_resources"), by=by)
@@ -153,10 +156,13 @@ def audit_summary(classified: DataFrame, resources: DataFrame, mapping: Mapping,
     one = _scores(one, mapping, policy)
     fine = ~F.col("refused")
     return one.select(
-        *by, "total_rows", "analyzed_resources", "compliant_count", "non_compliant_count", F.when(fine, F.col("total_cost")).alias("total_cost"), F.when(fine, F.col("unallocated_cost")).alias("unallocated_cost"),
-        F.when(fine, F.col("spend_score")).alias("spend_score"), F.when(fine, F.col("resource_score")).alias("resource_score"), F.when(fine, grade(F.col("spend_score"))).alias("spend_grade"), F.when(fine, grade(F.col("resource_score"))).alias("resource_grade"),
-        "credit_count", round2(F.col("credit_total")).alias("credit_total"), "netted_count", "negative_count", "untaggable_count", round2(F.col("untaggable_cost")).alias("untaggable_cost"), "cost_missing_count",
-        (F.col("kept_lines") - F.col("analyzed_resources")).alias("merged_lines"), "placeholder_count", "placeholder_resources", (F.col("analyzed_resources") > limit).alias("truncated"), "currencies", "refused",
+        *by, "total_rows", "analyzed_resources", "compliant_count", "non_compliant_count",
+        *[F.when(fine, F.col(c)).alias(c) for c in ("total_cost", "unallocated_cost", "spend_score", "resource_score")],
+        *[F.when(fine, grade(F.col(f"{c}_score"))).alias(f"{c}_grade") for c in ("spend", "resource")],
+        "credit_count", round2(F.col("credit_total")).alias("credit_total"), "netted_count", "negative_count", "untaggable_count",
+        round2(F.col("untaggable_cost")).alias("untaggable_cost"), "cost_missing_count",
+        (F.col("kept_lines") - F.col("analyzed_resources")).alias("merged_lines"), "placeholder_count", "placeholder_resources",
+        (F.col("analyzed_resources") > limit).alias("truncated"), "currencies", "refused",
     )
 
 

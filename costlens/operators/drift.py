@@ -159,7 +159,10 @@ PAIR = ["tag", "norm_a", "raw_a", "line_a", "norm_b", "raw_b", "line_b", "reason
 
 
 def value_drift_token_order(values: DataFrame, by: Sequence[str] = (), most: int = MOST) -> DataFrame:
-    """Pairs of at least three characters of the same words. pairs: null, or how many pairs of norm_a or norm_b, in a group of more than most values, the row stands for."""
+    """Pairs of at least three characters of the same words.
+
+    pairs: null, or how many pairs of norm_a or norm_b, in a group of more than most values, the row stands for.
+    """
     key = lambda n: F.when((F.length(n) >= 3) & (F.size(token_set(n)) > 1), F.array(F.array_join(token_set(n), " ")))
     return _in_groups(values, key, by, TOKENS, 0, most).select(*by, *PAIR)
 
@@ -172,9 +175,10 @@ def value_drift_prefix(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def value_drift_typo(values: DataFrame, by: Sequence[str] = (), most: int = MOST) -> DataFrame:
     """Pairs of at least five characters at edit distance one: alike but for the character at one place, or for one that is left out. pairs as in value_drift_token_order."""
-    without = lambda n, mark: F.transform(F.sequence(F.lit(1), F.length(n)), lambda k: F.concat(*mark(k), F.substring(n, F.lit(1), k - 1), F.lit("\0" if mark(k) else ""), F.substring(n, k + 1, F.length(n))))
-    holes = lambda n: F.when(F.length(n) >= 5, without(n, lambda k: [k.cast("string"), F.lit(":")]))
-    cut = lambda n: F.when(F.length(n) >= 6, F.array_distinct(without(n, lambda k: [])))
+    rest = lambda n, k, gap: [F.substring(n, F.lit(1), k - 1), F.lit(gap), F.substring(n, k + 1, F.length(n))]
+    places = lambda n, form: F.transform(F.sequence(F.lit(1), F.length(n)), form)
+    holes = lambda n: F.when(F.length(n) >= 5, places(n, lambda k: F.concat(k.cast("string"), F.lit(":"), *rest(n, k, "\0"))))
+    cut = lambda n: F.when(F.length(n) >= 6, F.array_distinct(places(n, lambda k: F.concat(*rest(n, k, "")))))
     same = _in_groups(values, holes, by, TYPO, 2, most)
     return same.unionByName(_with_shorter(values, cut, 5, by, TYPO, 2)).select(*by, *PAIR)
 
@@ -197,7 +201,10 @@ def earliest_finding(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drift_findings(headers: DataFrame, resources: DataFrame, mapping: Mapping, policy: Policy = Policy(), by: Sequence[str] = ()) -> DataFrame:
-    """All findings of one export, equal ones once; headers first (stages 0 and 1), then values. With by (source) those of many exports, each for itself. The distinct values are written once: each rule reads them."""
+    """All findings of one export, equal ones once; headers first (stages 0 and 1), then values. With by (source) those of many exports, each for itself.
+
+    The distinct values are written once: each rule reads them.
+    """
     values = written(tag_values(resources, mapping, policy, by))
     keys = key_drift_normalized(headers).unionByName(key_drift_synonyms(headers, policy))
     keys = keys if by else keys.drop("source")

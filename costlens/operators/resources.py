@@ -56,7 +56,9 @@ def dominant_service(kept: DataFrame, mapping: Mapping, policy: Policy = Policy(
 
 
 def resource_rollup(kept: DataFrame, mapping: Mapping, policy: Policy = Policy(), by: Sequence[str] = ()) -> DataFrame:
-    """One row a resource (of each group by): rkey, id (first seen), service (dominant), provider and region (of the first line), cost (unparsed cells ignored; null without a cost column), line_items, first_line, and each tracked tag resolved: the first real value, else the first placeholder, else null."""
+    """One row a resource (of each group by): rkey, id (first seen), service (dominant), provider and region (of the first line),
+    cost (unparsed cells ignored; null without a cost column), line_items, first_line, and each tracked tag resolved: the
+    first real value, else the first placeholder, else null."""
     tags = mapping.tracked(policy)
     lines, marks = _per_line(kept, mapping, policy, by), [F.min(c).alias(c) for c in _marks(kept)]
     zero = F.lit(0).cast("decimal(38,12)")

@@ -94,7 +94,12 @@ def split_cells(text: Column, sep: str) -> Column:
 
 @dataclass(frozen=True)
 class Records:
-    """rows: source (file), record (from 1 in its file, blank lines not counted; 1 is the header), line_no (from 1 over the data rows of all files, file after file by path; 0 or the number before for headers), text, unclosed. catalogue: a row a split."""
+    """The records of all files.
+
+    rows: source (file), record (from 1 in its file, blank lines not counted; 1 is the header), line_no (from 1 over the
+    data rows of all files, file after file by path; a header has the number before), text, unclosed. lines: the lines
+    as they were read. catalogue: a row a split.
+    """
 
     rows: DataFrame
     lines: DataFrame
@@ -143,7 +148,12 @@ def read_records(spark: SparkSession, path: str, sep: str = ",", line_breaks: bo
 
 
 def _catalogue(lines: DataFrame, line_breaks: bool) -> DataFrame:
-    """split, source, start, inside (its first line begins inside a quoted cell), base (to add to its lines' numbers for the record in the file), ahead (data rows of the files before), open (number of the file's record that is never closed), n (records that begin in it), broken (some of its lines are parts of records)."""
+    """One row a split: split, source, start, and
+
+    inside: its first line begins inside a quoted cell. base: to add to its lines' numbers for the record in the file.
+    ahead: data rows of the files before. open: number of the file's record that is never closed. n: records that begin
+    in it. broken: some of its lines are parts of records.
+    """
     of = lambda c: F.max_by(c, "i")
     counts = (F.max("num0"), F.max("num1"), F.lit(0).cast("long")) if line_breaks else (F.count("*"), F.count("*"), F.min("i"))
     splits = lines.groupBy("split", "source", "start").agg(
