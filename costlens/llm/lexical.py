@@ -24,7 +24,7 @@ from costlens.llm.decontaminate import WORD
 
 K = 10
 #: Bytes of text in a block, about; a longer document is a block of its own.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Pairs of query and term that are broadcast at once: some 100 bytes each.
 MAX_PAIRS = 500_000
 #: Pairs of interval and term that a walk may reach at once: some 100 bytes each.
