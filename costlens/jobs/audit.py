@@ -99,10 +99,9 @@ def canonical_of_exports(good: DataFrame, names: list[str], maps: DataFrame, pol
 
     Besides the columns of to_canonical they have source, mapped, and the JSON keys of the source's tags.
     """
-    place = {n: i for i, n in reversed(list(enumerate(names)))}
     cells = F.array(*[F.col(f"c{i}") for i in range(len(names))])
-    at = F.create_map(*[x for n, i in place.items() for x in (F.lit(n), F.lit(i))])
-    look = lambda header: F.get("__cells", at[header])
+    # Of equal names the first.
+    look = lambda header: F.get("__cells", (F.array_position(F.array(*map(F.lit, names)), header) - 1).cast("int"))
     small = maps.count() <= io.MAX_FILES
     rows = good.select("source", "line_no", cells.alias("__cells")).join(F.broadcast(maps) if small else maps, "source")
     role = lambda r: F.when(F.map_contains_key("roles", r), look(F.col("roles")[r]))

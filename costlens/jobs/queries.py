@@ -341,6 +341,46 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [back[k].agg(F.count("*").alias("n"), total(k).alias("amount")).select(F.lit(k).alias("part"), "n", "amount") for k in amounts])
 
 
+#: Columns of the exports that _exports writes: the canonical column and its header in exports 0, 1, and all others.
+EXPORT_COLUMNS = [
+    ("resource_id", "lineItem/ResourceId", "ResourceId", "Resource ID"), ("service", "product/ProductName", "MeterCategory", "Service"),
+    ("provider", "ProviderName", "CSP", "Cloud"), ("region", "product/region", "ResourceLocation", "Region"),
+    ("cost_raw", "lineItem/UnblendedCost", "PreTaxCost", "monthly_cost"), ("currency", "lineItem/CurrencyCode", "BillingCurrencyCode", "Currency"),
+    ("charge_type", "lineItem/LineItemType", "ChargeType", "Charge Type"), ("tag_owner", "resourceTags/user:owner", "tags/owner", "Owner"),
+    ("tag_team", "resourceTags/user:Team", "tags/squad", "Team"), ("tag_environment", "resourceTags/user:env", "tags/Environment", "label:stage"),
+    ("tag_cost_center", "resourceTags/user:cost-center", "tags/CostCenter", "cost center"),
+]
+
+
+def _exports(s: SparkSession, d: str) -> str:
+    """The seven exports of the events as a CSV file each, with headers of their own, the columns of the second in reverse order, and lines in order."""
+    path, columns = shared_dir(s), [c[0] for c in EXPORT_COLUMNS]
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    row = lambda cells: F.concat_ws(",", *[quoted(c) for c in cells])
+    second = F.col("source") == "export-1"
+    value = F.when(second, row([F.col(c) for c in reversed(columns)])).otherwise(row([F.col(c) for c in columns]))
+    body = tables.event_lines(s, d).select("source", "line_no", value.alias("value"))
+    names = F.when(second, row([F.lit(c[2]) for c in reversed(EXPORT_COLUMNS)])).when(F.col("source") == "export-0", row([F.lit(c[1]) for c in EXPORT_COLUMNS]))
+    head = body.select("source").distinct().select("source", F.lit(0).cast("long").alias("line_no"), names.otherwise(row([F.lit(c[3]) for c in EXPORT_COLUMNS])).alias("value"))
+    both = body.unionByName(head).withColumn("p", F.col("source"))
+    both.repartition("p").sortWithinPartitions("p", "line_no").select("p", "value").write.partitionBy("p").text(path)
+    return f"{path}/p=*"
+
+
+def _audit_exports(s: SparkSession, d: str) -> DataFrame:
+    """The summaries of all exports, each mapped by itself."""
+    from costlens.jobs.audit import audit_exports
+
+    found = audit_exports(s, _exports(s, d))["summary"]
+    return found.select(F.regexp_extract("source", "p=([^/]+)/", 1).alias("export"), *SUMMARIES)
+
+
+SUMMARIES = [
+    "total_rows", "analyzed_resources", "compliant_count", "total_cost", "unallocated_cost", "spend_score", "resource_score", "credit_count", "netted_count", "negative_count",
+    "untaggable_count", "untaggable_cost", "cost_missing_count", "merged_lines", "placeholder_count", "placeholder_resources",
+]
+
+
 def _resources_csv(s: SparkSession, d: str) -> DataFrame:
     """The exported list written as CSV and read again."""
     t, path = table(s, d), shared_dir(s)
@@ -515,6 +555,14 @@ Q: dict[str, tuple] = {
         sql("SELECT id AS resource_id, coalesce(service, '') AS service, cost::DOUBLE AS \"cost_USD\", line_items, " + ", ".join(f"CASE WHEN list_contains(missing, '{k}') THEN '' ELSE {k} END AS {k}" for k in TAGS) + " FROM res")
     ),
     "write_report": (_report, sql(REPORT)),
+    # The exports have no JSON column, so no value of one is offered.
+    "audit_exports": (_audit_exports, sql(
+        f"SELECT source AS export, total_rows, n AS analyzed_resources, ok AS compliant_count, total::DOUBLE AS total_cost, {r2('total - okc')} AS unallocated_cost, CASE WHEN total > 0 THEN "
+        f"{pct('okc', 'total')} END AS spend_score, {pct('ok', 'n')} AS resource_score, credit_count, netted_count, negatives AS negative_count, untaggable_count, {r2('untaggable_cost')} AS untaggable_cost, "
+        "cost_missing_count, kept_lines - n AS merged_lines, coalesce(occurrences, 0) AS placeholder_count, coalesce(resources, 0) AS placeholder_resources FROM totals_s JOIN lt_s USING (source) LEFT JOIN "
+        "(SELECT source, count(*) AS occurrences, count(DISTINCT rkey) AS resources FROM holders GROUP BY source) USING (source)"
+    ).replace("SELECT rkey, line_no * 2 AS n, 'cost_center' AS tag, json_cc AS v FROM kept WHERE json_cc IS NOT NULL UNION ALL SELECT rkey, line_no * 2 + 1, 'owner', tag_owner FROM kept",
+              "SELECT rkey, line_no * 2 + 1 AS n, 'owner' AS tag, tag_owner AS v FROM kept")),
     "key_drift_normalized": (lambda s, d: _joined(drift.key_drift_normalized(tables.event_headers(s, d))), sql(f"SELECT source, {F_COLS} FROM kd0")),
     "key_drift_synonyms": (lambda s, d: _joined(drift.key_drift_synonyms(tables.event_headers(s, d))), sql(f"SELECT source, {F_COLS} FROM kd1")),
     "value_drift_variants": (_find(drift.value_drift_variants), sql(f"SELECT {F_COLS} FROM variants")),

@@ -175,3 +175,14 @@ def test_shared_tables_go_with_their_scope(spark):
         raise KeyError
     spark.range(3).write.parquet(outside)
     assert not there(paths[0]) and there(outside)
+
+
+def test_layouts_that_differ_only_in_what_they_lack(spark, tmp_path):
+    """Three columns at places 0, 1, 2 in each file, under other names: as arrays of places they differ in nulls alone."""
+    for k, names in enumerate(("a,b,c", "d,e,f", "g,h,i")):
+        put(f"{tmp_path}/d/{k}.csv", f"{names}\n{k}1,{k}2,{k}3\n")
+    export = billing_csv.open_export(spark, f"file://{tmp_path}/d")
+    good, _ = billing_csv.split_malformed(billing_csv.lines_of(export))
+    got = sorted(tuple(x for x in r if x is not None)[2:] for r in good.collect())
+    assert export.names == list("abcdefghi") and got == [(f"{k}1", f"{k}2", f"{k}3") for k in range(3)]
+    assert [[r[f"c{3 * k}"] for r in good.where(f"c{3 * k} is not null").collect()] for k in range(3)] == [["01"], ["11"], ["21"]]
