@@ -128,5 +128,8 @@ def digit_skeleton(c: Column) -> Column:
     return F.regexp_replace(c, "[0-9]+", "#")
 
 
-def levenshtein(a: Column, b: Column) -> Column:
+def levenshtein(a: Column, b: Column, of_bytes: bool = False) -> Column:
+    """Edit distance in characters, or in UTF-8 bytes, as DuckDB counts it; null if a side is null."""
+    if of_bytes:  # Latin-1 reads each byte as one character
+        a, b = (F.decode(c.cast("string").cast("binary"), "ISO-8859-1") for c in (a, b))
     return F.levenshtein(a, b)

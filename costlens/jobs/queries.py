@@ -469,7 +469,7 @@ Q: dict[str, tuple] = {
     "digit_skeleton": (_scalar(S.digit_skeleton), sql("SELECT line_no, regexp_replace(tag_team, '[0-9]+', '#', 'g') AS value FROM lines")),
     "levenshtein": (
         lambda s,
-        d: tables.event_lines(s, d).select("line_no", S.levenshtein(F.col("tag_team"), F.col("tag_environment")).cast("long").alias("value")),
+        d: tables.event_lines(s, d).select("line_no", S.levenshtein(F.col("tag_team"), F.col("tag_environment"), of_bytes=True).cast("long").alias("value")),
         sql("SELECT line_no, levenshtein(tag_team, tag_environment) AS value FROM lines")
     ),
     "classify_lines": (

@@ -251,6 +251,23 @@ def test_query_against_sql(spark, db, name):
     assert flat(got) == flat(want) and len(got)
 
 
+def test_edit_distance_of_odd_texts_against_sql(spark, db, monkeypatch):
+    """The query counts bytes, as its SQL does, and the operator by itself characters."""
+    from costlens.sources import tables
+
+    texts = ["", " ", "\u00a0", "e", "\u00e9", "\u00ea", "e\u0301", "Platform\u00a0 ", "\u00a0 prod", "PROD", "\u00c2\u00a0", "\u65e5\u672c", "\u65e5", "\U0001f600", "\U0001f601x", "a\0b", "\x7f\u0080\u00ff", "\ufffd", "x" * 300 + "\u00e9", None]
+    pairs = [(i * len(texts) + k, a, b) for i, a in enumerate(texts) for k, b in enumerate(texts)]
+    odd = spark.createDataFrame(pairs, "line_no long, tag_team string, tag_environment string")
+    monkeypatch.setattr(tables, "event_lines", lambda s, d: odd)
+    query, sql = Q["levenshtein"]
+    cells = ", ".join(["(?, ?, ?)"] * len(pairs))
+    want = db.execute(f"WITH lines(line_no, tag_team, tag_environment) AS (VALUES {cells}) {sql.splitlines()[-1]}", [x for p in pairs for x in p]).fetchall()
+    got = {r.line_no: r.value for r in query(spark, SF).collect()}
+    assert got == dict(want) and None in got.values()
+    chars = odd.where("tag_team = '\u00e9' AND tag_environment = 'e' OR tag_team = 'Platform\u00a0 ' AND tag_environment = 'PROD'")
+    assert [r[0] for r in chars.orderBy("line_no").select(S.levenshtein(F.col("tag_team"), F.col("tag_environment"))).collect()] == [1, 9]
+
+
 def test_report_parts(spark):
     from costlens.sources import tables
 
