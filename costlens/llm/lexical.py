@@ -1,11 +1,13 @@
 """Ranked lexical search with inverted treaps.
 
 The index has one row for a block of documents: for each term the block's documents that hold it, in doc_id order, with
-their term counts. It is built in one scan without a shuffle, and a row can be searched alone. When a block is searched,
-the postings of each query term become a treap: search order is the document's place, heap order its impact, so a node's
-impact bounds its subtree. All terms of a query are walked together over intervals of documents: an interval's bound is
-the sum of its subtrees' weighted roots; below the k-th best score so far it is pruned, else the document at the
-heaviest root is scored and the interval falls in two. The best so far are carried from block to block of a task.
+their term counts. It is built in one scan without a shuffle, and a row can be searched alone. Rows are small, as readers,
+writers and Arrow hold many at once; a task takes the query terms' postings out of a row and searches those of several
+rows as one portion. There the postings of each query term become a treap: search order is the document's place, heap
+order its impact, so a node's impact bounds its subtree. All terms of a query are walked together over intervals of
+documents: an interval's bound is the sum of its subtrees' weighted roots; below the k-th best score so far it is pruned,
+else the document at the heaviest root is scored and the interval falls in two. The best so far are carried from portion
+to portion of a task.
 """
 
 from __future__ import annotations
@@ -19,12 +21,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from costlens.llm.common import ASCII_LOWER, U64, as_bytes, joined, mix, prefix_sums, slices, spans_hash, tokens, written
+from costlens.llm.common import ASCII_LOWER, U64, as_bytes, column_slices, joined, mix, prefix_sums, setting, spans_hash, tokens, written
 from costlens.llm.decontaminate import WORD
 
 K = 10
 #: Bytes of text in a block, about; a longer document is a block of its own.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
+#: Rows in a file of the index: a writer's row group and a reader's batch are no larger (some 15 MB before compression).
+FILE_ROWS = 16
+#: Bytes of texts that go to Python at once while the index is built, about; a longer text goes alone.
+BATCH = 1 << 23
+#: Documents and postings of query terms that are searched at once, about: some 300 bytes each.
+PORTION = 1 << 16
 #: Pairs of query and term that are broadcast at once: some 100 bytes each.
 MAX_PAIRS = 500_000
 #: Pairs of interval and term that a walk may reach at once: some 100 bytes each.
@@ -60,7 +68,7 @@ def _block(ids: pa.Array, texts: list[bytes]) -> tuple | None:
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The index, a row a block of documents (INDEX): write it once, search it often.
+    """The index, a row a block of documents (INDEX): write it once (write_index), search it often.
 
     Terms are runs of digits, letters (A-Z lower-cased) and non-ASCII characters, known by 64-bit hashes. Null, empty and
     termless texts are in no block; repeated rows are documents of their own; doc_ids are integers, null stands after
@@ -69,9 +77,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for lo, hi in slices(texts, block):
-                if row := _block(b.column(0).slice(lo, hi - lo), texts[lo:hi]):
+            for lo, hi, texts in column_slices(b.column(1), block):
+                if row := _block(b.column(0).slice(lo, hi - lo), texts):
                     kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, *[pa.list_(pa.int32())] * 2)
                     cells = [pa.array([x], kind) if k < 2 else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for k, (x, kind) in enumerate(zip(row, kinds, strict=True))]
                     yield pa.RecordBatch.from_arrays(cells, [c.split()[0] for c in INDEX.split(", ")])
@@ -79,6 +86,12 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, INDEX)
 
 
+def write_index(index: DataFrame) -> DataFrame:
+    """The index, built once in the shared folder, in files of FILE_ROWS rows at most, from Arrow batches of BATCH bytes."""
+    with setting(index.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH):
+        return written(index, maxRecordsPerFile=FILE_ROWS)
+
+
 def query_terms(queries: DataFrame, query_id: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct (item, term) of all queries; rows of one id are one query."""
     kind = dict(queries.select(F.col(query_id).alias("item")).dtypes)["item"]
@@ -97,6 +110,15 @@ def _cells(batch: pa.RecordBatch, names: list[str]) -> Iterator[list]:
         yield [batch.column(n)[i].values for n in names]
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of the values that both hold; both sorted and distinct."""
+    if len(a) > len(b):
+        return _common(b, a)[::-1]
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    own = np.flatnonzero(b[at] == a)
+    return own, at[own]
+
+
 def document_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
     """Documents that hold each of the terms (sorted); reads only the index's terms and starts."""
     sent = index.sparkSession.sparkContext.broadcast(terms)
@@ -107,8 +129,8 @@ def document_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
         for b in batches:
             for own, starts in _cells(b, ["terms", "starts"]):
                 own, starts = own.to_numpy(), starts.to_numpy()
-                at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-                total += np.where(own[at] == wanted, starts[at + 1] - starts[at], 0)
+                at, to = _common(own, wanted)
+                total[to] += starts[at + 1] - starts[at]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(wanted[at]), pa.array(total[at])], ["term", "n"])
 
@@ -195,24 +217,42 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
-def search_block(row: list, wanted: Queries, best: Best) -> None:
-    """Adds a block's best documents to best. row: ids, sizes, terms, starts, places, counts."""
-    ids = row[0].fill_null(LAST).to_numpy(zero_copy_only=False)
+def postings(row: list, wanted: Queries) -> tuple[np.ndarray, ...]:
+    """Of a block: doc_ids, null as LAST; for each posting of a query term: the term's number, the document's place, the impact. Nothing refers to the row. row: ids, sizes, terms, starts, places, counts."""
+    ids = np.array(row[0].fill_null(LAST).to_numpy(zero_copy_only=False))
     sizes, terms, starts, places, counts = (x.to_numpy() for x in row[1:])
-    if not len(wanted.terms):
-        return
-    at = np.minimum(np.searchsorted(terms, wanted.terms), len(terms) - 1)
-    held = np.flatnonzero(terms[at] == wanted.terms)
-    size = starts[at[held] + 1] - starts[at[held]]
-    own = _ranges(starts[at[held]], size)
+    at, held = _common(terms, wanted.terms)
+    size = starts[at + 1] - starts[at]
+    own = _ranges(starts[at], size)
     place = places[own].astype(np.int64)
     tf = counts[own].astype(np.int64)
     m = 10 + 90 * sizes * wanted.n_docs // wanted.n_terms
-    impact = 10**9 * tf // (1000 * tf + 8 * m[place])
-    begin = np.concatenate(([0], np.cumsum(size)))
+    return ids, np.repeat(held, size), place, 10**9 * tf // (1000 * tf + 8 * m[place])
+
+
+def search_block(row: list, wanted: Queries, best: Best) -> None:
+    """Adds a block's best documents to best. row: ids, sizes, terms, starts, places, counts."""
+    search_postings([postings(row, wanted)], wanted, best)
+
+
+def search_postings(parts: list[tuple], wanted: Queries, best: Best) -> None:
+    """Adds the best documents of some blocks to best. parts: postings() of each."""
+    ids, term, place, impact = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(term):
+        return
+    # Documents of all blocks in doc_id order, postings by term and document.
+    by_id = np.argsort(ids, kind="stable")
+    to = np.empty(len(ids), np.int64)
+    to[by_id] = np.arange(len(ids))
+    docs = np.array([len(p[0]) for p in parts])
+    place = to[place + np.repeat(np.cumsum(docs) - docs, [len(p[1]) for p in parts])]
+    ids, stride = ids[by_id], np.int64(len(ids))
+    order = np.argsort(term * stride + place)
+    term, place, impact = term[order], place[order], impact[order]
+    held, begin = np.unique(term, return_index=True)
+    begin = np.append(begin, len(term))
     left, right, roots = treaps(begin, impact)
-    stride = np.int64(len(ids))
-    key = np.repeat(np.arange(len(held)), size) * stride + place
+    key = np.repeat(np.arange(len(held)), np.diff(begin)) * stride + place
     number = np.full(len(wanted.terms), -1)
     number[held] = np.arange(len(held))
     there = number[wanted.term] >= 0
@@ -288,9 +328,16 @@ def search(index: DataFrame, queries: DataFrame, query_id: str = "item_id", text
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             wanted = sent.value
             best = Best(len(wanted.items), wanted.k)
+            parts, size = [], 0
             for batch in batches:
                 for row in _cells(batch, names):
-                    search_block(row, wanted, best)
+                    parts.append(postings(row, wanted))
+                    size += len(parts[-1][0]) + len(parts[-1][1])
+                    if size >= PORTION:
+                        search_postings(parts, wanted, best)
+                        parts, size = [], 0
+            if parts:
+                search_postings(parts, wanted, best)
             q, r = np.nonzero(best.score)
             doc = best.doc[q, r]
             cells = [pa.array([wanted.items[i] for i in q.tolist()], arrow_kind), pa.array(doc, mask=doc == LAST), pa.array(best.score[q, r])]
@@ -308,7 +355,9 @@ def search(index: DataFrame, queries: DataFrame, query_id: str = "item_id", text
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item, by the index of all documents."""
-    index = written(build_index(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    # Read piece by piece: vectored reads of local files copy the whole texts of a row group outside the heap, beside those within.
+    docs = spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(f"{sf_dir}/documents.parquet")
+    index = write_index(build_index(docs))
     return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("item", "item_id")
 
 

@@ -9,9 +9,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from costlens.llm import lexical, licenses, prefix_trie
+from costlens.llm import common, lexical, licenses, prefix_trie
 from costlens.llm.decontaminate import words_of
 
 DOCS = "doc_id long, text string, n_words long, places string, rank int, item string, score int"
@@ -190,6 +192,67 @@ def test_subtrees_are_pruned_and_queries_walked_in_groups(monkeypatch):
     assert sorted(got, key=str) == search_plainly(texts, items)
 
 
+def test_rows_and_files_of_the_index_are_small(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    docs = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(2000))) for k in range(800)]
+    pq.write_table(pa.table({"doc_id": [k for k, _ in docs], "text": [t for _, t in docs]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [1, 2], "text": ["w1 w2 w3", "w4 w4 w5"]}), tmp_path / "benchmark.parquet")
+    seen, search = [], lexical.search
+    monkeypatch.setattr(lexical, "search", lambda index, *a, **k: seen.append(index) or search(index, *a, **k))
+    got = lexical.op12_lexical_search(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == search_plainly(docs, [(1, "w1 w2 w3"), (2, "w4 w5")])
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in seen[0].inputFiles()]
+    assert sum(m.num_rows for m in files) >= 18  # nine megabytes of text
+    assert max(m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)) < 10 << 20
+    assert seen[0].agg(F.max(16 * F.size("terms") + 8 * F.size("places"))).first()[0] < 1 << 20
+
+
+def test_blocks_are_searched_together(monkeypatch):
+    texts = search_texts()
+    texts = [(i, t) for i, t in texts if i is not None] + [(None, texts[7][1])]
+    items = [(k, x) for k, (_, x) in enumerate(ITEMS) if x]
+    whole = walk_once(texts, items, monkeypatch)
+    row = lexical._block(pa.array([i for i, _ in texts]), [(t or "").encode() for _, t in texts])
+    pairs = sorted({(i, int(h)) for i, t in items for h in lexical._terms_of([t.encode()])[0]})
+    wanted = lexical.Queries(pairs, dict(zip(row[4].tolist(), np.diff(row[5]).tolist(), strict=True)), row[0], row[1])
+    blocks = [lexical._block(pa.array([i for i, _ in texts[lo : lo + 7]], pa.int64()), [(t or "").encode() for _, t in texts[lo : lo + 7]]) for lo in range(0, len(texts), 7)]
+    parts = [lexical.postings([x if isinstance(x, pa.Array) else pa.array(x) for x in b[2:]], wanted) for b in blocks if b]
+    for size in (1, 5, len(parts)):
+        best = lexical.Best(len(wanted.items), wanted.k)
+        for lo in range(0, len(parts), size):
+            lexical.search_postings(parts[lo : lo + size], wanted, best)
+        assert (best.score == whole.score).all() and (best.doc == whole.doc).all()
+
+
+def test_an_index_built_from_small_batches(spark, monkeypatch):
+    texts, items = search_texts(), spark.createDataFrame(ITEMS, "item_id int, text string")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(lexical, "BATCH", 4000)
+    index = lexical.write_index(lexical.build_index(table(spark, texts)))
+    assert index.count() > 6 and spark.conf.get(key) == before  # three partitions
+    assert sorted(map(tuple, lexical.search(index, items).collect()), key=str) == search_plainly(texts, ITEMS)
+
+
+def test_a_setting_ends_with_its_block(spark):
+    for key, before in (("spark.sql.shuffle.partitions", "4"), ("spark.costlens.none", None)):
+        with pytest.raises(ZeroDivisionError), common.setting(spark, key, 4000):
+            assert spark.conf.get(key) == "4000"
+            1 / 0
+        assert spark.conf.get(key, None) == before
+
+
+def test_slices_of_a_column():
+    texts = ["", None, "ab", "é" * 9, None, "x" * 50, "c", "d"]
+    for kind in (pa.string(), pa.large_string()):
+        for column in (pa.array(texts, kind), pa.array(["z" * 30, *texts], kind).slice(1)):
+            for limit in (1, 20, 1000):
+                got = list(common.column_slices(column, limit))
+                assert [(lo, hi) for lo, hi, _ in got] == list(common.slices([(t or "").encode() for t in texts], limit))
+                assert [x for _, _, part in got for x in part] == [(t or "").encode() for t in texts]
+    assert not list(common.column_slices(pa.array([], pa.string())))
+
+
 # --- prefix trie
 
 
